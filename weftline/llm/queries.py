@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding, simhash
-from .common import table
+from . import chat, importance, media, mixing, mtree, sentencepiece_bpe, sharding, simhash, suffix, token_files
+from .common import shared_dir, table
 
 
 def _text(column: str = "text") -> Column:
@@ -20,16 +20,59 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, "doc_id", 40).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{spark._jvm.java.util.UUID.randomUUID()}"
+
+
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file is."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    selection, rows = importance.fit(docs.select("doc_id", "text"), labels)
+    unit = F.lit(float(importance.UNIT))
+    return rows.where(importance.chosen(selection)).select(F.col("key").alias("doc_id"), (F.col("weight") / unit).alias("log_weight"), (F.col("noisy") / unit).alias("noisy_log_weight"), F.col("n").alias("n_ngrams"))
+
+
+def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _folder(spark, "tokens")
+    token_files.write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("byte_bpe_50k.json"), out)
+    return token_files.token_index(spark, out)
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _folder(spark, "tiles")
+    media.write_text_tiles(table(spark, sf_dir, "documents").select("doc_id", "text"), out)
+    return media.tile_features(spark.read.parquet(out))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.poisson_mix(docs, mixing.source_rates(docs, alpha=0.7, epochs=1.0))
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removal_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", mtree.quantized(F.col("embedding")).alias("vector"))
+    return mtree.exact_top(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.encode_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
+
+
 PROBE = "</s>[INST] ok [/INST]"
 
 
@@ -46,8 +89,14 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_quality": op2_quality,
+    "op3_tokens": op3_tokens,
+    "op4_media": op4_media,
     "op5_mixing": op5_mixing,
+    "op6_suffix": op6_suffix,
     "op7_simhash": op7_simhash,
+    "op8_mtree": op8_mtree,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_chat": op10_chat,
 }
 
@@ -64,6 +113,12 @@ e AS (SELECT *, unnest(range(1, n_copies + 1))::INTEGER AS copy FROM m WHERE n_c
 SELECT doc_id, text, lang, source, n_chars, n_copies, copy,
   row_number() OVER (ORDER BY ('0x' || substr(md5('p|17|' || coalesce(doc_id::VARCHAR, '') || '|' || copy::VARCHAR), 1, 15))::BIGINT, doc_id, copy) - 1 AS position
 FROM e""",
+    "op8_mtree": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::DOUBLE) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op10_chat": r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -3,29 +3,38 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, simhash
+from . import importance, mixing, sentencepiece_bpe, simhash, suffix
+from .common import table
+from .queries import tokenizer_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents that importance resampling draws stay."""
+    return importance.resample(docs.select(COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of linked fingerprints stays."""
-    return simhash.keep_one(docs).select(COLUMNS)
+    return simhash.keep_one(docs.select(COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Passages that stand in an earlier document, or earlier in the same one, are cut out; n_chars follows."""
+
+
+    cleaned = suffix.remove_repeats(docs.select(COLUMNS))
+    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by their number of copies, in the mixture's order."""
-    return mixing.poisson_mix(docs, mixing.source_rates(docs)).select(COLUMNS)
+    return mixing.poisson_mix(docs.select(COLUMNS), mixing.source_rates(docs)).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Each document's token count, and digests of its ids and of what they decode to."""
+    return sentencepiece_bpe.encode_digests(docs, tokenizer_file("piece_bpe_32k.model"))
