@@ -14,13 +14,20 @@ that stand before a control string; unescaping takes one away.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPEN = r"(?:<<SYS>>|\[INST\]|<s>|\[ROLE:[0-9A-F]*\])"
-CONTROL = r"(?:<</?SYS>>|\[/?INST\]|</?s>|\[ROLE:[0-9A-F]*\]|\[/ROLE\])"
+CONTROL = r"(?:<(?:</?SYS>>|/?s>)|\[(?:/?INST|/ROLE|ROLE:[0-9A-F]*)\])"
 #: Cuts before each control string that isn't escaped.
-CUTS = rf"(?<!\\)(?={CONTROL})"
+CUTS = rf"(?={CONTROL})(?<!\\)"
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once for a row, however often and in whatever lambda use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def escape(text: Column) -> Column:
@@ -54,18 +61,21 @@ def pieces(text: Column) -> Column:
 
 def parse(text: Column) -> Column:
     """The turns (role, text) of a rendered text; null if the grammar doesn't fit."""
-    cuts = pieces(text)
-    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(cuts) / 2).cast("int") - F.lit(1)), lambda i: F.struct(F.get(cuts, i * 2).alias("a"), F.get(cuts, i * 2 + 1).alias("z")))
 
-    def turn(p: Column) -> Column:
-        mark = F.regexp_extract(p["a"], rf"^{OPEN} ", 0)
-        role = F.when(mark == "<<SYS>> ", "system").when(mark == "[INST] ", "user").when(mark == "<s> ", "assistant").when(mark != "", F.unhex(F.regexp_extract(mark, "[0-9A-F]*(?=])", 0)).cast("string"))
-        whole = (mark != "") & p["a"].endswith(" ") & (F.length(p["a"]) > F.length(mark)) & (_marks(role)[1] == p["z"])
-        body = F.substring(p["a"], F.length(mark) + 1, F.length(p["a"]) - F.length(mark) - 1)
-        return F.when(whole, F.struct(role.alias("role"), unescape(body).alias("text")))
+    def turn(a: Column, z: Column) -> Column:
+        def body(mark: Column) -> Column:
+            role = F.when(mark == "<<SYS>> ", "system").when(mark == "[INST] ", "user").when(mark == "<s> ", "assistant").when(mark != "", F.unhex(F.regexp_extract(mark, "[0-9A-F]*(?=])", 0)).cast("string"))
+            whole = (mark != "") & a.endswith(" ") & (F.length(a) > F.length(mark)) & (_marks(role)[1] == z)
+            return F.when(whole, F.struct(role.alias("role"), unescape(F.substring(a, F.length(mark) + 1, F.length(a) - F.length(mark) - 1)).alias("text")))
+
+        return bound(F.regexp_extract(a, rf"^{OPEN} ", 0), body)
+
+    def turns(cuts: Column) -> Column:
+        pairs = F.filter(F.transform(cuts, lambda a, i: F.when(i % 2 == 0, F.struct(a.alias("a"), F.get(cuts, i + 1).alias("z")))), lambda p: p.isNotNull())
+        empty = F.array().cast("array<struct<role:string,text:string>>")
+        return F.when(F.size(cuts) == 0, empty).when(F.size(cuts) % 2 == 0, F.transform(pairs, lambda p: turn(p["a"], p["z"])))
 
-    empty = F.array().cast("array<struct<role:string,text:string>>")
-    return F.when(F.size(cuts) == 0, empty).when(F.size(cuts) % 2 == 0, F.transform(pairs, turn))
+    return bound(pieces(text), turns)
 
 
 def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -93,5 +103,5 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
 
 def read_back(chats: DataFrame) -> DataFrame:
     """chats with read_turns, parsed from formatted, and loss_text: the texts under the loss mask, unescaped."""
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"], s["length"]))), "")
+    loss = bound(F.col("formatted"), lambda text: F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(text, s["start"], s["length"]))), ""))
     return chats.withColumns({"read_turns": parse(F.col("formatted")), "loss_text": loss})
