@@ -25,12 +25,23 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Writes df to the shared checkpoint folder and returns it without its lineage."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager)
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df as a table in the shared folder and returns what was written, without df's lineage."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{spark._jvm.java.util.UUID.randomUUID()}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables that cut has written and no plan needs any more, and the shuffle files of plans that are gone."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    release(frames[0].sparkSession)
 
 
 def release(spark: SparkSession) -> None:
@@ -100,13 +111,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     both = cut(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
+    table_ = labels
     for _ in range(most_rounds):
         seen = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = cut(labels.join(seen, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root")))
         jump = step.select(F.col("node").alias("root"), F.col("root").alias("far"))
         new = cut(step.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("far", "root")).alias("root")))
         changed = new.where("root <> was").limit(1).count()
-        labels = new.select("node", "root")
+        discard(table_, step)
+        table_, labels = new, new.select("node", "root")
         if not changed:
+            discard(both)
             return labels
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, release, small_batches
+from .common import as_bytes, cut, discard, release, small_batches
 
 WINDOW, GRAM = 100, 32
 #: Bytes in one vector operation, and the bits that hold a position in them.
@@ -35,6 +35,8 @@ CHUNK, POSITION_BITS = 1 << 18, 20
 MOST_CLASSES = 128
 #: Bytes of contexts in one suffix array.
 SHARD_BYTES = 1 << 19
+#: Leftmost-smaller substrings of bytes up to this long are sorted as packed words; others by induction.
+MOST_PACKED = 40
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -77,7 +79,10 @@ def segments(texts: list[bytes], window: int = WINDOW) -> Iterator[list[tuple[in
 
 
 def anchors(group: list[tuple[int, int, bytes]], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Of a group of segments: gram hash, context hash, text's index, first window's start, count of windows, of each anchor."""
+    """Of a group of segments, for each anchor: gram hash, context hash, text's index, first window's start, and shape.
+
+    shape is the count of windows times 256, plus the gram's offset from the first window.
+    """
     sizes = np.array([len(x[2]) for x in group], np.int64)
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(x[2] for x in group), np.uint8)
@@ -105,7 +110,7 @@ def anchors(group: list[tuple[int, int, bytes]], window: int = WINDOW, gram: int
     which = np.searchsorted(ends, p, "right")
     begin = ends - sizes
     offsets = np.array([x[1] for x in group], np.int64)
-    return hashes[q], context, np.array([x[0] for x in group], np.int64)[which], p - begin[which] + offsets[which], count
+    return hashes[q], context, np.array([x[0] for x in group], np.int64)[which], p - begin[which] + offsets[which], count * 256 + q - p
 
 
 def _induce(s: list[int], is_s: list[bool], lms: list[int], sizes: np.ndarray) -> list[int]:
@@ -144,6 +149,33 @@ def _induce(s: list[int], is_s: list[bool], lms: list[int], sizes: np.ndarray) -
     return sa
 
 
+def _sorted_substrings(s: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leftmost-smaller substrings of bytes in order, and which of them differ from the one before.
+
+    Each is packed into words of seven 9-bit symbols. The mark past its end is the largest symbol: of two substrings
+    of which one begins the other, the longer goes on with a larger suffix there, and so comes first. The last one
+    ends with s, by a mark that is smaller than any byte.
+    """
+    stops = np.concatenate((lms[1:] + 1, [len(s)]))
+    longest = int((stops - lms).max()) + 1
+    words = []
+    for first in range(0, longest, 7):
+        word = np.zeros(len(lms), U)
+        for k in range(first, first + 7):
+            at = lms + k
+            symbol = s[np.minimum(at, len(s) - 1)].astype(U) + U(1)
+            symbol[at >= stops] = U(511)
+            if at[-1] >= len(s):
+                symbol[-1] = U(0)
+            word = (word << U(9)) | symbol
+        words.append(word)
+    order = np.argsort(words[0], kind="stable") if len(words) == 1 else np.lexsort(words[::-1])
+    new = np.zeros(len(lms) - 1, bool)
+    for word in words:
+        new |= word[order[1:]] != word[order[:-1]]
+    return lms[order], new
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Order of the suffixes of s (integers from 0) by induced sorting; a suffix that is a prefix of another comes first."""
     n = len(s)
@@ -155,7 +187,17 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     sizes = np.bincount(s)
     values, types = s.tolist(), smaller.tolist()
-    if len(lms):
+    if len(lms) and len(sizes) <= 256 and int(np.diff(lms).max(initial=0)) < MOST_PACKED:
+        at = np.full(n, -1)
+        at[lms] = np.arange(len(lms))
+        ranked, new = _sorted_substrings(s, lms)
+        names = np.concatenate(([0], np.cumsum(new)))
+        if names[-1] + 1 < len(lms):
+            reduced = np.empty(len(lms), np.int64)
+            reduced[at[ranked]] = names
+            ranked = lms[suffix_array(reduced)]
+        sorted_lms = ranked.tolist()
+    elif len(lms):
         order = np.array(_induce(values, types, lms.tolist(), sizes))
         at = np.full(n, -1)
         at[lms] = np.arange(len(lms))
@@ -176,26 +218,54 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
 
 
 def common_prefixes(s: bytes, sa: np.ndarray, most: int) -> np.ndarray:
-    """Permuted: for each position its suffix's common prefix with the suffix before it in sa, up to most."""
+    """Permuted: for each position in sa its suffix's common prefix with the suffix before it in sa, up to most; else 0."""
     n = len(s)
     before = np.full(n, -1)
     before[sa[1:]] = sa[:-1]
-    out, length = [0] * n, 0
-    for i, p in enumerate(before.tolist()):
-        if p < 0:
-            length = 0
-            continue
+    out, length, last = [0] * n, 0, -2
+    where = np.flatnonzero(before >= 0)
+    for i, p in zip(where.tolist(), before[where].tolist(), strict=True):
+        length = length - 1 if i == last + 1 and length else 0
+        last = i
         end = n - (i if i > p else p)
         if end > most:
             end = most
-        while length < end and s[i + length] == s[p + length]:
-            length += 1
+        if s[i + length : i + end] == s[p + length : p + end]:
+            length = end
+        else:
+            while s[i + length] == s[p + length]:
+                length += 1
         out[i] = length
-        if length:
-            length -= 1
     return np.array(out)
 
 
+def trimmed(contexts: list[bytes], offsets: list[int], window: int = WINDOW, gram: int = GRAM) -> list[tuple[int, int, bytes]]:
+    """Of contexts around one gram: (index, cut from the left, bytes) of what another one of them may have in common.
+
+    Equal windows have the gram at the same offset, so they match another context from there to both sides; the longest
+    match to a side is with a neighbour in the order of that side's text. Contexts that match for less than a window go.
+    """
+    n = len(contexts)
+    longest = [[0] * n, [0] * n]
+    sides = [[c[o - 1 :: -1] if o else b"" for c, o in zip(contexts, offsets, strict=True)], [c[o + gram :] for c, o in zip(contexts, offsets, strict=True)]]
+    for side, texts in enumerate(sides):
+        order = sorted(range(n), key=texts.__getitem__)
+        own = longest[side]
+        for a, b in zip(order, order[1:], strict=False):
+            x, y = texts[a], texts[b]
+            k, most = 0, min(len(x), len(y))
+            if x[:most] == y[:most]:
+                k = most
+            else:
+                while x[k] == y[k]:
+                    k += 1
+            if k > own[a]:
+                own[a] = k
+            if k > own[b]:
+                own[b] = k
+    return [(i, o - a, c[o - a : o + gram + z]) for i, (c, o, a, z) in enumerate(zip(contexts, offsets, *longest, strict=True)) if a + gram + z >= window]
+
+
 def repeats(contexts: list[bytes], doc: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
     """Runs (doc, start, end) of windows of the contexts, which stand at (doc, at), that an earlier one equals."""
     text = b"\xff".join(contexts) + b"\xff"
@@ -203,9 +273,9 @@ def repeats(contexts: list[bytes], doc: np.ndarray, at: np.ndarray, window: int
     which = np.repeat(np.arange(len(contexts)), sizes)
     begin = np.cumsum(sizes) - sizes
     sa = suffix_array(np.frombuffer(text, np.uint8))
-    long = common_prefixes(text, sa, window)[sa] >= window
     whole = np.arange(len(text)) - begin[which] <= sizes[which] - 1 - window
-    sa, long = sa[whole[sa]], long[whole[sa]]  # windows with window bytes in common stand side by side
+    sa = sa[whole[sa]]  # suffixes with window bytes in common stand side by side, with none that ends before
+    long = common_prefixes(text, sa, window)[sa] >= window
     run = np.cumsum(~long)
     d, p = doc[which[sa]], at[which[sa]] + sa - begin[which[sa]]
     order = np.lexsort((p, d, run))
@@ -228,35 +298,45 @@ def _arrow(*columns: np.ndarray, names: list[str]) -> pa.RecordBatch:
 
 
 def _all_anchors(rows: DataFrame, window: int, gram: int, only_gram: bool) -> DataFrame:
-    names = ["gram"] if only_gram else ["gram", "context", "doc", "at", "n"]
+    names = ["gram"] if only_gram else ["gram", "context", "doc", "at", "shape"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             keys = batch.column("doc").to_numpy()
             for group in segments(as_bytes(batch.column("text")), window):
-                g, c, which, at, n = anchors(group, window, gram)
-                yield _arrow(g, names=names) if only_gram else _arrow(g, c, keys[which], at, n, names=names)
+                g, c, which, at, shape = anchors(group, window, gram)
+                yield _arrow(g, names=names) if only_gram else _arrow(g, c, keys[which], at, shape, names=names)
 
     return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def _shard_repeats(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _shard_repeats(window: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Over rows sorted by gram: suffix arrays of whole grams' contexts, SHARD_BYTES at a time."""
 
-    def flush(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-        doc, at = np.array([x[1] for x in held], np.int64), np.array([x[2] for x in held], np.int64)
-        return _arrow(*repeats([x[3] for x in held], doc, at, window), names=["doc", "start", "end"])
+    def flush(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        doc, at = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
+        return _arrow(*repeats([x[2] for x in held], doc, at, window), names=["doc", "start", "end"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        own: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "doc", "at", "bytes")), strict=True):
-                if row[0] != last and size >= SHARD_BYTES:
-                    yield flush(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3])
-                last = row[0]
+            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "doc", "at", "shape", "bytes")), strict=True):
+                if own and row[0] != own[0][0]:
+                    yield own
+                    own = []
+                own.append(row)
+        if own:
+            yield own
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for own in grams(batches):
+            for i, skipped, text in trimmed([r[4] for r in own], [r[3] & 255 for r in own], window, gram):
+                held.append((own[i][1], own[i][2] + skipped, text))
+                size += len(text)
+            if size >= SHARD_BYTES:
+                yield flush(held)
+                held, size = [], 0
         if held:
             yield flush(held)
 
@@ -278,29 +358,31 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     shared = cut(_all_anchors(rows, window, gram, True).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
     release(spark)
     found = cut(_all_anchors(rows, window, gram, False).join(shared, "gram"))
-    release(spark)
-    classes = cut(found.groupBy("gram", "context").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("n").alias("n")))
-    firsts = classes.select("gram", "context", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at"))
-    later = found.join(firsts, ["gram", "context"]).where("doc <> first_doc or at <> first_at")
-    spans = [cut(later.select("doc", F.col("at").alias("start"), (F.col("at") + F.col("n") + F.lit(window - 1)).alias("end")))]
+    discard(shared)
+    classes = cut(found.groupBy("gram", "context").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("shape").alias("shape")).select("gram", "context", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at"), "shape"))
+    later = found.join(classes.select("gram", "context", "first_doc", "first_at"), ["gram", "context"]).where("doc <> first_doc or at <> first_at")
+    spans = [cut(later.select("doc", F.col("at").alias("start"), (F.col("at") + F.shiftright("shape", 8) + F.lit(window - 1)).alias("end")))]
+    discard(found)
     many = cut(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"))
-    wanted = classes.join(many, "gram").select(F.col("first.doc").alias("doc"), F.struct("gram", F.col("first.at").alias("at"), "n", (F.col("classes") > most_classes).alias("hot")).alias("w"))
+    wanted = classes.join(many, "gram").select(F.col("first_doc").alias("doc"), F.struct("gram", F.col("first_at").alias("at"), "shape", (F.col("classes") > most_classes).alias("hot")).alias("w"))
     each = wanted.groupBy("doc").agg(F.collect_list("w").alias("wanted"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            out: dict[str, list] = {c: [] for c in ("gram", "doc", "at", "hot", "bytes")}
+            out: dict[str, list] = {c: [] for c in ("gram", "doc", "at", "shape", "hot", "bytes")}
             for doc, whole, items in zip(batch.column("doc").to_pylist(), as_bytes(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
                 for w in items:
-                    if w["at"] + w["n"] + window - 1 <= len(whole):
-                        for k, v in (("gram", w["gram"]), ("doc", doc), ("at", w["at"]), ("hot", w["hot"]), ("bytes", whole[w["at"] : w["at"] + w["n"] + window - 1])):
+                    end = w["at"] + (w["shape"] >> 8) + window - 1
+                    if end <= len(whole):
+                        for k, v in (("gram", w["gram"]), ("doc", doc), ("at", w["at"]), ("shape", w["shape"]), ("hot", w["hot"]), ("bytes", whole[w["at"] : end])):
                             out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["gram"], pa.int64()), pa.array(out["doc"], pa.int64()), pa.array(out["at"], pa.int64()), pa.array(out["hot"], pa.bool_()), pa.array(out["bytes"], pa.binary())], list(out))
+            kinds = {"hot": pa.bool_(), "bytes": pa.binary()}
+            yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], list(out))
 
-    contexts = cut(rows.join(each, "doc").mapInArrow(extract, "gram long, doc long, at long, hot boolean, bytes binary"))
-    release(spark)
-    sharded = contexts.where("not hot").select("gram", "doc", "at", "bytes").repartition("gram").sortWithinPartitions("gram")
-    spans.append(sharded.mapInArrow(_shard_repeats(window), "doc long, start long, end long"))
+    contexts = cut(rows.join(each, "doc").mapInArrow(extract, "gram long, doc long, at long, shape long, hot boolean, bytes binary"))
+    discard(classes, many)
+    sharded = contexts.where("not hot").drop("hot").repartition("gram").sortWithinPartitions("gram")
+    spans.append(cut(sharded.mapInArrow(_shard_repeats(window, gram), "doc long, start long, end long")))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,10 +397,13 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
             yield _arrow(np.array(a, U), np.array(b, U), np.array(d, np.int64), np.array(p, np.int64), names=["a", "b", "doc", "at"])
 
     hot = cut(contexts.where("hot").select("doc", "at", "bytes").mapInArrow(windows, "a long, b long, doc long, at long"))
+    discard(contexts)
     earliest = cut(hot.groupBy("a", "b").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at")))
-    spans.append(hot.join(earliest, ["a", "b"]).where("doc <> first_doc or at <> first_at").select("doc", F.col("at").alias("start"), (F.col("at") + F.lit(window)).alias("end")))
-    out = spans[0].union(spans[1]).union(spans[2])
-    return out.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    spans.append(cut(hot.join(earliest, ["a", "b"]).where("doc <> first_doc or at <> first_at").select("doc", F.col("at").alias("start"), (F.col("at") + F.lit(window)).alias("end"))))
+    discard(hot, earliest)
+    out = cut(spans[0].union(spans[1]).union(spans[2]).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")))
+    discard(*spans)
+    return out
 
 
 def merged(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
@@ -355,8 +440,7 @@ def whole_characters(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int
 
 
 def _with_spans(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    spans = cut(repeated_spans(docs, key, text, window))
-    release(docs.sparkSession)
+    spans = repeated_spans(docs, key, text, window)
     return docs.withColumn("doc__", _doc(key)).join(spans.withColumnsRenamed({"doc": "doc__", "spans": "spans__"}), "doc__", "left").drop("doc__")
 
 
@@ -381,16 +465,19 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
     A text that nothing is left of goes with its row (drop_emptied), unless it was empty before; null texts stay null.
     """
+    names, schema = docs.columns, docs.schema
     rows = _with_spans(docs, key, text, window)
-    touched = rows.where("spans__ is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, text):
-            made = []
-            for whole, spans in zip(as_bytes(batch.column(text)), batch.column("spans__").to_pylist(), strict=True):
-                made.append(without(whole, whole_characters(whole, merged(spans, len(whole)))).decode())
-            columns = [pa.array(made, pa.string()) if c == text else batch.column(c) for c in docs.columns]
-            out = pa.RecordBatch.from_arrays(columns, docs.columns)
-            yield out.filter(pa.array([bool(x) for x in made])) if drop_emptied else out
-
-    return rows.where("spans__ is null").drop("spans__").unionByName(touched.mapInArrow(run, docs.schema))
+            made, keep = [], []
+            for whole, spans in zip(batch.column(text).to_pylist(), batch.column("spans__").to_pylist(), strict=True):
+                if spans:
+                    raw = whole.encode() if whole else b""
+                    whole = without(raw, whole_characters(raw, merged(spans, len(raw)))).decode()
+                made.append(whole)
+                keep.append(not (spans and drop_emptied and not whole))
+            out = pa.RecordBatch.from_arrays([pa.array(made, pa.string()) if c == text else batch.column(c) for c in names], names)
+            yield out.filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(run, schema)
