@@ -88,25 +88,26 @@ def ngrams(which: np.ndarray, group: list[bytes], buckets: int = BUCKETS) -> tup
     return np.concatenate((owner, owner[both])), (np.concatenate((h, pair)) >> U(20)).astype(np.int64) % buckets
 
 
-def counts(docs: DataFrame, labels: DataFrame, key: str, text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams by bucket of all documents, and of those whose keys labels holds (each as often as it is labelled)."""
-    marked = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(labels.select(F.col(key).alias("key"), F.lit(True).alias("good")).distinct()), "key", "left")
+def counts(docs: DataFrame, good: DataFrame, key: str, text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams by bucket of all documents (buckets), and of good ones by the fold, 0 or 1, that good has for their keys (2, buckets)."""
+    marked = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(good.select(F.col(key).alias("key"), "fold")), "key", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        raw, target = np.zeros(buckets, np.int64), np.zeros((2, buckets), np.int64)
         for batch in small_batches(batches, "text"):
-            good = np.array([bool(x) for x in batch.column("good").to_pylist()])
+            fold = np.array([-1 if x is None else x for x in batch.column("fold").to_pylist()])
             for which, group in pieces(as_bytes(batch.column("text"))):
                 owner, bucket = ngrams(which, group, buckets)
                 raw += np.bincount(bucket, minlength=buckets)
-                target += np.bincount(bucket[good[owner]], minlength=buckets)
+                for f in (0, 1):
+                    target[f] += np.bincount(bucket[fold[owner] == f], minlength=buckets)
         some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, raw[some], target[0][some], target[1][some])], ["bucket", "raw", "t0", "t1"])
 
-    rows = marked.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+    rows = marked.mapInArrow(run, "bucket long, raw long, t0 long, t1 long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("raw", "t0", "t1")])
+    raw, target = np.zeros(buckets, np.int64), np.zeros((2, buckets), np.int64)
     for r in rows.collect():  # one row for each bucket
-        raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
+        raw[r["bucket"]], target[:, r["bucket"]] = r["raw"], (r["t0"], r["t1"])
     return raw, target
 
 
@@ -118,17 +119,19 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, smooth: float = 1.0) -> np.n
 
 
 def log_weights(texts: list[bytes], ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sum of ratios, count of n-grams) of each text."""
-    total, n = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    """(sums of ratios, count of n-grams) of each text; a row of sums for each row of ratios, if it has rows."""
+    tables = np.atleast_2d(ratios)
+    total, n = np.zeros((len(tables), len(texts)), np.int64), np.zeros(len(texts), np.int64)
     for which, group in pieces(texts):
-        owner, bucket = ngrams(which, group, len(ratios))
+        owner, bucket = ngrams(which, group, tables.shape[1])
         order = np.argsort(owner, kind="stable")
-        owner, value = owner[order], ratios[bucket[order]]
+        owner, bucket = owner[order], bucket[order]
         if len(owner):
             first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-            total[owner[first]] += np.add.reduceat(value, first)
+            for k, table in enumerate(tables):
+                total[k][owner[first]] += np.add.reduceat(table[bucket], first)
             n[owner[first]] += np.diff(np.concatenate((first, [len(owner)])))
-    return total, n
+    return (total[0] if ratios.ndim == 1 else total), n
 
 
 def gumbel(key: Column, seed: int) -> Column:
@@ -160,30 +163,36 @@ class Selection:
 
 
 def scored(docs: DataFrame, ratios: np.ndarray, key: str, text: str, seed: int) -> DataFrame:
-    """(key, weight, noisy, n): log weights plain and with noise, in units of 1 / UNIT, and counts of n-grams."""
+    """(key, weight, noisy, n, w0, w1): log weights plain and with noise, counts of n-grams, and weights without a fold.
+
+    Weights are in units of 1 / UNIT. ratios: a row for the whole target, and for it without fold 0 and without fold 1.
+    """
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), gumbel(F.col(key), seed).alias("noise"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             w, n = log_weights(as_bytes(batch.column("text")), ratios)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(w), pa.array(w + batch.column("noise").to_numpy()), pa.array(n)], ["key", "weight", "noisy", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(x) for x in (w[0], w[0] + batch.column("noise").to_numpy(), n, w[1], w[2]))], ["key", "weight", "noisy", "n", "w0", "w1"])
 
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, weight long, noisy long, n long")
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, weight long, noisy long, n long, w0 long, w1 long")
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, most_labelled: int = MOST_LABELLED, recall: float = 0.999, slack: float = 8.0, seed: int = 23) -> tuple[Selection, DataFrame]:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, most_labelled: int = MOST_LABELLED, recall: float = 0.99, slack: float = 8.0, seed: int = 23) -> tuple[Selection, DataFrame]:
     """The selection, and (key, weight, noisy, n) of every document as written to the shared folder.
 
     labels: (key, quality, toxic); the target is quality 1 that isn't toxic, by most_labelled rows at most. The sample's
     size k is the number of documents that weigh at least what `recall` of the labelled good ones weigh, less `slack`
-    (the reach of the noise). Documents without any n-gram have no evidence and aren't drawn. Without good labels, or
+    (the reach of the noise). For that, a labelled document is weighed by a model without its half of the labels, as its
+    own n-grams would speak for it. Documents without any n-gram have no evidence and aren't drawn. Without good labels, or
     without documents that could be drawn, nothing is.
     """
-    good = cut(labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias(key)).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(most_labelled))
-    ratios = log_ratios(*counts(docs, good, key, text, buckets))
-    rows = cut(scored(docs, ratios, key, text, seed))
+    good = cut(labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias(key)).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(most_labelled).withColumn("fold", F.xxhash64(key).bitwiseAND(F.lit(1)).cast("int")))
+    raw, target = counts(docs, good, key, text, buckets)
+    ratios = log_ratios(raw, target.sum(0))
+    others = [log_ratios(raw, t) if t.sum() else ratios for t in target[::-1]]
+    rows = cut(scored(docs, np.stack([ratios, *others]), key, text, seed))
     rows_with = rows.where("n > 0")
-    own = rows_with.join(F.broadcast(good.select(F.col(key).alias("key"))), "key").select("weight")
+    own = cut(rows_with.join(F.broadcast(good.select(F.col(key).alias("key"), "fold")), "key").select(F.when(F.col("fold") == 0, F.col("w0")).otherwise(F.col("w1")).alias("weight")))
     n_good = own.count()
     nothing = Selection(ratios, (1 << 62), None, seed)
     if not n_good:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, small_batches
 
 SPACE = "▁"
-#: Words that a worker keeps, and their longest.
+#: Words that a worker keeps in each of two generations, and their longest.
 MOST_WORDS, LONGEST_WORD = 300_000, 64
 
 
@@ -87,6 +87,7 @@ class Model:
                 self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.before: dict[str, tuple[bytes, bytes]] = {}  # words of the generation before
 
     def merged(self, text: str) -> list[int]:
         """The encoding by the definition: merge the best pair, the leftmost of equals, until none is a piece. -1: no piece."""
@@ -152,14 +153,14 @@ class Model:
 
     def _word(self, text: str) -> tuple[bytes, bytes]:
         """A word's ids, in decimal and joined by commas, and what they decode to."""
-        known = self.words.get(text)
+        known = self.before.get(text)
         if known is None:
             ids = self.encode_word(text)
             known = b",".join([b"%d" % i for i in ids]), b"".join([self.surface[i] for i in ids])
-            if len(text) <= LONGEST_WORD:
-                if len(self.words) >= MOST_WORDS:
-                    self.words.clear()
-                self.words[text] = known
+        if len(text) <= LONGEST_WORD:
+            if len(self.words) >= MOST_WORDS:
+                self.before, self.words = self.words, {}
+            self.words[text] = known
         return known
 
     def _split(self, text: str) -> list[str]:
@@ -177,7 +178,7 @@ class Model:
         if not text:
             return b"", b""
         known = self.words
-        found = [known.get(w) or self._word(w) for w in self._split(text)]
+        found = [known.get(w) or self._word(w) for w in self._split(text)]  # if a generation ends meanwhile, the next text sees the new one
         decoded = b"".join([x[1] for x in found])
         if self.dummy_prefix and decoded.startswith(b" "):
             decoded = decoded[1:]

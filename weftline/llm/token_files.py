@@ -31,7 +31,9 @@ CHUNKS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Texts of characters below this one are cut by PATTERN here; others by the library, whose Unicode tables count.
 PLAIN = re.compile("[\0-ɏ]*")
-MOST_CHUNKS, LONGEST_CHUNK = 250_000, 64
+WORD = re.compile(" ?[A-Za-z]+")
+#: Chunks that a worker keeps in each of two generations, and their longest.
+MOST_CHUNKS, LONGEST_CHUNK = 300_000, 64
 
 
 def byte_letters() -> list[str]:
@@ -55,31 +57,33 @@ class Encoder:
         added = [x["content"] for x in made.get("added_tokens", ())]
         self.cuts = not made.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not (special and added)
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
+        self.ids = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
         self.chunks: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # chunks of the generation before
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _part(self, part: str) -> bytes:
-        known = self.parts.get(part)
-        if known is None:
+        if WORD.fullmatch(part):
+            letters = "Ġ" + part[1:] if part[0] == " " else part
+        else:
             letters = part.encode().decode("latin-1").translate(self.letters)
-            known = b"".join([t.id.to_bytes(4, "little") for t in self.library.model.tokenize(letters)])
-            if len(part) <= LONGEST_CHUNK:
-                if len(self.parts) >= MOST_CHUNKS:
-                    self.parts.clear()
-                self.parts[part] = known
-        return known
+        ids = self.ids
+        return b"".join([ids[t.id] for t in self.library.model.tokenize(letters)])
 
     def _chunk(self, chunk: str) -> bytes:
-        if PLAIN.fullmatch(chunk):
-            known = b"".join([self._part(p) for p in PATTERN.findall(chunk)])
-        else:
-            known = self._whole(chunk)
+        known = self.before.get(chunk)
+        if known is None:
+            if WORD.fullmatch(chunk):
+                known = self._part(chunk)
+            elif PLAIN.fullmatch(chunk):
+                known = b"".join([self._part(p) for p in PATTERN.findall(chunk)])
+            else:
+                known = self._whole(chunk)
         if len(chunk) <= LONGEST_CHUNK:
             if len(self.chunks) >= MOST_CHUNKS:
-                self.chunks.clear()
+                self.before, self.chunks = self.chunks, {}
             self.chunks[chunk] = known
         return known
 
