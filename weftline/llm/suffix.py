@@ -10,7 +10,8 @@ corpus isn't possible on many machines, so the corpus is first cut down to the p
    member are repeats entirely, and the first goes on.
 3. Shards. First members of different classes with one gram go to one shard, where a suffix array of their contexts
    (induced sorting) and its permuted common prefixes give the runs of suffixes that share `window` bytes.
-   A gram with more classes than a shard should hold is dealt out by its single windows instead.
+   A gram with more classes than a shard should hold is dealt out by blocks of its windows instead: blocks that occur
+   again are repeats, and their first members are halved, down to single windows.
 
 Every step is a shuffle by hash with partial aggregation; no group of copies meets in one task.
 """
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ WINDOW, GRAM = 100, 32
 CHUNK, POSITION_BITS = 1 << 18, 20
 #: Classes of one gram that a shard takes; grams of more are dealt out by window.
 MOST_CLASSES = 128
+#: Windows in the blocks of those, round by round.
+BLOCKS = (32, 16, 8, 4, 2, 1)
 #: Bytes of contexts in one suffix array.
 SHARD_BYTES = 1 << 19
 #: Leftmost-smaller substrings of bytes up to this long are sorted as packed words; others by induction.
@@ -343,6 +347,29 @@ def _shard_repeats(window: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]
     return run
 
 
+def _split(size: int, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Contexts in blocks of windows, cut where the gram's offset in the window is a multiple of size, with a 128-bit hash of all they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(7)]
+            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "doc", "at", "shape", "bytes")), strict=True):
+                gram, doc, at, shape, text = row
+                n, offset, i = shape >> 8, shape & 255, 0
+                while i < n:  # the gram's offset falls by one from window to window
+                    here = offset - i
+                    k = min(n - i, here % size + 1)
+                    part = text[i : i + k + window - 1]
+                    h = xxhash.xxh3_128_intdigest(b"%d,%d,%d," % (gram, here, k) + part)
+                    for o, v in zip(out, (h >> 64, h & 0xFFFFFFFFFFFFFFFF, gram, doc, at + i, k * 256 + here, part), strict=True):
+                        o.append(v)
+                    i += k
+            columns = [pa.array(np.array(o, U).view(np.int64)) for o in out[:2]] + [pa.array(o, pa.int64()) for o in out[2:6]] + [pa.array(out[6], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "gram", "doc", "at", "shape", "bytes"])
+
+    return run
+
+
 def _doc(key: str) -> Column:
     return F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
 
@@ -384,24 +411,20 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     sharded = contexts.where("not hot").drop("hot").repartition("gram").sortWithinPartitions("gram")
     spans.append(cut(sharded.mapInArrow(_shard_repeats(window, gram), "doc long, start long, end long")))
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, d, p = [], [], [], []
-            for doc, at, s in zip(batch.column("doc").to_pylist(), batch.column("at").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
-                for i in range(len(s) - window + 1):
-                    h = xxhash.xxh3_128_intdigest(s[i : i + window])
-                    a.append(h >> 64)
-                    b.append(h & 0xFFFFFFFFFFFFFFFF)
-                    d.append(doc)
-                    p.append(at + i)
-            yield _arrow(np.array(a, U), np.array(b, U), np.array(d, np.int64), np.array(p, np.int64), names=["a", "b", "doc", "at"])
-
-    hot = cut(contexts.where("hot").select("doc", "at", "bytes").mapInArrow(windows, "a long, b long, doc long, at long"))
-    discard(contexts)
-    earliest = cut(hot.groupBy("a", "b").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at")))
-    spans.append(cut(hot.join(earliest, ["a", "b"]).where("doc <> first_doc or at <> first_at").select("doc", F.col("at").alias("start"), (F.col("at") + F.lit(window)).alias("end"))))
-    discard(hot, earliest)
-    out = cut(spans[0].union(spans[1]).union(spans[2]).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")))
+    level, kinds = contexts.where("hot").drop("hot"), "a long, b long, gram long, doc long, at long, shape long, bytes binary"
+    used = [contexts]
+    for size in BLOCKS:
+        blocks = cut(level.mapInArrow(_split(size, window), kinds))
+        discard(*used)
+        firsts = cut(blocks.groupBy("a", "b").agg(F.min(F.struct("doc", "at", "shape", "gram", "bytes")).alias("first"), F.count(F.lit(1)).alias("n")))
+        known = firsts.where("n > 1").select("a", "b", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at"))
+        again = blocks.select("a", "b", "doc", "at", "shape").join(known, ["a", "b"]).where("doc <> first_doc or at <> first_at")
+        spans.append(cut(again.select("doc", F.col("at").alias("start"), (F.col("at") + F.shiftright("shape", 8) + F.lit(window - 1)).alias("end"))))
+        level, used = firsts.select("first.gram", "first.doc", "first.at", "first.shape", "first.bytes"), [blocks, firsts]
+        if not firsts.limit(1).count():
+            break
+    discard(*used)
+    out = cut(reduce(DataFrame.union, spans).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")))
     discard(*spans)
     return out
 
