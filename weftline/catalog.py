@@ -16,6 +16,7 @@ from .plans import sweep as S
 from .plans.language import apply_pipeline, run_sequence
 from .plans.state import State, kernel, start
 from .sources import panel as B
+from .sources import sinks
 
 T, H = 672, 48
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,6 +136,15 @@ def synthetic_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.synthetic(spark).select("series_id", "ord", F.posexplode(F.concat("history", "future")).alias("t", "y")).withColumn("y", F.round("y", 6))
 
 
+@query("ranked_records", """SELECT ref, trim(regexp_replace(lower(ref), '[^a-z0-9]+', '-', 'g'), '-') AS slug, string_agg(DISTINCT source, ' ' ORDER BY source) AS queries, count(*) AS votes,
+(CASE WHEN contains(lower(ref), 'en') THEN 1 ELSE 0 END + CASE WHEN contains(lower(ref), '_1') THEN 1 ELSE 0 END)::INTEGER AS relevance FROM (SELECT lang || '__' || (n_chars // 1000)::VARCHAR AS ref, source FROM documents)
+GROUP BY ref HAVING contains(lower(ref), 'en') OR contains(lower(ref), '_1') ORDER BY relevance DESC, votes DESC, ref LIMIT 10""")
+def ranked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = docs.select(F.concat_ws("__", "lang", F.floor(F.col("n_chars") / 1000).cast("string")).alias("ref"), F.col("source").alias("query"))
+    return sinks.rank_records(found, ["EN", "_1"], 1, 10)
+
+
 # cleaning and scaling
 
 
