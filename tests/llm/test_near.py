@@ -179,3 +179,38 @@ def test_removal_from_odd_rows(odd, with_clashes, empty):
 def test_only_whole_characters_are_cut():
     raw = "aéé".encode()
     assert suffix.whole_characters(raw, [(2, 4)]) == [] and suffix.whole_characters(raw, [(1, 4)]) == [(1, 3)] and suffix.whole_characters(raw, [(2, 5)]) == [(3, 5)]
+
+
+def periodic_rows() -> list[tuple[int, str]]:
+    """Texts of one word over and over, with a typo here and there."""
+    rng, rows = random.Random(11), []
+    for i in range(30):
+        text = list(("banana " * 220)[:1500])
+        for p in rng.sample(range(1500), 9):
+            text[p] = rng.choice("bnaxyz ")
+        rows.append((i, "".join(text)))
+    return rows
+
+
+def test_prefixes_of_some_suffixes():
+    rng = random.Random(12)
+    for _ in range(300):
+        s = bytes(rng.randrange(2) for _ in range(rng.randrange(2, 60)))
+        sa = suffix.suffix_array(np.frombuffer(s, np.uint8))
+        sa = sa[np.array([rng.random() < 0.7 for _ in sa])]
+        lcp = suffix.common_prefixes(s, sa, 8)
+        for a, b in zip(sa.tolist(), sa[1:].tolist(), strict=False):
+            n = 0
+            while n < 8 and max(a, b) + n < len(s) and s[a + n] == s[b + n]:
+                n += 1
+            assert lcp[b] == n
+
+
+@pytest.mark.parametrize("most_classes", [100_000, 128])
+def test_periodic_texts_with_typos(spark, most_classes):
+    rows = periodic_rows()
+    spans = {r["doc"]: r["spans"] for r in suffix.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), most_classes=most_classes).collect()}
+    for i, (n, gone, runs, digest) in brute_removed(rows).items():
+        raw = rows[i][1].encode()
+        merged = suffix.merged([s.asDict() for s in spans.get(i, ())], n)
+        assert (sum(z - a for a, z in merged), len(merged), hashlib.sha256(suffix.without(raw, merged)).hexdigest()) == (gone, runs, digest)

@@ -222,15 +222,21 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
 
 
 def common_prefixes(s: bytes, sa: np.ndarray, most: int) -> np.ndarray:
-    """Permuted: for each position in sa its suffix's common prefix with the suffix before it in sa, up to most; else 0."""
+    """Permuted: for each position in sa its suffix's common prefix with the suffix before it in sa, up to most; else 0.
+
+    sa may leave suffixes out. One byte on, a suffix has all but one byte of the prefix in common with the suffix that
+    follows the one before it, and so with its own neighbour, but only if sa holds that following suffix.
+    """
     n = len(s)
     before = np.full(n, -1)
     before[sa[1:]] = sa[:-1]
-    out, length, last = [0] * n, 0, -2
+    held = np.zeros(n + 1, bool)
+    held[sa] = True
+    out, length, last, goes_on = [0] * n, 0, -2, False
     where = np.flatnonzero(before >= 0)
-    for i, p in zip(where.tolist(), before[where].tolist(), strict=True):
-        length = length - 1 if i == last + 1 and length else 0
-        last = i
+    for i, p, follows in zip(where.tolist(), before[where].tolist(), held[before[where] + 1].tolist(), strict=True):
+        length = length - 1 if i == last + 1 and goes_on and length else 0
+        last, goes_on = i, follows
         end = n - (i if i > p else p)
         if end > most:
             end = most
