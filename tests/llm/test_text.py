@@ -233,3 +233,30 @@ def test_search_of_odd_vectors(spark):
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in mtree.exact_top(frame, frame.where("vec_id % 100 = 0"), 10).orderBy("rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 1), (0, 3, 6)]
     assert mtree.exact_top(frame.where("false"), frame, 3).count() == 0 and mtree.exact_top(frame, frame.where("false"), 3).count() == 0
+
+
+END = "<|endoftext|>"
+WITH_ADDED = [f"a {END} b", END, END * 3, f"{END}\n", f"a  {END}  b", f"x\n\n{END}\n\ny", f"<|endoftext|{END}|>", f"it's{END}'s", f"\u65e5\u672c{END}\ud55c\u56fd", "<|endoftext| >"]
+
+
+def test_added_tokens_are_found_as_the_library_finds_them():
+    from tokenizers import Tokenizer
+
+    own, library = token_files.Encoder(BYTE, special=True), Tokenizer.from_file(BYTE)
+    rng = random.Random(5)
+    mixed = ["".join(rng.choice([END, " ", "  ", "a", "the", "\n", "'s", "<|", "1", "\u4e2d", "\xa0"]) for _ in range(rng.randrange(1, 14))) for _ in range(400)]
+    assert own.cuts
+    for x in [*texts(), *WITH_ADDED, *mixed]:
+        assert np.frombuffer(own.encode(x), "<u4").tolist() == library.encode(x, add_special_tokens=False).ids, x
+
+
+def test_op3_of_texts_with_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BYTE)
+    spark.createDataFrame(list(enumerate(WITH_ADDED)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows, start = {r["doc_id"]: r for r in queries.op3_tokens(spark, str(tmp_path)).collect()}, 0
+    for i, x in enumerate(WITH_ADDED):
+        ids = [*library.encode(x, add_special_tokens=False).ids, 0]
+        assert (rows[i]["start"], rows[i]["n_tokens"], rows[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)

@@ -40,7 +40,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _folder(spark, "tokens")
-    token_files.write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("byte_bpe_50k.json"), out)
+    token_files.write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("byte_bpe_50k.json"), out, special=True)
     return token_files.token_index(spark, out)
 
 

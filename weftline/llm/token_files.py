@@ -5,7 +5,8 @@ one folder follow each other and each stripe's minimum and maximum id prune it.
 
 Encoding whole texts spends most of its time on words that it has had before. The byte-level pattern never joins other
 text to white space after it, so a text is cut there; a piece that a worker has had before is taken from a bounded
-cache, and any other is encoded by the tokenizers library.
+cache, and any other is encoded by the tokenizers library. Added tokens are found first, as the library finds them, and
+the texts between them are encoded each for itself.
 """
 
 from __future__ import annotations
@@ -54,8 +55,11 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         pre = made.get("pre_tokenizer") or {}
-        added = [x["content"] for x in made.get("added_tokens", ())]
-        self.cuts = not made.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not (special and added)
+        added = [x for x in made.get("added_tokens", ()) if x["content"] and (special or not x.get("special"))]
+        plain = not any(x.get(k) for x in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        self.cuts = not made.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and plain
+        self.added = {x["content"]: x["id"].to_bytes(4, "little") for x in added}
+        self.split = re.compile("({})".format("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))).split if added else None  # leftmost, then longest
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
         self.ids = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
         self.chunks: dict[str, bytes] = {}
@@ -90,6 +94,13 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not self.cuts:
             return self._whole(text)
+        if self.split:
+            parts = self.split(text)
+            if len(parts) > 1:  # every second part is an added token
+                return b"".join([self.added[p] if i % 2 else self._between(p) for i, p in enumerate(parts)])
+        return self._between(text)
+
+    def _between(self, text: str) -> bytes:
         known = self.chunks
         return b"".join([known.get(c) or self._chunk(c) for c in CHUNKS.findall(text)])
 
