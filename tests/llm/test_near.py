@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from weftline.llm import common, queries, simhash, suffix
+from weftline.llm import common, near, queries, simhash, stages, suffix
 
 
 def brute_print(text: str | None) -> int:
@@ -214,3 +214,49 @@ def test_periodic_texts_with_typos(spark, most_classes):
         raw = rows[i][1].encode()
         merged = suffix.merged([s.asDict() for s in spans.get(i, ())], n)
         assert (sum(z - a for a, z in merged), len(merged), hashlib.sha256(suffix.without(raw, merged)).hexdigest()) == (gone, runs, digest)
+
+
+def brute_similar(texts: list[str | None], ids: list[int]) -> list[int]:
+    """Smallest id of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 at least."""
+    sets = []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        sets.append({b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    parent = list(range(len(ids)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    least: dict[int, int] = {}
+    for i, one in enumerate(ids):
+        least[root(i)] = min(least.get(root(i), one), one)
+    return [least[root(i)] for i in range(len(ids))]
+
+
+def test_near_stage_finds_copies_with_edited_words(spark, sf):
+    rng = random.Random(21)
+    rows = [(r["doc_id"], r["text"]) for r in common.table(spark, sf, "documents").collect()]
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    for g in range(25):
+        base = rng.choices(words, k=300)
+        for c in range(4):
+            copy = list(base)
+            for p in rng.sample(range(300), 2 * c + (g % 2)):
+                copy[p] = rng.choice(words)
+            rows.append((100_000 + 10 * g + c, " ".join(copy)))
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r["doc_id"] for r in stages.near_duplicates(spark, docs, sf).collect())
+    assert got == sorted(set(brute_similar([t for _, t in rows], [i for i, _ in rows])))
+
+
+def test_similarity_is_exact_at_its_bound():
+    a, b = np.arange(9, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64)
+    assert near.similar(a, b) and not near.similar(a[:8], b[:8]) and near.similar(a[:0], a[:0])
+    assert near.shingles(b"A b  c\nd e").tolist() == near.shingles(b"a b c d e").tolist() and len(near.shingles(b"a b c d e f")) == 2

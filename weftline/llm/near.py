@@ -1,0 +1,148 @@
+"""Near-duplicates by the Jaccard similarity of their word shingles: MinHash bands propose pairs, the shingles decide.
+
+Texts of equal shingles are one node. Nodes that share a band are candidates: of a node's 14 bands of 4 minima, a pair
+of similarity s shares at least one with probability 1 - (1 - s**4)**14, which is 0.9994 at 0.8. Each round compares a
+band's nodes with one of them only, so that a large group of near copies costs a row for each node and band; pairs
+that are still in different components are all compared at the end.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import as_bytes, components, cut, discard, small_batches
+
+SHINGLE, PERCENT, SEED = 5, 80, 42
+BANDS, ROWS, ROUNDS = 14, 4, 3
+_FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+_SALTS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
+
+
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Distinct XXH64 of a text's word shingles in order; the whole line of a text of fewer words, and nothing of none."""
+    words = text.lower().split()  # of bytes: ASCII letters and ASCII white space only
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    line = memoryview(b" ".join(words))
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
+    k = min(shingle, n)
+    starts, stops = np.concatenate(([0], ends[: n - k])).tolist(), (ends[k - 1 :] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(line[s:e], SEED) for s, e in zip(starts, stops, strict=True)), np.uint64, len(starts)))
+
+
+def band_hashes(made: np.ndarray) -> list[int]:
+    """A hash of each band's minima (none of no shingles)."""
+    if not len(made):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(made), 4096):
+        np.minimum(least, ((made[i : i + 4096] ^ _SALTS) * _FACTORS).min(1), out=least)
+    return [xxhash.xxh3_64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether two sets in order have a Jaccard similarity of percent at least."""
+    both = np.sort(np.concatenate((a, b)), kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common * 100 >= percent * (len(both) - common)
+
+
+def _long(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return rows.withColumn("text_hash", F.xxhash64("text"))
+
+
+def _signed(rows: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            made = [shingles(x) for x in as_bytes(batch.column("text"))]
+            found = [band_hashes(m) for m in made]
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+            bands = pa.ListArray.from_arrays(pa.array(offsets), _long([h for x in found for h in x]))
+            nodes = _long([xxhash.xxh3_64_intdigest(m.tobytes()) for m in made])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("text_hash"), nodes, pa.array([len(m) for m in made], pa.int64()), bands], ["key", "text_hash", "node", "size", "bands"])
+
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, text_hash long, node long, size long, bands array<long>")
+
+
+def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles binary) of wanted (node, text_hash)."""
+    texts = rows.select("text_hash", "text").join(wanted, "text_hash").dropDuplicates(["text_hash"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            made = [shingles(x).tobytes() for x in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.binary())], ["node", "shingles"])
+
+    return texts.mapInArrow(run, "node long, shingles binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) those that are similar."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "x"):
+            keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(as_bytes(batch.column("x")), as_bytes(batch.column("y")), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(key, text_hash, root): rows whose shingles are similar, directly or through others, share root.
+
+    Texts that are null, empty or without words are each other's copies. Empty tables give no rows.
+    """
+    rows = _rows(docs, key, text)
+    signed = cut(_signed(rows))
+    nodes = cut(signed.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    members = nodes.select("node", "size", F.explode("bands").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    members = cut(members.join(shared, "bucket"))
+    sets = cut(_sets(rows, nodes.select("node", "text_hash").join(members.select("node").distinct(), "node")))
+    fits = F.least("a_size", "size") * F.lit(100) >= F.greatest("a_size", "size") * F.lit(percent)
+    labelled = members.withColumn("root", F.col("node"))
+    links: list[DataFrame] = []
+    roots = None
+    for turn in range(ROUNDS + 1):
+        live = labelled.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min_by(F.struct("node", "size", "root"), F.xxhash64("node", F.lit(turn))).alias("pivot")).where("least <> most")
+        if turn < ROUNDS:
+            others = live.select("bucket", F.col("pivot.node").alias("a"), F.col("pivot.size").alias("a_size"), F.col("pivot.root").alias("a_root"))
+        else:
+            others = labelled.join(live.select("bucket"), "bucket").select("bucket", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("root").alias("a_root"))
+        found = labelled.join(others, ["bucket"]).where(F.col("root") != F.col("a_root")).where(fits)
+        if turn == ROUNDS:
+            found = found.where("a < node")
+        pairs = cut(found.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
+        links.append(cut(_verified(pairs, sets, percent)))
+        discard(pairs)
+        roots = components(reduce(DataFrame.union, links))
+        labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    out = cut(signed.join(classes, "node").select(F.col("key").alias(key), "text_hash", "root"))
+    discard(signed, nodes, members, sets, *links)
+    return out
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """docs without near-duplicates: of each component one row of its smallest key stays (of a null key, if it has no other)."""
+    found = near_duplicates(docs, key, text, percent)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "text_hash")).alias("first"))
+    kept = cut(first.select(F.col("first.key").alias("key__"), F.col("first.text_hash").alias("hash__")))
+    hashed = F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit("")))
+    rows = docs.withColumn("own_hash__", hashed)
+    return rows.join(kept, rows[key].eqNullSafe(F.col("key__")) & (F.col("own_hash__") == F.col("hash__")), "left_semi").dropDuplicates([key, "own_hash__"]).drop("own_hash__")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import importance, mixing, sentencepiece_bpe, simhash, suffix
+from . import importance, mixing, near, sentencepiece_bpe, suffix
 from .common import table
 from .queries import tokenizer_file
 
@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked fingerprints stays."""
-    return simhash.keep_one(docs.select(COLUMNS))
+    """One document of each component stays, of texts whose five-word shingles have a Jaccard similarity of 0.8 at least."""
+    return near.keep_one(docs.select(COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
