@@ -260,3 +260,12 @@ def test_similarity_is_exact_at_its_bound():
     a, b = np.arange(9, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64)
     assert near.similar(a, b) and not near.similar(a[:8], b[:8]) and near.similar(a[:0], a[:0])
     assert near.shingles(b"A b  c\nd e").tolist() == near.shingles(b"a b c d e").tolist() and len(near.shingles(b"a b c d e f")) == 2
+
+
+@pytest.mark.parametrize("keep_one", [simhash.keep_one, near.keep_one])
+def test_rows_without_ids_or_with_repeated_ones_are_kept_by_component(spark, keep_one):
+    rng = random.Random(31)
+    a, b, c, d = (" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(60)) for _ in range(4))
+    rows = [(None, a), (None, b), (None, a), (5, c), (5, d), (5, c), (7, d), (8, a)]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(8, a), (0, b), (5, c), (5, d)])

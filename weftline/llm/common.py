@@ -58,6 +58,19 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def text_hash(text: str) -> Column:
+    """A hash of a text column, null as empty."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def only_rows(docs: DataFrame, kept: DataFrame, key: str, text: str) -> DataFrame:
+    """One row of docs for each (key, text_hash) of kept; null keys are keys."""
+    own = fresh(docs, "own_hash__")
+    wanted = kept.select(F.col("key").alias("key__"), F.col("text_hash").alias("hash__"))
+    rows = docs.withColumn(own, text_hash(text))
+    return rows.join(wanted, rows[key].eqNullSafe(wanted["key__"]) & (rows[own] == wanted["hash__"]), "left_semi").dropDuplicates([key, own]).drop(own)
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """A string column as UTF-8 bytes, null as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

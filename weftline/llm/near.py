@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, components, cut, discard, small_batches
+from .common import as_bytes, components, cut, discard, only_rows, small_batches, text_hash
 
 SHINGLE, PERCENT, SEED = 5, 80, 42
 BANDS, ROWS, ROUNDS = 14, 4, 3
@@ -62,7 +62,7 @@ def _long(values: list[int]) -> pa.Array:
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return rows.withColumn("text_hash", F.xxhash64("text"))
+    return rows.withColumn("text_hash", text_hash("text"))
 
 
 def _signed(rows: DataFrame) -> DataFrame:
@@ -142,7 +142,4 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     """docs without near-duplicates: of each component one row of its smallest key stays (of a null key, if it has no other)."""
     found = near_duplicates(docs, key, text, percent)
     first = found.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "text_hash")).alias("first"))
-    kept = cut(first.select(F.col("first.key").alias("key__"), F.col("first.text_hash").alias("hash__")))
-    hashed = F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit("")))
-    rows = docs.withColumn("own_hash__", hashed)
-    return rows.join(kept, rows[key].eqNullSafe(F.col("key__")) & (F.col("own_hash__") == F.col("hash__")), "left_semi").dropDuplicates([key, "own_hash__"]).drop("own_hash__")
+    return only_rows(docs, cut(first.select("first.key", "first.text_hash")), key, text)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, components, cut, small_batches
+from .common import as_bytes, components, cut, only_rows, small_batches, text_hash
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 4, 42
 #: Words of balls that a bucket enumerates at once.
@@ -162,7 +162,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
-    """docs without near-duplicates: of each component the rows of its smallest key (one of them, if that repeats) stay."""
-    found = near_duplicates(docs, key, text, **how)
-    kept = cut(found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(key).distinct())
-    return docs.join(kept, docs[key].eqNullSafe(kept[key]), "left_semi").dropDuplicates([key])
+    """docs without near-duplicates: of each component one row of its smallest key stays (of a null key, if it has no other).
+
+    Rows that share a key, or have none, are told apart by their texts.
+    """
+    named = docs.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), text_hash(text).alias("text_hash")).alias("row"), F.col(text).alias("text"))
+    found = near_duplicates(named, "row", "text", **how)
+    return only_rows(docs, cut(found.select("component_id.key", "component_id.text_hash").distinct()), key, text)
