@@ -53,3 +53,11 @@ def test_stages_of_empty_tables(spark, sf):
 def test_stages_of_odd_rows(spark, odd, sf):
     for stage in (stages.quality, stages.near_duplicates, stages.repeated_passages, stages.mix, stages.encode):
         assert 0 <= stage(spark, odd, sf).count() <= 40
+
+
+def test_mixing_stage_writes_the_mixtures_order(spark, sf, tmp_path):
+    docs = common.table(spark, sf, "documents")
+    stages.mix(spark, docs, sf).write.parquet(str(tmp_path / "mixed"))
+    files = sorted((tmp_path / "mixed").glob("part-*"))
+    got = [r["doc_id"] for f in files for r in spark.read.parquet(str(f)).collect()]
+    assert got == [r["doc_id"] for r in mixing.poisson_mix(docs, mixing.source_rates(docs)).orderBy("position").collect()]

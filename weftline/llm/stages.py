@@ -32,7 +32,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by their number of copies, in the mixture's order."""
-    return mixing.poisson_mix(docs.select(COLUMNS), mixing.source_rates(docs)).select(COLUMNS)
+    mixed = mixing.poisson_mix(docs.select(COLUMNS), mixing.source_rates(docs))
+    return mixed.repartitionByRange("position").sortWithinPartitions("position").select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
