@@ -4,8 +4,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from weftline.llm import common, near, queries, simhash, stages, suffix
 
@@ -123,20 +125,57 @@ def test_op6_against_brute_force(spark, sf):
     assert found(queries.op6_suffix(spark, sf)) == brute_removed([tuple(r) for r in docs])
 
 
-@pytest.mark.parametrize("most_classes", [128, 1])
-def test_repeats_of_every_kind(spark, most_classes):
+def assert_spans(spark, rows: list[tuple[int, str | None]], most: int) -> None:
+    spans = {r["ord"]: np.array(r["spans"]) for r in suffix.repeated_spans(spark.createDataFrame(rows, "ord long, text string"), most=most).collect()}
+    for (i, text), (n, gone, runs, digest) in zip(sorted(rows), brute_removed(rows).values(), strict=True):
+        raw = (text or "").encode()
+        merged = suffix.merged(spans.get(i, np.zeros(0, np.int64)), n)
+        assert (sum(z - a for a, z in merged), len(merged), hashlib.sha256(suffix.without(raw, merged)).hexdigest()) == (gone, runs, digest)
+
+
+@pytest.mark.parametrize("most", [4096, 4, 1])
+def test_repeats_of_every_kind(spark, most):
     rng = random.Random(3)
     common_line = "".join(rng.choices("abcde ", k=130))
     rows = [(i, "".join(rng.choices("abcdefgh", k=rng.randrange(200))) + common_line[: rng.randrange(95, 131)] + "".join(rng.choices("xyz", k=60))) for i in range(40)]
     rows += [(100, "a" * 700), (101, "ab" * 200 + "a" * 150), (102, None), (103, ""), (104, "é" * 120), (105, "x" + "é" * 120), (106, "short")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    spans = suffix.repeated_spans(docs, most_classes=most_classes).collect()
-    want = brute_removed(rows)
-    texts = {i: (t or "").encode() for i, t in rows}
-    for r in spans:
-        runs = suffix.merged([s.asDict() for s in r["spans"]], len(texts[r["doc"]]))
-        assert hashlib.sha256(suffix.without(texts[r["doc"]], runs)).hexdigest() == want[r["doc"]][3]
-    assert {r["doc"] for r in spans} == {i for i, w in want.items() if w[1]}
+    assert_spans(spark, rows, most)
+
+
+def test_thousands_of_contexts_on_one_gram(spark):
+    rng = random.Random(4)
+    line = "".join(rng.choices("abcdefghij ", k=110))
+    rows = [(i, "".join(rng.choices("abcdefghij ", k=150)) + line + "".join(rng.choices("abcdefghij ", k=150))) for i in range(5000)]
+    rows += [(5000 + i, rows[i][1][:300] + "end") for i in range(300)]
+    assert_spans(spark, rows, suffix.SHARD_CONTEXTS)
+    assert_spans(spark, rows[-1500:], 60)
+
+
+@pytest.mark.parametrize("window, gram", [(10, 4), (20, 8)])
+def test_dealing_on_keeps_equal_windows_together(window, gram):
+    rng = random.Random(8)
+    for _ in range(60):
+        base = [rng.choices(b"ab", k=rng.randrange(80)) for _ in range(4)]
+        docs = [bytes(rng.choice(base) + rng.choice(base)) for _ in range(rng.randrange(1, 25))]
+        rows, want, seen = [], set(), set()
+        for g in suffix.segments(docs, window):
+            grams, which, at, gap, count = suffix.anchors(g, window, gram)
+            rows += [(g, o, a, k, docs[o][a - k : a - k + n + window - 1]) for g, o, a, k, n in zip(grams.view(np.int64).tolist(), which.tolist(), at.tolist(), gap.tolist(), count.tolist(), strict=True)]
+        for o, text in enumerate(docs):
+            for i in range(len(text) - window + 1):
+                (want.add((o, i)) if text[i : i + window] in seen else seen.add(text[i : i + window]))
+        got, level = set(), rows
+        while level:
+            groups: dict[int, list] = {}
+            for r in level:
+                groups.setdefault(r[0], []).append(r)
+            pairs = [(*r, *min(own, key=lambda x: x[1:3])[1:]) for own in groups.values() for r in own]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*pairs, strict=True), kinds, strict=True)], [str(i) for i in range(9)])
+            made = [r for b in suffix._deal_on(window)(iter([batch])) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            got |= {(o, a + i) for _, o, a, n, text in made if text is None for i in range(n - window + 1)}
+            level = [r for r in made if r[4] is not None]
+        assert got == want
 
 
 def test_long_texts_are_cut_into_overlapping_segments(monkeypatch):
@@ -145,37 +184,62 @@ def test_long_texts_are_cut_into_overlapping_segments(monkeypatch):
     text = bytes(rng.randrange(97, 123) for _ in range(1500))
     covered = set()
     for group in suffix.segments([text]):
-        _, _, _, at, n = suffix.anchors(group)
-        for a, k in zip(at.tolist(), n.tolist(), strict=True):
-            new = set(range(a, a + (k >> 8)))
+        _, _, at, gap, n = suffix.anchors(group)
+        for a, k in zip((at - gap).tolist(), n.tolist(), strict=True):
+            new = set(range(a, a + k))
             assert not new & covered
             covered |= new
     assert covered == set(range(1500 - 99))
 
 
-def test_suffix_array_and_prefixes():
+@pytest.mark.parametrize("buckets", [8192, 3, 1])
+def test_suffix_array_and_prefixes(monkeypatch, buckets):
     rng = random.Random(2)
+    monkeypatch.setattr(suffix, "BUCKETS", buckets)
     for _ in range(150):
-        s = bytes(rng.randrange(rng.choice([1, 2, 30])) for _ in range(rng.randrange(1, 80)))
+        strings = [bytes(rng.randrange(rng.choice([1, 2, 30])) for _ in range(rng.randrange(1, 40))) for _ in range(rng.randrange(1, 4))]
+        s = b"\xff".join(strings) + b"\xff"
         sa = suffix.suffix_array(np.frombuffer(s, np.uint8))
         assert sa.tolist() == sorted(range(len(s)), key=lambda i: s[i:])
-        lcp = suffix.common_prefixes(s, sa, 5)
+        room = np.array([s.index(b"\xff", i) - i for i in range(len(s))])
+        lcp = suffix.common_prefixes(s, sa, room)
         for a, b in zip(sa.tolist(), sa[1:].tolist(), strict=False):
             n = 0
-            while n < 5 and max(a, b) + n < len(s) and s[a + n] == s[b + n]:
+            while n < min(room[a], room[b]) and s[a + n] == s[b + n]:
                 n += 1
             assert lcp[b] == n
 
 
+def test_suffix_array_of_large_numbers():
+    rng = random.Random(7)
+    for most in (3, 1000, 1 << 20):
+        s = [rng.randrange(most) for _ in range(700)]
+        assert suffix.suffix_array(np.array(s)).tolist() == sorted(range(700), key=lambda i: s[i:])
+
+
 def test_removal_from_odd_rows(odd, with_clashes, empty):
     assert suffix.removal_report(empty).count() == 0 and suffix.remove_repeats(empty).count() == 0
     rows = {r["doc_id"]: r for r in suffix.remove_repeats(odd).collect()}
     assert 2 not in rows and rows[3]["text"] is None and rows[4]["text"] == "" and len(rows[10]["text"]) < 110
     assert rows[9]["text"].startswith("Other start.") and len(rows[9]["text"]) < 40
-    assert suffix.remove_repeats(with_clashes.drop("spans__")).columns == with_clashes.drop("spans__").columns
+    assert suffix.remove_repeats(with_clashes).columns == with_clashes.columns
     assert suffix.removal_report(odd).count() == 12
 
 
+def test_rows_without_ids_or_with_repeated_ones_are_documents_of_their_own(spark):
+    rng = random.Random(9)
+    shared, *own = ("".join(rng.choices("abcdefghij ", k=279)) for _ in range(6))
+    texts = [(None, own[0] + shared), (None, shared + own[1]), (None, own[2]), (2, own[3] + shared), (2, own[4]), (3, own[2]), (3, own[2])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    hashes = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    ordered = sorted(texts, key=lambda r: (r[0] or -1, hashes[r[1]]))
+    want = brute_removed([(i, t) for i, (_, t) in enumerate(ordered)])
+    got = sorted((r["doc_id"] or -1, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.removal_report(docs).collect())
+    assert got == sorted((k or -1, *want[i]) for i, (k, _) in enumerate(ordered))
+    left = [r["text"] for r in suffix.remove_repeats(docs).collect()]
+    assert sum(len(t) for t in left) == 279 * 6 and all(any(x in t for t in left) for x in own)
+
+
 def test_only_whole_characters_are_cut():
     raw = "aéé".encode()
     assert suffix.whole_characters(raw, [(2, 4)]) == [] and suffix.whole_characters(raw, [(1, 4)]) == [(1, 3)] and suffix.whole_characters(raw, [(2, 5)]) == [(3, 5)]
@@ -192,28 +256,9 @@ def periodic_rows() -> list[tuple[int, str]]:
     return rows
 
 
-def test_prefixes_of_some_suffixes():
-    rng = random.Random(12)
-    for _ in range(300):
-        s = bytes(rng.randrange(2) for _ in range(rng.randrange(2, 60)))
-        sa = suffix.suffix_array(np.frombuffer(s, np.uint8))
-        sa = sa[np.array([rng.random() < 0.7 for _ in sa])]
-        lcp = suffix.common_prefixes(s, sa, 8)
-        for a, b in zip(sa.tolist(), sa[1:].tolist(), strict=False):
-            n = 0
-            while n < 8 and max(a, b) + n < len(s) and s[a + n] == s[b + n]:
-                n += 1
-            assert lcp[b] == n
-
-
-@pytest.mark.parametrize("most_classes", [100_000, 128])
-def test_periodic_texts_with_typos(spark, most_classes):
-    rows = periodic_rows()
-    spans = {r["doc"]: r["spans"] for r in suffix.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), most_classes=most_classes).collect()}
-    for i, (n, gone, runs, digest) in brute_removed(rows).items():
-        raw = rows[i][1].encode()
-        merged = suffix.merged([s.asDict() for s in spans.get(i, ())], n)
-        assert (sum(z - a for a, z in merged), len(merged), hashlib.sha256(suffix.without(raw, merged)).hexdigest()) == (gone, runs, digest)
+@pytest.mark.parametrize("most", [100_000, 128])
+def test_periodic_texts_with_typos(spark, most):
+    assert_spans(spark, periodic_rows(), most)
 
 
 def brute_similar(texts: list[str | None], ids: list[int]) -> list[int]:

@@ -1,46 +1,51 @@
 """Exact repeated-substring removal with suffix arrays built by induced sorting.
 
 A byte goes if a string of `window` bytes that covers it also starts earlier. Building one suffix array of the whole
-corpus isn't possible on many machines, so the corpus is first cut down to the places where a repeat can be:
+corpus isn't possible on many machines, so the corpus is dealt out to shards by what its windows hold:
 
-1. Anchors. Of every window's grams the one with the smallest hash is its anchor; that depends on the window's bytes
+1. Rows are sorted by key and written with a number of their own, so that null or repeated keys stay apart.
+2. Anchors. Of every window's grams the one with the smallest hash is its anchor; that depends on the window's bytes
    alone, so both copies of a repeated window have their anchor at the same offset. Neighbouring windows mostly share
    one, so there is about one anchor for 35 bytes. An anchor whose gram occurs once holds no repeat.
-2. Classes. Anchors whose whole contexts (the windows that chose them) are equal form a class; all but its first
-   member are repeats entirely, and the first goes on.
-3. Shards. First members of different classes with one gram go to one shard, where a suffix array of their contexts
-   (induced sorting) and its permuted common prefixes give the runs of suffixes that share `window` bytes.
-   A gram with more classes than a shard should hold is dealt out by blocks of its windows instead: blocks that occur
-   again are repeats, and their first members are halved, down to single windows.
-
-Every step is a shuffle by hash with partial aggregation; no group of copies meets in one task.
+3. Shards. Contexts (all windows that chose an anchor) of one gram go to one shard. Equal ones are one string there; a
+   suffix array of the shard's strings (induced sorting) and its permuted common prefixes give the runs of suffixes that
+   share `window` bytes, of which the earliest stays.
+4. A gram with more contexts than a shard should hold is dealt out further by what its contexts hold beyond it: each
+   context is compared with the gram's earliest one, byte by byte. Windows that lie in what both share are repeats;
+   those that reach over its right end go to the group of that length and next byte, those that reach over its left end
+   likewise. Equal windows do so alike, so they meet again; groups that are small enough by then go to the shards.
+
+Every step is a shuffle by hash, and the work is linear in the bytes of the contexts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, discard, release, small_batches
+from .common import as_bytes, cut, discard, fresh, release, small_batches, text_hash
 
 WINDOW, GRAM = 100, 32
 #: Bytes in one vector operation, and the bits that hold a position in them.
 CHUNK, POSITION_BITS = 1 << 18, 20
-#: Classes of one gram that a shard takes; grams of more are dealt out by window.
-MOST_CLASSES = 128
-#: Windows in the blocks of those, round by round.
-BLOCKS = (32, 16, 8, 4, 2, 1)
-#: Bytes of contexts in one suffix array.
-SHARD_BYTES = 1 << 19
-#: Leftmost-smaller substrings of bytes up to this long are sorted as packed words; others by induction.
-MOST_PACKED = 40
+#: Contexts of one gram that a shard takes as they come; grams of more are dealt out further.
+SHARD_CONTEXTS = 4096
+#: Bytes of contexts in one suffix array, besides the last gram's.
+SHARD_BYTES = 1 << 20
+#: Rows of one group that are compared with the group's earliest in different tasks.
+SALTS = 64
+#: Suffixes in the buckets that are filled at a time, besides the last bucket's.
+BUCKETS = 8192
+#: Bits of a length or offset in packed places and spans.
+SMALL = 12
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -83,10 +88,7 @@ def segments(texts: list[bytes], window: int = WINDOW) -> Iterator[list[tuple[in
 
 
 def anchors(group: list[tuple[int, int, bytes]], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Of a group of segments, for each anchor: gram hash, context hash, text's index, first window's start, and shape.
-
-    shape is the count of windows times 256, plus the gram's offset from the first window.
-    """
+    """Of a group of segments, for each anchor: gram hash, text's index, the gram's position in it, its offset in the first window that chose it, and the count of those windows."""
     sizes = np.array([len(x[2]) for x in group], np.int64)
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(x[2] for x in group), np.uint8)
@@ -109,79 +111,92 @@ def anchors(group: list[tuple[int, int, bytes]], window: int = WINDOW, gram: int
     first = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
     count = np.diff(np.concatenate((first, [len(chosen)])))
     p, q = starts[first], chosen[first]
-    context = (prefix[p + count + window - 1] - prefix[p]) * down[p]
-    context = _mix(context ^ ((q - p).astype(U) << U(20)) ^ (count.astype(U) << U(40)))
     which = np.searchsorted(ends, p, "right")
-    begin = ends - sizes
-    offsets = np.array([x[1] for x in group], np.int64)
-    return hashes[q], context, np.array([x[0] for x in group], np.int64)[which], p - begin[which] + offsets[which], count * 256 + q - p
+    offsets = np.array([x[1] for x in group], np.int64) - (ends - sizes)
+    return hashes[q], np.array([x[0] for x in group], np.int64)[which], q + offsets[which], q - p, count
+
 
+def _induce(s: np.ndarray, smaller: np.ndarray, by_symbol: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """Suffix order that the order of leftmost-smaller suffixes lms induces: larger ones from the left, smaller ones from the right.
 
-def _induce(s: list[int], is_s: list[bool], lms: list[int], sizes: np.ndarray) -> list[int]:
-    """Suffix order that the order of leftmost-smaller suffixes lms induces: larger ones left to right, smaller ones back."""
+    A suffix takes its place in its symbol's bucket by the place of the suffix after it. Buckets are filled some at a
+    time (symbols a to z - 1): where the suffix after one stands outside them, its place is known, and one sort deals
+    all those out; the few others follow one by one, as the scan meets the suffix after them.
+    """
     n = len(s)
+    sizes = np.bincount(s)
     stops = np.cumsum(sizes)
-    sa = [-1] * n
-    tail = stops.tolist()
-    for i in reversed(lms):
-        c = s[i]
-        tail[c] -= 1
-        sa[tail[c]] = i
-    head = (stops - sizes).tolist()
-    sa_at = s[n - 1]
-    first = head[sa_at]
-    sa[first] = n - 1
-    head[sa_at] = first + 1
-    for i in sa:  # the list grows to the right of the scan while it goes
-        if i > 0:
-            i -= 1
-            if not is_s[i]:
-                c = s[i]
-                h = head[c]
-                sa[h] = i
-                head[c] = h + 1
-    tail = stops.tolist()
-    for at in range(n - 1, -1, -1):
-        i = sa[at]
-        if i > 0:
-            i -= 1
-            if is_s[i]:
-                c = s[i]
-                h = tail[c] - 1
-                sa[h] = i
-                tail[c] = h
+    starts = stops - sizes
+    sa, place = np.empty(n, np.int64), np.full(n + 1, -1)
+    symbols = s[lms]
+    order = np.argsort(symbols, kind="stable")
+    count = np.bincount(symbols, minlength=len(sizes))
+    sorted_symbols = symbols[order]
+    place[lms[order]] = (stops - np.cumsum(count))[sorted_symbols] + np.arange(len(lms))
+    edges = np.unique(np.concatenate(([0], np.searchsorted(stops, np.arange(BUCKETS, n, BUCKETS)) + 1, [len(sizes)])))
+    kinds = smaller[by_symbol]
+    after = np.append(s[1:], -1)
+    for kind, ranges in ((False, zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)), (True, zip(edges[-2::-1].tolist(), edges[:0:-1].tolist(), strict=True))):
+        own = by_symbol[kinds == kind]
+        own_stops = np.cumsum(np.bincount(s[own], minlength=len(sizes)))
+        for a, z in ranges:
+            i = own[own_stops[a - 1] if a else 0 : own_stops[z - 1]]
+            if not len(i):
+                continue
+            inner = (after[i] < z) if kind else (after[i] >= a)
+            outer = i[~inner]
+            outer = outer[np.argsort(s[outer] * (n + 1) + place[outer + 1])]
+            count = np.bincount(s[outer] - a, minlength=z - a)
+            first = stops[a:z] - count if kind else starts[a:z]
+            at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(outer))
+            sa[at], place[outer] = outer, at
+            rest = i[inner]
+            if len(rest):
+                next_ = (first if kind else first + count).tolist()
+                waits = set(rest.tolist())
+                ready = rest[(smaller[rest + 1] != kind) | ((after[rest + 1] >= z) if kind else (after[rest + 1] < a))]  # the suffix after it has its place
+                sign = -1 if kind else 1
+                heap = list(zip((sign * place[ready + 1]).tolist(), ready.tolist(), strict=True))
+                heapq.heapify(heap)
+                found, where = [], []
+                values = dict(zip(rest.tolist(), (s[rest] - a).tolist(), strict=True))
+                while heap:
+                    _, j = heapq.heappop(heap)
+                    c = values[j]
+                    if kind:
+                        next_[c] -= 1
+                    h = next_[c]
+                    if not kind:
+                        next_[c] += 1
+                    found.append(j)
+                    where.append(h)
+                    if j - 1 in waits:
+                        heapq.heappush(heap, (sign * h, j - 1))
+                sa[where], place[found] = found, where
     return sa
 
 
-def _sorted_substrings(s: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Leftmost-smaller substrings of bytes in order, and which of them differ from the one before.
-
-    Each is packed into words of seven 9-bit symbols. The mark past its end is the largest symbol: of two substrings
-    of which one begins the other, the longer goes on with a larger suffix there, and so comes first. The last one
-    ends with s, by a mark that is smaller than any byte.
-    """
-    stops = np.concatenate((lms[1:] + 1, [len(s)]))
-    longest = int((stops - lms).max()) + 1
-    words = []
-    for first in range(0, longest, 7):
-        word = np.zeros(len(lms), U)
-        for k in range(first, first + 7):
-            at = lms + k
-            symbol = s[np.minimum(at, len(s) - 1)].astype(U) + U(1)
-            symbol[at >= stops] = U(511)
-            if at[-1] >= len(s):
-                symbol[-1] = U(0)
-            word = (word << U(9)) | symbol
-        words.append(word)
-    order = np.argsort(words[0], kind="stable") if len(words) == 1 else np.lexsort(words[::-1])
-    new = np.zeros(len(lms) - 1, bool)
-    for word in words:
-        new |= word[order[1:]] != word[order[:-1]]
-    return lms[order], new
+def _new(s: np.ndarray, ranked: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """For each leftmost-smaller substring but the first of ranked, in their order, whether it differs from the one before; s[a:stop] each, the last of the text from all."""
+    n = len(s)
+    a, b, za, zb = ranked[:-1], ranked[1:], stops[:-1], stops[1:]
+    differs = (za - a != zb - b) | (za > n) | (zb > n)
+    open_, k = np.flatnonzero(~differs), 0
+    while len(open_):
+        same = s[a[open_] + k] == s[b[open_] + k]
+        differs[open_[~same]] = True
+        k += 1
+        open_ = open_[same & (a[open_] + k < za[open_])]
+    return differs
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of s (integers from 0) by induced sorting; a suffix that is a prefix of another comes first."""
+    """Order of the suffixes of s (integers from 0) by induced sorting; a suffix that is a prefix of another comes first.
+
+    Suffixes are classified as smaller or larger than the next one. The substrings between leftmost-smaller ones are
+    sorted by induction and named by rank; if names repeat, the suffixes of the string of names are sorted in the same
+    way; their order induces all others'.
+    """
     n = len(s)
     if n < 2:
         return np.arange(n)
@@ -189,262 +204,271 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     turns = np.flatnonzero(step)
     smaller = step[turns[np.searchsorted(turns, np.arange(n))]] > 0
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
-    sizes = np.bincount(s)
-    values, types = s.tolist(), smaller.tolist()
-    if len(lms) and len(sizes) <= 256 and int(np.diff(lms).max(initial=0)) < MOST_PACKED:
-        at = np.full(n, -1)
-        at[lms] = np.arange(len(lms))
-        ranked, new = _sorted_substrings(s, lms)
-        names = np.concatenate(([0], np.cumsum(new)))
-        if names[-1] + 1 < len(lms):
-            reduced = np.empty(len(lms), np.int64)
-            reduced[at[ranked]] = names
-            ranked = lms[suffix_array(reduced)]
-        sorted_lms = ranked.tolist()
-    elif len(lms):
-        order = np.array(_induce(values, types, lms.tolist(), sizes))
-        at = np.full(n, -1)
-        at[lms] = np.arange(len(lms))
-        ranked = order[at[order] >= 0]
-        stops = np.concatenate((lms[1:] + 1, [n + 1]))  # the last one ends with the end of s, which nothing equals
-        raw, width = s.astype(np.int32).tobytes(), 4
-        a, z = (ranked * width).tolist(), (stops[at[ranked]] * width).tolist()
-        new = np.fromiter((raw[a[i - 1] : z[i - 1]] != raw[a[i] : z[i]] or z[i] > len(raw) or z[i - 1] > len(raw) for i in range(1, len(a))), bool, len(a) - 1)
-        names = np.concatenate(([0], np.cumsum(new)))
-        if names[-1] + 1 < len(lms):
-            reduced = np.empty(len(lms), np.int64)
-            reduced[at[ranked]] = names
-            ranked = lms[suffix_array(reduced)]
-        sorted_lms = ranked.tolist()
-    else:
-        sorted_lms = []
-    return np.array(_induce(values, types, sorted_lms, sizes))
-
-
-def common_prefixes(s: bytes, sa: np.ndarray, most: int) -> np.ndarray:
-    """Permuted: for each position in sa its suffix's common prefix with the suffix before it in sa, up to most; else 0.
-
-    sa may leave suffixes out. One byte on, a suffix has all but one byte of the prefix in common with the suffix that
-    follows the one before it, and so with its own neighbour, but only if sa holds that following suffix.
+    by_symbol = np.argsort(s.astype(np.uint16) if s.max() < 1 << 16 else s, kind="stable")  # 16 bits: by radix
+    s = s.astype(np.int64)
+    order = _induce(s, smaller, by_symbol, lms)
+    if not len(lms):
+        return order
+    at = np.full(n, -1)
+    at[lms] = np.arange(len(lms))
+    ranked = order[at[order] >= 0]
+    stops = np.concatenate((lms[1:] + 1, [n + 1]))
+    names = np.concatenate(([0], np.cumsum(_new(s, ranked, stops[at[ranked]]))))
+    if names[-1] + 1 < len(lms):
+        reduced = np.empty(len(lms), np.int64)
+        reduced[at[ranked]] = names
+        ranked = lms[suffix_array(reduced)]
+    return _induce(s, smaller, by_symbol, ranked)
+
+
+def common_prefixes(text: bytes, sa: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Permuted: for each position its suffix's common prefix with the suffix before it in sa, within both their rooms.
+
+    room counts the bytes from each position to the end of its string. Where the bytes before two neighbours are equal
+    too, those before are neighbours with one byte more in common; so only the other positions are compared.
     """
-    n = len(s)
+    n = len(text)
+    s = np.frombuffer(text, np.uint8)
     before = np.full(n, -1)
     before[sa[1:]] = sa[:-1]
-    held = np.zeros(n + 1, bool)
-    held[sa] = True
-    out, length, last, goes_on = [0] * n, 0, -2, False
-    where = np.flatnonzero(before >= 0)
-    for i, p, follows in zip(where.tolist(), before[where].tolist(), held[before[where] + 1].tolist(), strict=True):
-        length = length - 1 if i == last + 1 and goes_on and length else 0
-        last, goes_on = i, follows
-        end = n - (i if i > p else p)
-        if end > most:
-            end = most
-        if s[i + length : i + end] == s[p + length : p + end]:
-            length = end
-        else:
-            while s[i + length] == s[p + length]:
-                length += 1
-        out[i] = length
-    return np.array(out)
-
-
-def trimmed(contexts: list[bytes], offsets: list[int], window: int = WINDOW, gram: int = GRAM) -> list[tuple[int, int, bytes]]:
-    """Of contexts around one gram: (index, cut from the left, bytes) of what another one of them may have in common.
-
-    Equal windows have the gram at the same offset, so they match another context from there to both sides; the longest
-    match to a side is with a neighbour in the order of that side's text. Contexts that match for less than a window go.
-    """
-    n = len(contexts)
-    longest = [[0] * n, [0] * n]
-    sides = [[c[o - 1 :: -1] if o else b"" for c, o in zip(contexts, offsets, strict=True)], [c[o + gram :] for c, o in zip(contexts, offsets, strict=True)]]
-    for side, texts in enumerate(sides):
-        order = sorted(range(n), key=texts.__getitem__)
-        own = longest[side]
-        for a, b in zip(order, order[1:], strict=False):
-            x, y = texts[a], texts[b]
-            k, most = 0, min(len(x), len(y))
-            if x[:most] == y[:most]:
-                k = most
-            else:
-                while x[k] == y[k]:
-                    k += 1
-            if k > own[a]:
-                own[a] = k
-            if k > own[b]:
-                own[b] = k
-    return [(i, o - a, c[o - a : o + gram + z]) for i, (c, o, a, z) in enumerate(zip(contexts, offsets, *longest, strict=True)) if a + gram + z >= window]
-
-
-def repeats(contexts: list[bytes], doc: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """Runs (doc, start, end) of windows of the contexts, which stand at (doc, at), that an earlier one equals."""
-    text = b"\xff".join(contexts) + b"\xff"
-    sizes = np.array([len(x) + 1 for x in contexts])
-    which = np.repeat(np.arange(len(contexts)), sizes)
-    begin = np.cumsum(sizes) - sizes
+    fresh_ = np.ones(n, bool)
+    i = np.flatnonzero(before > 0)
+    i = i[i > 0]
+    fresh_[i] = (s[i - 1] != s[before[i] - 1]) | (room[i - 1] == 0)
+    words = np.ndarray((n,), "<u8", text + bytes(8), 0, (1,))
+    i = np.flatnonzero(fresh_ & (before >= 0))
+    p = before[i]
+    most = np.minimum(room[i], room[p])
+    length = np.zeros(len(i), np.int64)
+    open_ = np.flatnonzero(most > 0)
+    while len(open_):
+        other = words[i[open_] + length[open_]] ^ words[p[open_] + length[open_]]
+        lowest = other & (~other + U(1))
+        length[open_] += np.where(other == 0, 8, np.bitwise_count(lowest - U(1)) >> 3)
+        open_ = open_[(other == 0) & (length[open_] < most[open_])]
+    out = np.zeros(n, np.int64)
+    out[i] = np.minimum(length, most)
+    last = np.maximum.accumulate(np.where(fresh_, np.arange(n), 0))
+    return out[last] - (np.arange(n) - last)
+
+
+def repeats(strings: list[bytes], window: int, earlier: np.ndarray) -> np.ndarray:
+    """Whether each window of distinct strings, one after the other, has an equal one that starts earlier; earlier ranks all windows."""
+    sizes = np.array([len(x) for x in strings], np.int64)
+    text = b"\xff".join(strings) + b"\xff"
+    room = np.repeat(np.cumsum(sizes + 1) - 1, sizes + 1) - np.arange(len(text))
     sa = suffix_array(np.frombuffer(text, np.uint8))
-    whole = np.arange(len(text)) - begin[which] <= sizes[which] - 1 - window
-    sa = sa[whole[sa]]  # suffixes with window bytes in common stand side by side, with none that ends before
-    long = common_prefixes(text, sa, window)[sa] >= window
-    run = np.cumsum(~long)
-    d, p = doc[which[sa]], at[which[sa]] + sa - begin[which[sa]]
-    order = np.lexsort((p, d, run))
-    run, d, p = run[order], d[order], p[order]
-    first = np.concatenate(([True], run[1:] != run[:-1])) if len(run) else np.zeros(0, bool)
-    lead = np.maximum.accumulate(np.where(first, np.arange(len(run)), 0))
-    later = (d != d[lead]) | (p != p[lead])
-    d, p = d[later], p[later]
-    if not len(d):
-        return d, p, p
-    order = np.lexsort((p, d))
-    d, p = d[order], p[order]
-    starts = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (p[1:] > p[:-1] + 1))))
-    stops = np.concatenate((starts[1:], [len(d)])) - 1
-    return d[starts], p[starts], p[stops] + window
-
-
-def _arrow(*columns: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    shared = common_prefixes(text, sa, room)[sa] >= window
+    number = np.cumsum(room >= window) - 1
+    run = np.flatnonzero(shared | np.concatenate((shared[1:], [False])))  # members of runs of two or more
+    out = np.zeros(len(earlier), bool)
+    if len(run):
+        own = number[sa[run]]
+        first = np.flatnonzero(~shared[run])
+        least = np.minimum.reduceat(earlier[own], first)
+        out[own] = earlier[own] > np.repeat(least, np.diff(np.concatenate((first, [len(run)]))))
+    return out
+
+
+def _batch(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == U else c.astype(np.int64)) for c in columns], names)
 
 
 def _all_anchors(rows: DataFrame, window: int, gram: int, only_gram: bool) -> DataFrame:
-    names = ["gram"] if only_gram else ["gram", "context", "doc", "at", "shape"]
+    """(gram) or (gram, ord, place) of all anchors; place packs the gram's position, its offset and the count of windows."""
+    names = ["gram"] if only_gram else ["gram", "ord", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            keys = batch.column("doc").to_numpy()
+            keys = batch.column("ord").to_numpy()
             for group in segments(as_bytes(batch.column("text")), window):
-                g, c, which, at, shape = anchors(group, window, gram)
-                yield _arrow(g, names=names) if only_gram else _arrow(g, c, keys[which], at, shape, names=names)
+                g, which, at, offset, count = anchors(group, window, gram)
+                yield _batch(names, g) if only_gram else _batch(names, g, keys[which], (at << 2 * SMALL) | (offset << SMALL) | count)
 
     return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def _shard_repeats(window: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Over rows sorted by gram: suffix arrays of whole grams' contexts, SHARD_BYTES at a time."""
+PIECE = "gram long, ord long, at long, gap int, bytes binary"
 
-    def flush(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        doc, at = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
-        return _arrow(*repeats([x[2] for x in held], doc, at, window), names=["doc", "start", "end"])
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        own: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "doc", "at", "shape", "bytes")), strict=True):
-                if own and row[0] != own[0][0]:
-                    yield own
-                    own = []
-                own.append(row)
-        if own:
-            yield own
+def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], ["gram", "ord", "at", "gap", "bytes"])
+
+
+def shard_spans(rows: list[tuple[int, int, int, int, bytes]], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ord, start, length) of what is repeated in a shard: rows (gram, ord, at, gap, bytes), the gram at `at` of text ord, gap bytes into bytes.
+
+    Equal contexts are one string, at the earliest place of them; every other place is a repeat as a whole.
+    """
+    known: dict[bytes, int] = {}
+    which = np.array([known.setdefault(r[4], len(known)) for r in rows])
+    strings = list(known)
+    ord_, start = np.array([r[1] for r in rows], np.int64), np.array([r[2] - r[3] for r in rows], np.int64)
+    size = np.array([len(x) for x in strings], np.int64)
+    order = np.lexsort((start, ord_, which))
+    first = order[np.concatenate(([True], which[order][1:] != which[order][:-1]))]
+    later = (ord_ != ord_[first[which]]) | (start != start[first[which]])
+    spans = [(ord_[later], start[later], size[which[later]])]
+    grams = np.array([rows[i][0] for i in first], np.int64)
+    _, inverse, count = np.unique(grams, return_inverse=True, return_counts=True)
+    own = np.flatnonzero(count[inverse] > 1)  # strings that aren't their gram's only one
+    if len(own):
+        windows = size[own] - window + 1
+        base = np.cumsum(windows) - windows
+        docs = np.repeat(ord_[first[own]], windows)
+        at = np.repeat(start[first[own]] - base, windows) + np.arange(len(docs))
+        rank = np.empty(len(docs), np.int64)
+        rank[np.lexsort((at, docs))] = np.arange(len(docs))
+        again = np.flatnonzero(repeats([strings[i] for i in own.tolist()], window, rank))
+        if len(again):
+            string = np.repeat(np.arange(len(own)), windows)[again]
+            cuts = np.flatnonzero(np.concatenate(([True], (np.diff(again) > 1) | (np.diff(string) > 0))))
+            ends = np.concatenate((cuts[1:], [len(again)])) - 1
+            spans.append((docs[again[cuts]], at[again[cuts]], again[ends] - again[cuts] + window))
+    return tuple(np.concatenate(x) for x in zip(*spans, strict=True))
+
+
+def _shards(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over pieces sorted by gram: whole grams' contexts, SHARD_BYTES at a time."""
+
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        ord_, start, length = shard_spans(held, window)
+        return _batch(["ord", "span"], ord_, (start << SMALL) | length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for own in grams(batches):
-            for i, skipped, text in trimmed([r[4] for r in own], [r[3] & 255 for r in own], window, gram):
-                held.append((own[i][1], own[i][2] + skipped, text))
-                size += len(text)
-            if size >= SHARD_BYTES:
-                yield flush(held)
-                held, size = [], 0
+        held: list[tuple] = []
+        size = last = 0  # bytes held, and where the last gram of held begins
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[0] != held[-1][0]:
+                    if len(held) - last == 1:  # a gram of one piece holds no repeat
+                        size -= len(held.pop()[4])
+                    if size >= SHARD_BYTES:
+                        yield flush(held)
+                        held, size = [], 0
+                    last = len(held)
+                held.append(row)
+                size += len(row[4])
+        if len(held) - last == 1:
+            held.pop()
         if held:
             yield flush(held)
 
     return run
 
 
-def _split(size: int, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Contexts in blocks of windows, cut where the gram's offset in the window is a multiple of size, with a 128-bit hash of all they are."""
+def compared(one: bytes, gap: int, other: bytes, other_gap: int) -> tuple[int, int]:
+    """Bytes that two contexts share to the left of their grams' starts, and from there to the right."""
+    left, most = 0, min(gap, other_gap)
+    if one[gap - most : gap] == other[other_gap - most : other_gap]:
+        left = most
+    else:
+        while one[gap - left - 1] == other[other_gap - left - 1]:
+            left += 1
+    right, most = 0, min(len(one) - gap, len(other) - other_gap)
+    if one[gap : gap + most] == other[other_gap : other_gap + most]:
+        right = most
+    else:
+        while one[gap + right] == other[other_gap + right]:
+            right += 1
+    return left, right
+
+
+def dealt(gap: int, n_windows: int, left: int, right: int, window: int) -> tuple[tuple[int, int], ...]:
+    """Ranges (from, to) of the gram's offset in a context's windows: those within what it shares, over its right end, and over its left end only."""
+    most, least = gap, gap - n_windows + 1
+    return (max(least, window - right), min(most, left)), (least, min(most, window - right - 1)), (max(least, left + 1, window - right), most)
+
+
+def _deal_on(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pieces beside their group's earliest one, as pieces of new groups; a span has a null in place of bytes, its start as `at` and its length as gap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "doc", "at", "shape", "bytes")), strict=True):
-                gram, doc, at, shape, text = row
-                n, offset, i = shape >> 8, shape & 255, 0
-                while i < n:  # the gram's offset falls by one from window to window
-                    here = offset - i
-                    k = min(n - i, here % size + 1)
-                    part = text[i : i + k + window - 1]
-                    h = xxhash.xxh3_128_intdigest(b"%d,%d,%d," % (gram, here, k) + part)
-                    for o, v in zip(out, (h >> 64, h & 0xFFFFFFFFFFFFFFFF, gram, doc, at + i, k * 256 + here, part), strict=True):
-                        o.append(v)
-                    i += k
-            columns = [pa.array(np.array(o, U).view(np.int64)) for o in out[:2]] + [pa.array(o, pa.int64()) for o in out[2:6]] + [pa.array(out[6], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "gram", "doc", "at", "shape", "bytes"])
+            out: list[tuple] = []
+            for gram, ord_, at, gap, text, first_ord, first_at, first_gap, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if ord_ == first_ord and at == first_at:
+                    continue  # the earliest is nobody's repeat
+                left, right = compared(text, gap, first, first_gap)
+                same, over_right, over_left = dealt(gap, len(text) - window + 1, left, right, window)
+                if same[0] <= same[1]:
+                    out.append((gram, ord_, at - same[1], same[1] - same[0] + window, None))
+                for side, (a, z) in ((b"r%d,%d", over_right), (b"l%d,%d", over_left)):
+                    if a <= z:
+                        far = text[gap + right] if side[:1] == b"r" else text[gap - left - 1]
+                        group = xxhash.xxh64_intdigest(side % (right if side[:1] == b"r" else left, far), gram & (2**64 - 1))
+                        out.append((group - (1 << 64) if group >> 63 else group, ord_, at, z, text[gap - z : gap - a + window]))
+            yield _piece_batch(out)
 
     return run
 
 
-def _doc(key: str) -> Column:
-    return F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
+def _ordered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
+    """docs as written in the order of key and text hash, and the name of a column that numbers their rows in that order."""
+    number, tie = fresh(docs, "ord"), fresh(docs, "tie")
+    by = [F.col(key).asc_nulls_first(), F.col(tie)]
+    return cut(docs.withColumn(tie, text_hash(text)).repartitionByRange(*by).sortWithinPartitions(*by).drop(tie).withColumn(number, F.monotonically_increasing_id())), number
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, most_classes: int = MOST_CLASSES) -> DataFrame:
-    """(doc, spans array of (start, end)): byte ranges covered by windows that start earlier too; texts without any are left out.
+def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = SHARD_CONTEXTS) -> DataFrame:
+    """(ord, spans array<long>) of rows (ord, text): byte ranges covered by windows that start earlier too, packed as start * 2**12 + length.
 
-    Earlier: in a document of smaller key, or before in the same one; overlaps count. Null keys come first, null texts
-    are empty. Rows that share a key count as one document given more than once, whose spans hold for each of them.
+    Earlier: in a row of smaller ord, or before in the same one; overlaps count. Rows without any are left out.
     """
-    rows = docs.select(_doc(key).alias("doc"), F.col(text).cast("string").alias("text"))
-    spark = docs.sparkSession
-    shared = cut(_all_anchors(rows, window, gram, True).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
+    if not gram <= window < 1 << (SMALL - 1):
+        raise ValueError(f"window must be from {gram} to {(1 << (SMALL - 1)) - 1}")
+    spark = rows.sparkSession
+    counted = _all_anchors(rows, window, gram, True).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = cut(counted.select("gram", (F.col("n") > most).alias("hot")))
     release(spark)
-    found = cut(_all_anchors(rows, window, gram, False).join(shared, "gram"))
-    discard(shared)
-    classes = cut(found.groupBy("gram", "context").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("shape").alias("shape")).select("gram", "context", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at"), "shape"))
-    later = found.join(classes.select("gram", "context", "first_doc", "first_at"), ["gram", "context"]).where("doc <> first_doc or at <> first_at")
-    spans = [cut(later.select("doc", F.col("at").alias("start"), (F.col("at") + F.shiftright("shape", 8) + F.lit(window - 1)).alias("end")))]
-    discard(found)
-    many = cut(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"))
-    wanted = classes.join(many, "gram").select(F.col("first_doc").alias("doc"), F.struct("gram", F.col("first_at").alias("at"), "shape", (F.col("classes") > most_classes).alias("hot")).alias("w"))
-    each = wanted.groupBy("doc").agg(F.collect_list("w").alias("wanted"))
+    found = _all_anchors(rows, window, gram, False).join(shared, "gram")
+    each = found.groupBy("ord").agg(F.collect_list("gram").alias("grams"), F.collect_list(F.shiftleft("place", 1).bitwiseOR(F.col("hot").cast("long"))).alias("places"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
-            out: dict[str, list] = {c: [] for c in ("gram", "doc", "at", "shape", "hot", "bytes")}
-            for doc, whole, items in zip(batch.column("doc").to_pylist(), as_bytes(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
-                for w in items:
-                    end = w["at"] + (w["shape"] >> 8) + window - 1
-                    if end <= len(whole):
-                        for k, v in (("gram", w["gram"]), ("doc", doc), ("at", w["at"]), ("shape", w["shape"]), ("hot", w["hot"]), ("bytes", whole[w["at"] : end])):
-                            out[k].append(v)
-            kinds = {"hot": pa.bool_(), "bytes": pa.binary()}
-            yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], list(out))
-
-    contexts = cut(rows.join(each, "doc").mapInArrow(extract, "gram long, doc long, at long, shape long, hot boolean, bytes binary"))
-    discard(classes, many)
-    sharded = contexts.where("not hot").drop("hot").repartition("gram").sortWithinPartitions("gram")
-    spans.append(cut(sharded.mapInArrow(_shard_repeats(window, gram), "doc long, start long, end long")))
-
-    level, kinds = contexts.where("hot").drop("hot"), "a long, b long, gram long, doc long, at long, shape long, bytes binary"
-    used = [contexts]
-    for size in BLOCKS:
-        blocks = cut(level.mapInArrow(_split(size, window), kinds))
-        discard(*used)
-        firsts = cut(blocks.groupBy("a", "b").agg(F.min(F.struct("doc", "at", "shape", "gram", "bytes")).alias("first"), F.count(F.lit(1)).alias("n")))
-        known = firsts.where("n > 1").select("a", "b", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at"))
-        again = blocks.select("a", "b", "doc", "at", "shape").join(known, ["a", "b"]).where("doc <> first_doc or at <> first_at")
-        spans.append(cut(again.select("doc", F.col("at").alias("start"), (F.col("at") + F.shiftright("shape", 8) + F.lit(window - 1)).alias("end"))))
-        level, used = firsts.select("first.gram", "first.doc", "first.at", "first.shape", "first.bytes"), [blocks, firsts]
-        if not firsts.limit(1).count():
-            break
+        for batch in small_batches(batches, "text", 1 << 20):
+            out: list[list] = [[] for _ in range(6)]
+            for number, whole, grams, places in zip(batch.column("ord").to_pylist(), as_bytes(batch.column("text")), batch.column("grams"), batch.column("places"), strict=True):
+                place = places.values.to_numpy()
+                at, gap, n = place >> (2 * SMALL + 1), (place >> (SMALL + 1)) & ((1 << SMALL) - 1), (place >> 1) & ((1 << SMALL) - 1)
+                start = at - gap
+                for o, x in zip(out, (grams.values.to_pylist(), [number] * len(place), at.tolist(), gap.tolist(), (place & 1).astype(bool).tolist()), strict=False):
+                    o.extend(x)
+                out[5].extend([whole[a:z] for a, z in zip(start.tolist(), (start + n + window - 1).tolist(), strict=True)])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], ["gram", "ord", "at", "gap", "hot", "bytes"])
+
+    wanted = rows.select("ord", "text").join(each, "ord")
+    contexts = cut(wanted.mapInArrow(extract, "gram long, ord long, at long, gap int, hot boolean, bytes binary"))
+    discard(shared)
+
+    pieces, spans, used = [contexts.where("not hot").drop("hot")], [], [contexts]
+    level = contexts.where("hot").drop("hot")
+    while level.limit(1).count():
+        groups = cut(level.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "at", "gap", "bytes")).alias("first")).where("n > 1"))
+        pieces.append(level.join(groups.where(F.col("n") <= most).select("gram"), "gram").select("gram", "ord", "at", "gap", "bytes"))
+        firsts = groups.where(F.col("n") > most).select("gram", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "first.*").toDF("gram", "salt", "o", "a", "g", "b")
+        salted = level.withColumn("salt", F.pmod(F.xxhash64("ord", "at"), F.lit(SALTS)).cast("int")).join(firsts, ["gram", "salt"])
+        made = cut(salted.select("gram", "ord", "at", "gap", "bytes", "o", "a", "g", "b").mapInArrow(_deal_on(window), PIECE))
+        spans.append(made.where("bytes is null").select("ord", F.shiftleft("at", SMALL).bitwiseOR(F.col("gap").cast("long")).alias("span")))
+        level = made.where("bytes is not null")
+        used += [groups, made]
+    sharded = reduce(DataFrame.union, pieces).repartition("gram").sortWithinPartitions("gram")
+    spans.append(sharded.mapInArrow(_shards(window), "ord long, span long"))
+    out = cut(reduce(DataFrame.union, spans).groupBy("ord").agg(F.collect_list("span").alias("spans")))
     discard(*used)
-    out = cut(reduce(DataFrame.union, spans).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")))
-    discard(*spans)
     return out
 
 
-def merged(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
-    """Sorted spans as maximal runs within size."""
-    out: list[list[int]] = []
-    for s in spans or ():
-        a, z = s["start"], min(s["end"], size)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], z)
-        elif a < z:
-            out.append([a, z])
-    return [(a, z) for a, z in out]
+def merged(spans: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Packed spans as maximal runs within size, in order."""
+    if not len(spans):
+        return []
+    spans = np.sort(spans)
+    start = spans >> SMALL
+    reach = np.maximum.accumulate(np.minimum(start + (spans & ((1 << SMALL) - 1)), size))
+    first = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1])))
+    return list(zip(start[first].tolist(), reach[np.concatenate((first[1:], [len(reach)])) - 1].tolist(), strict=True))
 
 
 def without(text: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -468,20 +492,33 @@ def whole_characters(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def _with_spans(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    spans = repeated_spans(docs, key, text, window)
-    return docs.withColumn("doc__", _doc(key)).join(spans.withColumnsRenamed({"doc": "doc__", "spans": "spans__"}), "doc__", "left").drop("doc__")
+def _with_spans(docs: DataFrame, key: str, text: str, window: int) -> tuple[DataFrame, str]:
+    """docs, each row once, with its packed spans, and the name of their column."""
+    rows, number = _ordered(docs, key, text)
+    found = fresh(docs, "spans")
+    spans = repeated_spans(rows.select(F.col(number).alias("ord"), F.col(text).cast("string").alias("text")), window)
+    own = spans.select(F.col("ord").alias(number), F.col("spans").alias(found))
+    return rows.join(own, number, "left").drop(number), found
+
+
+def _packed(column: pa.Array) -> list[np.ndarray]:
+    return [np.zeros(0, np.int64) if not x.is_valid else x.values.to_numpy() for x in column]
 
 
 def removal_report(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row; the digest is of the remaining bytes, concatenated."""
-    rows = _with_spans(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), "key", "text", window)
+    """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row; the digest is of the remaining bytes, concatenated.
+
+    Rows go in the order of their keys, null ones first, and rows of one key in that of their texts' hashes; each is a
+    document of its own, so of repeated rows all but one consist of repeats. Null texts are empty, and texts shorter
+    than window keep all they have. Long texts are worked on whole. An empty table has no rows.
+    """
+    rows, spans = _with_spans(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), "key", "text", window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             out: list[list] = [[], [], [], []]
-            for whole, spans in zip(as_bytes(batch.column("text")), batch.column("spans__").to_pylist(), strict=True):
-                runs = merged(spans, len(whole))
+            for whole, own in zip(as_bytes(batch.column("text")), _packed(batch.column(spans)), strict=True):
+                runs = merged(own, len(whole))
                 for o, v in zip(out, (len(whole), sum(z - a for a, z in runs), len(runs), hashlib.sha256(without(whole, runs)).hexdigest()), strict=True):
                     o.append(v)
             yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(o, pa.int64()) for o in out[:3]), pa.array(out[3], pa.string())], ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -492,20 +529,21 @@ def removal_report(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, drop_emptied: bool = True) -> DataFrame:
     """docs with each text's repeated passages cut out, whole characters only; all other columns stay as they are.
 
-    A text that nothing is left of goes with its row (drop_emptied), unless it was empty before; null texts stay null.
+    Rows are told apart as removal_report does. A text that nothing is left of goes with its row (drop_emptied), unless
+    it was empty before; null texts stay null.
     """
     names, schema = docs.columns, docs.schema
-    rows = _with_spans(docs, key, text, window)
+    rows, spans = _with_spans(docs, key, text, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, text):
             made, keep = [], []
-            for whole, spans in zip(batch.column(text).to_pylist(), batch.column("spans__").to_pylist(), strict=True):
-                if spans:
-                    raw = whole.encode() if whole else b""
-                    whole = without(raw, whole_characters(raw, merged(spans, len(raw)))).decode()
+            for whole, own in zip(batch.column(text).to_pylist(), _packed(batch.column(spans)), strict=True):
+                if len(own):
+                    raw = whole.encode()
+                    whole = without(raw, whole_characters(raw, merged(own, len(raw)))).decode()
                 made.append(whole)
-                keep.append(not (spans and drop_emptied and not whole))
+                keep.append(not (len(own) and drop_emptied and not whole))
             out = pa.RecordBatch.from_arrays([pa.array(made, pa.string()) if c == text else batch.column(c) for c in names], names)
             yield out.filter(pa.array(keep, pa.bool_()))
 
