@@ -3,14 +3,14 @@
 A byte goes if a string of `window` bytes that covers it also starts earlier. Building one suffix array of the whole
 corpus isn't possible on many machines, so the corpus is dealt out to shards by what its windows hold:
 
-1. Rows are sorted by key and written with a number of their own, so that null or repeated keys stay apart.
-2. Anchors. Of every window's grams the one with the smallest hash is its anchor; that depends on the window's bytes
+1. Anchors. Of every window's grams the one with the smallest hash is its anchor; that depends on the window's bytes
    alone, so both copies of a repeated window have their anchor at the same offset. Neighbouring windows mostly share
    one, so there is about one anchor for 35 bytes. An anchor whose gram occurs once holds no repeat.
-3. Shards. Contexts (all windows that chose an anchor) of one gram go to one shard. Equal ones are one string there; a
-   suffix array of the shard's strings (induced sorting) and its permuted common prefixes give the runs of suffixes that
-   share `window` bytes, of which the earliest stays.
-4. A gram with more contexts than a shard should hold is dealt out further by what its contexts hold beyond it: each
+2. Classes. A context is all windows that chose an anchor. Equal contexts (by two hashes of 64 bits, of gram and context)
+   are gathered, with partial sums, before any of their bytes are shuffled: all but the earliest are repeats as a whole.
+3. Shards. The earliest contexts of one gram go to one shard. A suffix array of the shard's contexts (induced sorting) and
+   its permuted common prefixes give the runs of suffixes that share `window` bytes, of which the earliest stays.
+4. A gram with more different contexts than a shard should hold is dealt out further by what they hold beyond it: each
    context is compared with the gram's earliest one, byte by byte. Windows that lie in what both share are repeats;
    those that reach over its right end go to the group of that length and next byte, those that reach over its left end
    likewise. Equal windows do so alike, so they meet again; groups that are small enough by then go to the shards.
@@ -28,15 +28,15 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, discard, fresh, release, small_batches, text_hash
+from .common import as_bytes, cut, discard, fresh, release, small_batches
 
 WINDOW, GRAM = 100, 32
 #: Bytes in one vector operation, and the bits that hold a position in them.
 CHUNK, POSITION_BITS = 1 << 18, 20
-#: Contexts of one gram that a shard takes as they come; grams of more are dealt out further.
+#: Different contexts of one gram that a shard takes as they come; grams of more are dealt out further.
 SHARD_CONTEXTS = 4096
 #: Bytes of contexts in one suffix array, besides the last gram's.
 SHARD_BYTES = 1 << 20
@@ -88,7 +88,7 @@ def segments(texts: list[bytes], window: int = WINDOW) -> Iterator[list[tuple[in
 
 
 def anchors(group: list[tuple[int, int, bytes]], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Of a group of segments, for each anchor: gram hash, text's index, the gram's position in it, its offset in the first window that chose it, and the count of those windows."""
+    """Of a group of segments, for each anchor: gram and context hash, text's index, the gram's position in it, its offset in the first window that chose it, and the count of those windows."""
     sizes = np.array([len(x[2]) for x in group], np.int64)
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(x[2] for x in group), np.uint8)
@@ -111,9 +111,11 @@ def anchors(group: list[tuple[int, int, bytes]], window: int = WINDOW, gram: int
     first = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
     count = np.diff(np.concatenate((first, [len(chosen)])))
     p, q = starts[first], chosen[first]
+    context = (prefix[p + count + window - 1] - prefix[p]) * down[p]
+    context = _mix(context ^ ((q - p).astype(U) << U(20)) ^ (count.astype(U) << U(40)))
     which = np.searchsorted(ends, p, "right")
     offsets = np.array([x[1] for x in group], np.int64) - (ends - sizes)
-    return hashes[q], np.array([x[0] for x in group], np.int64)[which], q + offsets[which], q - p, count
+    return hashes[q], context, np.array([x[0] for x in group], np.int64)[which], q + offsets[which], q - p, count
 
 
 def _induce(s: np.ndarray, smaller: np.ndarray, by_symbol: np.ndarray, lms: np.ndarray) -> np.ndarray:
@@ -275,66 +277,51 @@ def _batch(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _all_anchors(rows: DataFrame, window: int, gram: int, only_gram: bool) -> DataFrame:
-    """(gram) or (gram, ord, place) of all anchors; place packs the gram's position, its offset and the count of windows."""
-    names = ["gram"] if only_gram else ["gram", "ord", "place"]
+    """(gram) or (gram, context, doc, tie, place) of all anchors; place packs the gram's position, its offset and the count of windows."""
+    names = ["gram"] if only_gram else ["gram", "context", "doc", "tie", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            keys = batch.column("ord").to_numpy()
+            doc, tie = (batch.column(c).to_numpy() for c in ("doc", "tie"))
             for group in segments(as_bytes(batch.column("text")), window):
-                g, which, at, offset, count = anchors(group, window, gram)
-                yield _batch(names, g) if only_gram else _batch(names, g, keys[which], (at << 2 * SMALL) | (offset << SMALL) | count)
+                g, c, which, at, offset, count = anchors(group, window, gram)
+                yield _batch(names, g) if only_gram else _batch(names, g, c, doc[which], tie[which], (at << 2 * SMALL) | (offset << SMALL) | count)
 
     return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-PIECE = "gram long, ord long, at long, gap int, bytes binary"
+PIECE = "gram long, doc long, tie long, at long, gap int, bytes binary"
+_NAMES = ["gram", "doc", "tie", "at", "gap", "bytes"]
 
 
 def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], ["gram", "ord", "at", "gap", "bytes"])
-
-
-def shard_spans(rows: list[tuple[int, int, int, int, bytes]], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ord, start, length) of what is repeated in a shard: rows (gram, ord, at, gap, bytes), the gram at `at` of text ord, gap bytes into bytes.
-
-    Equal contexts are one string, at the earliest place of them; every other place is a repeat as a whole.
-    """
-    known: dict[bytes, int] = {}
-    which = np.array([known.setdefault(r[4], len(known)) for r in rows])
-    strings = list(known)
-    ord_, start = np.array([r[1] for r in rows], np.int64), np.array([r[2] - r[3] for r in rows], np.int64)
-    size = np.array([len(x) for x in strings], np.int64)
-    order = np.lexsort((start, ord_, which))
-    first = order[np.concatenate(([True], which[order][1:] != which[order][:-1]))]
-    later = (ord_ != ord_[first[which]]) | (start != start[first[which]])
-    spans = [(ord_[later], start[later], size[which[later]])]
-    grams = np.array([rows[i][0] for i in first], np.int64)
-    _, inverse, count = np.unique(grams, return_inverse=True, return_counts=True)
-    own = np.flatnonzero(count[inverse] > 1)  # strings that aren't their gram's only one
-    if len(own):
-        windows = size[own] - window + 1
-        base = np.cumsum(windows) - windows
-        docs = np.repeat(ord_[first[own]], windows)
-        at = np.repeat(start[first[own]] - base, windows) + np.arange(len(docs))
-        rank = np.empty(len(docs), np.int64)
-        rank[np.lexsort((at, docs))] = np.arange(len(docs))
-        again = np.flatnonzero(repeats([strings[i] for i in own.tolist()], window, rank))
-        if len(again):
-            string = np.repeat(np.arange(len(own)), windows)[again]
-            cuts = np.flatnonzero(np.concatenate(([True], (np.diff(again) > 1) | (np.diff(string) > 0))))
-            ends = np.concatenate((cuts[1:], [len(again)])) - 1
-            spans.append((docs[again[cuts]], at[again[cuts]], again[ends] - again[cuts] + window))
-    return tuple(np.concatenate(x) for x in zip(*spans, strict=True))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], _NAMES)
+
+
+def shard_spans(rows: list[tuple[int, int, int, int, int, bytes]], window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """(doc, tie, start, length) of what is repeated in a shard: rows (gram, doc, tie, at, gap, bytes), the gram at `at` of the text, gap bytes into bytes."""
+    strings = [r[5] for r in rows]
+    windows = np.array([len(x) for x in strings], np.int64) - window + 1
+    base = np.cumsum(windows) - windows
+    doc, tie, start = (np.array(x, np.int64) for x in zip(*((r[1], r[2], r[3] - r[4]) for r in rows), strict=True))
+    owner = np.repeat(np.arange(len(rows)), windows)
+    at = np.repeat(start - base, windows) + np.arange(len(owner))
+    rank = np.empty(len(owner), np.int64)
+    rank[np.lexsort((at, tie[owner], doc[owner]))] = np.arange(len(owner))
+    again = np.flatnonzero(repeats(strings, window, rank))
+    cuts = np.flatnonzero(np.concatenate(([True], (np.diff(again) > 1) | (np.diff(owner[again]) > 0)))) if len(again) else again
+    ends = np.concatenate((cuts[1:], [len(again)])).astype(np.int64) - 1 if len(again) else again
+    first = again[cuts]
+    return doc[owner[first]], tie[owner[first]], at[first], again[ends] - first + window
 
 
 def _shards(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Over pieces sorted by gram: whole grams' contexts, SHARD_BYTES at a time."""
+    """Over pieces sorted by gram and place: whole grams' contexts, SHARD_BYTES at a time, those of repeated rows once."""
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
-        ord_, start, length = shard_spans(held, window)
-        return _batch(["ord", "span"], ord_, (start << SMALL) | length)
+        doc, tie, start, length = shard_spans(held, window)
+        return _batch(["doc", "tie", "span"], doc, tie, (start << SMALL) | length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -343,13 +330,15 @@ def _shards(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and row[0] != held[-1][0]:
                     if len(held) - last == 1:  # a gram of one piece holds no repeat
-                        size -= len(held.pop()[4])
+                        size -= len(held.pop()[5])
                     if size >= SHARD_BYTES:
                         yield flush(held)
                         held, size = [], 0
                     last = len(held)
+                if held and row[:4] == held[-1][:4]:
+                    continue
                 held.append(row)
-                size += len(row[4])
+                size += len(row[5])
         if len(held) - last == 1:
             held.pop()
         if held:
@@ -387,76 +376,84 @@ def _deal_on(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for gram, ord_, at, gap, text, first_ord, first_at, first_gap, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if ord_ == first_ord and at == first_at:
+            for gram, doc, tie, at, gap, text, first_doc, first_tie, first_at, first_gap, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (doc, tie, at) == (first_doc, first_tie, first_at):
                     continue  # the earliest is nobody's repeat
                 left, right = compared(text, gap, first, first_gap)
                 same, over_right, over_left = dealt(gap, len(text) - window + 1, left, right, window)
                 if same[0] <= same[1]:
-                    out.append((gram, ord_, at - same[1], same[1] - same[0] + window, None))
-                for side, (a, z) in ((b"r%d,%d", over_right), (b"l%d,%d", over_left)):
+                    out.append((gram, doc, tie, at - same[1], same[1] - same[0] + window, None))
+                for side, length, (a, z) in ((b"r", right, over_right), (b"l", left, over_left)):
                     if a <= z:
-                        far = text[gap + right] if side[:1] == b"r" else text[gap - left - 1]
-                        group = xxhash.xxh64_intdigest(side % (right if side[:1] == b"r" else left, far), gram & (2**64 - 1))
-                        out.append((group - (1 << 64) if group >> 63 else group, ord_, at, z, text[gap - z : gap - a + window]))
+                        beyond = text[gap + right] if side == b"r" else text[gap - left - 1]
+                        group = xxhash.xxh64_intdigest(b"%s%d,%d" % (side, length, beyond), gram & (2**64 - 1))
+                        out.append((group - (1 << 64) if group >> 63 else group, doc, tie, at, z, text[gap - z : gap - a + window]))
             yield _piece_batch(out)
 
     return run
 
 
-def _ordered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
-    """docs as written in the order of key and text hash, and the name of a column that numbers their rows in that order."""
-    number, tie = fresh(docs, "ord"), fresh(docs, "tie")
-    by = [F.col(key).asc_nulls_first(), F.col(tie)]
-    return cut(docs.withColumn(tie, text_hash(text)).repartitionByRange(*by).sortWithinPartitions(*by).drop(tie).withColumn(number, F.monotonically_increasing_id())), number
+def _identity(key: str, text: str) -> tuple[Column, Column]:
+    """What rows go by: the key as a number, and the text's hash."""
+    return F.coalesce(F.col(key).try_cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
-def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = SHARD_CONTEXTS) -> DataFrame:
-    """(ord, spans array<long>) of rows (ord, text): byte ranges covered by windows that start earlier too, packed as start * 2**12 + length.
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, most: int = SHARD_CONTEXTS) -> DataFrame:
+    """(doc, tie, spans array<long>): byte ranges covered by windows that start earlier too, packed as start * 2**12 + length.
 
-    Earlier: in a row of smaller ord, or before in the same one; overlaps count. Rows without any are left out.
+    doc is the row's key (the least long, if it has none) and tie its text's hash, which rows of one key are told apart
+    by. Earlier: in a row of smaller (doc, tie), or before in the same one; overlaps count. Rows that share both count as
+    one given more than once, whose spans hold for each. Rows without any are left out.
     """
     if not gram <= window < 1 << (SMALL - 1):
         raise ValueError(f"window must be from {gram} to {(1 << (SMALL - 1)) - 1}")
-    spark = rows.sparkSession
-    counted = _all_anchors(rows, window, gram, True).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut(counted.select("gram", (F.col("n") > most).alias("hot")))
+    doc, tie = _identity(key, text)
+    rows = docs.select(doc.alias("doc"), tie.alias("tie"), F.col(text).cast("string").alias("text"))
+    own, spark = ["doc", "tie"], docs.sparkSession
+    shared = cut(_all_anchors(rows, window, gram, True).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
     release(spark)
-    found = _all_anchors(rows, window, gram, False).join(shared, "gram")
-    each = found.groupBy("ord").agg(F.collect_list("gram").alias("grams"), F.collect_list(F.shiftleft("place", 1).bitwiseOR(F.col("hot").cast("long"))).alias("places"))
+    found = cut(_all_anchors(rows, window, gram, False).join(shared, "gram"))
+    discard(shared)
+    classes = cut(found.groupBy("gram", "context").agg(F.min(F.struct("doc", "tie", "place")).alias("first")))
+    later = found.join(classes, ["gram", "context"]).where(~((F.col("doc") == F.col("first.doc")) & (F.col("tie") == F.col("first.tie")) & (F.col("place") == F.col("first.place"))))
+    small, ones = F.lit((1 << SMALL) - 1), F.shiftright("place", 2 * SMALL)
+    start, n_windows = ones - F.shiftright("place", SMALL).bitwiseAND(small), F.col("place").bitwiseAND(small)
+    spans = [cut(later.select("doc", "tie", F.shiftleft(start, SMALL).bitwiseOR(n_windows + F.lit(window - 1)).alias("span")))]
+    discard(found)
+    many = cut(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", (F.col("n") > most).alias("hot")))
+    each = classes.join(many, "gram").groupBy("first.doc", "first.tie").agg(F.collect_list("gram").alias("grams"), F.collect_list(F.shiftleft("first.place", 1).bitwiseOR(F.col("hot").cast("long"))).alias("places"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 1 << 20):
-            out: list[list] = [[] for _ in range(6)]
-            for number, whole, grams, places in zip(batch.column("ord").to_pylist(), as_bytes(batch.column("text")), batch.column("grams"), batch.column("places"), strict=True):
+            out: list[list] = [[] for _ in range(7)]
+            for d, t, whole, grams, places in zip(batch.column("doc").to_pylist(), batch.column("tie").to_pylist(), as_bytes(batch.column("text")), batch.column("grams"), batch.column("places"), strict=True):
                 place = places.values.to_numpy()
                 at, gap, n = place >> (2 * SMALL + 1), (place >> (SMALL + 1)) & ((1 << SMALL) - 1), (place >> 1) & ((1 << SMALL) - 1)
-                start = at - gap
-                for o, x in zip(out, (grams.values.to_pylist(), [number] * len(place), at.tolist(), gap.tolist(), (place & 1).astype(bool).tolist()), strict=False):
+                begin = at - gap
+                cuts = [whole[a:z] for a, z in zip(begin.tolist(), (begin + n + window - 1).tolist(), strict=True)]
+                for o, x in zip(out, (grams.values.to_pylist(), [d] * len(place), [t] * len(place), at.tolist(), gap.tolist(), cuts, (place & 1).astype(bool).tolist()), strict=True):
                     o.extend(x)
-                out[5].extend([whole[a:z] for a, z in zip(start.tolist(), (start + n + window - 1).tolist(), strict=True)])
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], ["gram", "ord", "at", "gap", "hot", "bytes"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(o, kind) for o, kind in zip(out, kinds, strict=True)], [*_NAMES, "hot"])
 
-    wanted = rows.select("ord", "text").join(each, "ord")
-    contexts = cut(wanted.mapInArrow(extract, "gram long, ord long, at long, gap int, hot boolean, bytes binary"))
-    discard(shared)
+    contexts = cut(rows.join(each, own).mapInArrow(extract, f"{PIECE}, hot boolean"))
+    discard(classes, many)
 
-    pieces, spans, used = [contexts.where("not hot").drop("hot")], [], [contexts]
+    pieces, used = [contexts.where("not hot").drop("hot")], [contexts]
     level = contexts.where("hot").drop("hot")
     while level.limit(1).count():
-        groups = cut(level.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "at", "gap", "bytes")).alias("first")).where("n > 1"))
-        pieces.append(level.join(groups.where(F.col("n") <= most).select("gram"), "gram").select("gram", "ord", "at", "gap", "bytes"))
-        firsts = groups.where(F.col("n") > most).select("gram", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "first.*").toDF("gram", "salt", "o", "a", "g", "b")
-        salted = level.withColumn("salt", F.pmod(F.xxhash64("ord", "at"), F.lit(SALTS)).cast("int")).join(firsts, ["gram", "salt"])
-        made = cut(salted.select("gram", "ord", "at", "gap", "bytes", "o", "a", "g", "b").mapInArrow(_deal_on(window), PIECE))
-        spans.append(made.where("bytes is null").select("ord", F.shiftleft("at", SMALL).bitwiseOR(F.col("gap").cast("long")).alias("span")))
+        groups = cut(level.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "tie", "at", "gap", "bytes")).alias("first")).where("n > 1"))
+        pieces.append(level.join(groups.where(F.col("n") <= most).select("gram"), "gram").select(*_NAMES))
+        firsts = groups.where(F.col("n") > most).select("gram", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "first.*").toDF("gram", "salt", *(f"first_{c}" for c in _NAMES[1:]))
+        salted = level.withColumn("salt", F.pmod(F.xxhash64("tie", "at"), F.lit(SALTS)).cast("int")).join(firsts, ["gram", "salt"])
+        made = cut(salted.select(*_NAMES, *(f"first_{c}" for c in _NAMES[1:])).mapInArrow(_deal_on(window), PIECE))
+        spans.append(made.where("bytes is null").select(*own, F.shiftleft("at", SMALL).bitwiseOR(F.col("gap").cast("long")).alias("span")))
         level = made.where("bytes is not null")
         used += [groups, made]
-    sharded = reduce(DataFrame.union, pieces).repartition("gram").sortWithinPartitions("gram")
-    spans.append(sharded.mapInArrow(_shards(window), "ord long, span long"))
-    out = cut(reduce(DataFrame.union, spans).groupBy("ord").agg(F.collect_list("span").alias("spans")))
-    discard(*used)
+    sharded = reduce(DataFrame.union, pieces).repartition("gram").sortWithinPartitions(*_NAMES[:4])
+    spans.append(cut(sharded.mapInArrow(_shards(window), "doc long, tie long, span long")))
+    out = cut(reduce(DataFrame.union, spans).groupBy(*own).agg(F.collect_list("span").alias("spans")))
+    discard(*used, spans[0], spans[-1])
     return out
 
 
@@ -493,12 +490,10 @@ def whole_characters(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int
 
 
 def _with_spans(docs: DataFrame, key: str, text: str, window: int) -> tuple[DataFrame, str]:
-    """docs, each row once, with its packed spans, and the name of their column."""
-    rows, number = _ordered(docs, key, text)
-    found = fresh(docs, "spans")
-    spans = repeated_spans(rows.select(F.col(number).alias("ord"), F.col(text).cast("string").alias("text")), window)
-    own = spans.select(F.col("ord").alias(number), F.col("spans").alias(found))
-    return rows.join(own, number, "left").drop(number), found
+    """docs with each row's packed spans, and the name of their column."""
+    spans = repeated_spans(docs, key, text, window)
+    doc, tie, found = (fresh(docs, x) for x in ("doc__", "tie__", "spans__"))
+    return docs.withColumns(dict(zip((doc, tie), _identity(key, text), strict=True))).join(spans.toDF(doc, tie, found), [doc, tie], "left").drop(doc, tie), found
 
 
 def _packed(column: pa.Array) -> list[np.ndarray]:
@@ -508,9 +503,9 @@ def _packed(column: pa.Array) -> list[np.ndarray]:
 def removal_report(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row; the digest is of the remaining bytes, concatenated.
 
-    Rows go in the order of their keys, null ones first, and rows of one key in that of their texts' hashes; each is a
-    document of its own, so of repeated rows all but one consist of repeats. Null texts are empty, and texts shorter
-    than window keep all they have. Long texts are worked on whole. An empty table has no rows.
+    Rows go in the order of their keys as numbers, those without first, and rows of one key in that of their texts'
+    hashes; rows that share key and text are one document given more than once, with the same result. Null texts are
+    empty, and texts shorter than window keep all they have. Long texts are worked on whole. An empty table has no rows.
     """
     rows, spans = _with_spans(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), "key", "text", window)
 
@@ -529,7 +524,7 @@ def removal_report(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, drop_emptied: bool = True) -> DataFrame:
     """docs with each text's repeated passages cut out, whole characters only; all other columns stay as they are.
 
-    Rows are told apart as removal_report does. A text that nothing is left of goes with its row (drop_emptied), unless
+    Rows are told apart and ordered as removal_report does. A text that nothing is left of goes with its row (drop_emptied), unless
     it was empty before; null texts stay null.
     """
     names, schema = docs.columns, docs.schema
