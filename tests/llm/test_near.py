@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from weftline.llm import common, near, queries, simhash, stages, suffix
+from weftline.llm import common, queries, simhash, stages, suffix
 
 
 def brute_print(text: str | None) -> int:
@@ -58,7 +58,7 @@ def test_every_link_within_four_bits_is_found():
     low, links = 8, []
     for bucket in range(1 << low):
         own = [p for p in prints if ((p ^ bucket) & 255).bit_count() <= 2]
-        links += simhash.bucket_links(np.array(own, np.uint64), bucket, low)
+        links += [x[:2] for x in simhash.bucket_links(np.array(own, np.uint64), bucket, low)]
     assert all((a ^ b).bit_count() <= 4 for a, b in links)
     parent = {p: p for p in prints}
 
@@ -79,9 +79,29 @@ def test_every_link_within_four_bits_is_found():
 def test_ball_in_parts_finds_the_same(monkeypatch):
     rng = random.Random(6)
     prints = np.array([0xAA00 ^ (1 << rng.randrange(8, 64)) ^ (1 << rng.randrange(8, 64)) for _ in range(40)], np.uint64)
-    whole = simhash.bucket_links(prints, 0, 8)
-    monkeypatch.setattr(simhash, "AT_ONCE", 3000)
-    assert len(simhash.bucket_links(prints, 0, 8)) == len(whole) == len(np.unique(prints)) - 1
+    whole, stars = simhash.bucket_links(prints, 0, 8), simhash.bucket_links(prints, 0, 8, forest=False)
+    for most in (3000, 100, 1):
+        monkeypatch.setattr(simhash, "AT_ONCE", most)
+        assert len(simhash.bucket_links(prints, 0, 8)) == len(whole) == len(np.unique(prints)) - 1
+        assert sorted(simhash.bucket_links(prints, 0, 8, forest=False)) == sorted(stars)
+
+
+def test_full_buckets_are_dealt_out_by_more_bits(spark):
+    rng = random.Random(15)
+    prints = [rng.getrandbits(20) << 44 | (rng.getrandbits(3) << 30) for _ in range(150)]
+    rows = spark.createDataFrame([(t, p - (1 << 64) if p >> 63 else p) for t in (0, 1) for p in prints], "tag long, fingerprint long")
+    want = brute_components(prints, prints)
+    for most in (10**6, 20, 1):
+        links = [r for r in simhash.near_links(rows, most=most).collect()]
+        for tag in (0, 1):
+            parent = {p: p for p in prints}
+            for r in links:
+                if r["tag"] == tag:
+                    a, b = r["a"] % (1 << 64), r["b"] % (1 << 64)
+                    assert (a ^ b).bit_count() <= 4
+                    old, new = max(parent[a], parent[b]), min(parent[a], parent[b])
+                    parent = {p: new if x == old else x for p, x in parent.items()}
+            assert [parent[p] for p in prints] == want
 
 
 def test_components_of_long_paths_and_hubs(spark):
@@ -96,8 +116,9 @@ def test_near_duplicates_of_odd_rows(odd, with_clashes, empty):
     rows = [tuple(r) for r in simhash.near_duplicates(with_clashes).collect()]
     comp = {r[0]: r[2] for r in rows}
     assert len(rows) == 12 and comp[1] == comp[2] == 1 and comp[3] == comp[4] == comp[5] == 3
-    kept = simhash.keep_one(odd).collect()
-    assert sorted(r["doc_id"] for r in kept) == sorted(set(comp.values()))
+    kept = simhash.keep_one(with_clashes)
+    assert kept.columns == with_clashes.columns and simhash.keep_one(empty).count() == 0
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 6, 7, 8, 9, 10, 11]
 
 
 def brute_removed(rows: list[tuple[int, str | None]], window: int = 100) -> dict[int, tuple]:
@@ -126,7 +147,7 @@ def test_op6_against_brute_force(spark, sf):
 
 
 def assert_spans(spark, rows: list[tuple[int, str | None]], most: int) -> None:
-    spans = {r["ord"]: np.array(r["spans"]) for r in suffix.repeated_spans(spark.createDataFrame(rows, "ord long, text string"), most=most).collect()}
+    spans = {r["doc"]: np.array(r["spans"]) for r in suffix.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), most=most).collect()}
     for (i, text), (n, gone, runs, digest) in zip(sorted(rows), brute_removed(rows).values(), strict=True):
         raw = (text or "").encode()
         merged = suffix.merged(spans.get(i, np.zeros(0, np.int64)), n)
@@ -159,8 +180,8 @@ def test_dealing_on_keeps_equal_windows_together(window, gram):
         docs = [bytes(rng.choice(base) + rng.choice(base)) for _ in range(rng.randrange(1, 25))]
         rows, want, seen = [], set(), set()
         for g in suffix.segments(docs, window):
-            grams, which, at, gap, count = suffix.anchors(g, window, gram)
-            rows += [(g, o, a, k, docs[o][a - k : a - k + n + window - 1]) for g, o, a, k, n in zip(grams.view(np.int64).tolist(), which.tolist(), at.tolist(), gap.tolist(), count.tolist(), strict=True)]
+            grams, _, which, at, gap, count = suffix.anchors(g, window, gram)
+            rows += [(g, 0, o, a, k, docs[o][a - k : a - k + n + window - 1]) for g, o, a, k, n in zip(grams.view(np.int64).tolist(), which.tolist(), at.tolist(), gap.tolist(), count.tolist(), strict=True)]
         for o, text in enumerate(docs):
             for i in range(len(text) - window + 1):
                 (want.add((o, i)) if text[i : i + window] in seen else seen.add(text[i : i + window]))
@@ -169,12 +190,11 @@ def test_dealing_on_keeps_equal_windows_together(window, gram):
             groups: dict[int, list] = {}
             for r in level:
                 groups.setdefault(r[0], []).append(r)
-            pairs = [(*r, *min(own, key=lambda x: x[1:3])[1:]) for own in groups.values() for r in own]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*pairs, strict=True), kinds, strict=True)], [str(i) for i in range(9)])
+            pairs = [(*r, *min(own, key=lambda x: x[1:4])[1:]) for own in groups.values() for r in own]
+            batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*pairs, strict=True)], [str(i) for i in range(11)])
             made = [r for b in suffix._deal_on(window)(iter([batch])) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-            got |= {(o, a + i) for _, o, a, n, text in made if text is None for i in range(n - window + 1)}
-            level = [r for r in made if r[4] is not None]
+            got |= {(o, a + i) for _, _, o, a, n, text in made if text is None for i in range(n - window + 1)}
+            level = [r for r in made if r[5] is not None]
         assert got == want
 
 
@@ -184,7 +204,7 @@ def test_long_texts_are_cut_into_overlapping_segments(monkeypatch):
     text = bytes(rng.randrange(97, 123) for _ in range(1500))
     covered = set()
     for group in suffix.segments([text]):
-        _, _, at, gap, n = suffix.anchors(group)
+        _, _, _, at, gap, n = suffix.anchors(group)
         for a, k in zip((at - gap).tolist(), n.tolist(), strict=True):
             new = set(range(a, a + k))
             assert not new & covered
@@ -229,7 +249,7 @@ def test_removal_from_odd_rows(odd, with_clashes, empty):
 def test_rows_without_ids_or_with_repeated_ones_are_documents_of_their_own(spark):
     rng = random.Random(9)
     shared, *own = ("".join(rng.choices("abcdefghij ", k=279)) for _ in range(6))
-    texts = [(None, own[0] + shared), (None, shared + own[1]), (None, own[2]), (2, own[3] + shared), (2, own[4]), (3, own[2]), (3, own[2])]
+    texts = [(None, own[0] + shared), (None, shared + own[1]), (None, own[2]), (2, own[3] + shared), (2, own[4]), (3, own[2]), (4, own[4] + own[3])]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     hashes = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
     ordered = sorted(texts, key=lambda r: (r[0] or -1, hashes[r[1]]))
@@ -237,7 +257,15 @@ def test_rows_without_ids_or_with_repeated_ones_are_documents_of_their_own(spark
     got = sorted((r["doc_id"] or -1, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.removal_report(docs).collect())
     assert got == sorted((k or -1, *want[i]) for i, (k, _) in enumerate(ordered))
     left = [r["text"] for r in suffix.remove_repeats(docs).collect()]
-    assert sum(len(t) for t in left) == 279 * 6 and all(any(x in t for t in left) for x in own)
+    assert sum(len(t) for t in left) == sum(w[0] - w[1] for w in want.values()) and all(any(x in t for t in left) for x in own)
+    twice = suffix.removal_report(docs.union(docs)).collect()
+    assert sorted((r["doc_id"] or -1, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in twice) == sorted(2 * got)
+
+
+def test_keys_that_are_no_numbers_are_keys(spark):
+    rows = [("a", "x" * 99 + "yz" * 60), ("b", "other " * 30), ("c", "x" * 99 + "yz" * 60)]
+    report = suffix.removal_report(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r["doc_id"] for r in report} == {"a", "b", "c"} and next(r for r in report if r["doc_id"] == "b")["n_removed"] > 0
 
 
 def test_only_whole_characters_are_cut():
@@ -303,14 +331,22 @@ def test_near_stage_finds_copies_with_edited_words(spark, sf):
 
 def test_similarity_is_exact_at_its_bound():
     a, b = np.arange(9, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64)
-    assert near.similar(a, b) and not near.similar(a[:8], b[:8]) and near.similar(a[:0], a[:0])
-    assert near.shingles(b"A b  c\nd e").tolist() == near.shingles(b"a b c d e").tolist() and len(near.shingles(b"a b c d e f")) == 2
+    assert simhash.similar(a, b) and not simhash.similar(a[:8], b[:8]) and simhash.similar(a[:0], a[:0])
+    one = simhash.shingle_set
+    assert one(b"A b  c\nd e").tolist() == one(b"a b c d e").tolist() and len(one(b"a b c d e f")) == 2 and len(one(b"a")) == 1 and one(b"a") != one(b"a a")
+
+
+def test_table_prints_are_majorities():
+    made = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 9000, np.uint64))
+    words = simhash._mix((made[:, None] ^ simhash._MASKS) * simhash._FACTORS)
+    bits = [(sum(int(w) >> b & 1 for w in words[:, k].tolist()) * 2 > len(made)) for k in range(words.shape[1]) for b in range(64)]
+    want = [sum(1 << i for i in range(40) if bits[t * 40 + i]) for t in range(simhash.TABLES)]
+    assert simhash.table_prints(made).tolist() == want and not simhash.table_prints(made[:0]).any()
 
 
-@pytest.mark.parametrize("keep_one", [simhash.keep_one, near.keep_one])
-def test_rows_without_ids_or_with_repeated_ones_are_kept_by_component(spark, keep_one):
+def test_rows_without_ids_or_with_repeated_ones_are_kept_by_component(spark):
     rng = random.Random(31)
     a, b, c, d = (" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(60)) for _ in range(4))
     rows = [(None, a), (None, b), (None, a), (5, c), (5, d), (5, c), (7, d), (8, a)]
-    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(8, a), (0, b), (5, c), (5, d)])

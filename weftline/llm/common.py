@@ -58,17 +58,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def text_hash(text: str) -> Column:
-    """A hash of a text column, null as empty."""
-    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+def text_hashes(text: str) -> tuple[Column, Column]:
+    """128 bits of hash of a text column, null as empty."""
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return F.xxhash64(whole), F.xxhash64(F.lit(1), whole)
 
 
 def only_rows(docs: DataFrame, kept: DataFrame, key: str, text: str) -> DataFrame:
-    """One row of docs for each (key, text_hash) of kept; null keys are keys."""
-    own = fresh(docs, "own_hash__")
-    wanted = kept.select(F.col("key").alias("key__"), F.col("text_hash").alias("hash__"))
-    rows = docs.withColumn(own, text_hash(text))
-    return rows.join(wanted, rows[key].eqNullSafe(wanted["key__"]) & (rows[own] == wanted["hash__"]), "left_semi").dropDuplicates([key, own]).drop(own)
+    """One row of docs for each (own, h1, h2) of kept: a key, null ones too, and the text's hashes. Texts are shuffled once."""
+    names = [fresh(docs, x) for x in ("own_row__", "own_h1__", "own_h2__")]
+    rows = docs.withColumns(dict(zip(names, (F.xxhash64(F.col(key)), *text_hashes(text)), strict=True)))
+    wanted = kept.select(F.xxhash64("own").alias(names[0]), F.col("h1").alias(names[1]), F.col("h2").alias(names[2]))
+    return rows.join(wanted, names, "left_semi").dropDuplicates(names).drop(*names)
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
@@ -135,5 +136,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         table_, labels = new, new.select("node", "root")
         if not changed:
             discard(both)
+            labels.cut_path = new.cut_path
             return labels
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -1,28 +1,56 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
 Two fingerprints link if they differ in at most 2r bits. Then some word lies within r bits of both, so every
-fingerprint's ball of radius r is enumerated, and fingerprints whose balls meet in a word are a pair. The balls are
-dealt out by a few bits of the word: a fingerprint is sent once to every bucket that its ball touches, and the bucket
-enumerates the ball's words that belong to it. So the shuffle carries tens of rows for a fingerprint rather than the
-2,081 words of its ball.
+fingerprint's ball of radius r, its variants, is enumerated; fingerprints that share a variant are a candidate pair,
+and the pair is verified. Variants are dealt out by their low bits, a few at a time: a fingerprint is sent once to each
+bucket that holds variants of it, and the bucket's task makes those. A bucket with too many fingerprints is dealt out by
+the variants' next bits, so that no family of fingerprints meets in one task; with all bits dealt, a bucket is one
+variant. So the shuffle carries a few rows for a fingerprint rather than its whole ball, and the work is linear in it.
+
+similar_texts looks for texts whose shingles have a Jaccard similarity of a given percentage. One fingerprint of 64 bits
+can't tell those at 4 bits; it takes several shorter ones, of independent hashes: of TABLES fingerprints of TABLE_BITS
+bits, a pair of similarity 0.8 has one or more within 2 * RADIUS bits with probability 0.99 (0.9997 at 0.85). Pairs are
+verified by their texts' shingles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, components, cut, only_rows, small_batches, text_hash
+from .common import as_bytes, components, cut, discard, only_rows, small_batches, text_hashes
 
+U = np.uint64
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 4, 42
-#: Words of balls that a bucket enumerates at once.
-AT_ONCE = 4_000_000
+#: Of similar_texts: words of a shingle, similarity in percent, fingerprints of a text, their bits.
+WORDS, PERCENT, TABLES, TABLE_BITS = 5, 80, 16, 40
+#: Variants that a task makes at once, bits that variants are dealt out by at a time, and fingerprints that a bucket takes.
+AT_ONCE, STEP, MOST_PRINTS = 4_000_000, 4, 500_000
+#: Pairs of one text that are verified in different tasks, and candidates of a text that each round verifies, until none is left.
+SALTS, ROUNDS = 64, (1, 8, None)
+
+_WIDE = TABLES * TABLE_BITS // 64
+_MASKS, _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, _WIDE), U) * U(2) + U(1)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> U(32))) * U(0xD6E8FEB86659FD93)
+    return h ^ (h >> U(29))
+
+
+def votes(words: np.ndarray) -> np.ndarray:
+    """In how many rows of k 64-bit words each of their 64 * k bits is set. Eight bytes at a time count 255 rows."""
+    n, k = words.shape
+    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(n, 8 * k), axis=1, bitorder="little").view(np.uint64)
+    sums = np.add.reduceat(bits, np.arange(0, n, 255), axis=0)
+    return sums.view(np.uint8).reshape(len(sums), 64 * k).sum(0, dtype=np.int64)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -40,9 +68,9 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     counts, m = np.zeros(BITS, np.int64), n - shingle + 1
     stops = (ends[shingle - 1 :] - 1).tolist()
     for i in range(0, m, 4096):
-        h = np.array([digest(view[s:e], seed) for s, e in zip(starts[i : i + 4096], stops[i : i + 4096], strict=True)], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > m, bitorder="little").view(np.uint64)[0])
+        h = np.array([digest(view[s:e], seed) for s, e in zip(starts[i : i + 4096], stops[i : i + 4096], strict=True)], U)
+        counts += votes(h[:, None])
+    return int(np.packbits(counts * 2 > m, bitorder="little").view(U)[0])
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -51,97 +79,179 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            made = np.array([fingerprint(x, shingle, seed) for x in as_bytes(batch.column("text"))], np.uint64).view(np.int64)
+            made = np.array([fingerprint(x, shingle, seed) for x in as_bytes(batch.column("text"))], U).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(made)], ["key", "fingerprint"])
 
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, fingerprint long").withColumnRenamed("key", key)
 
 
+@lru_cache(maxsize=1 << 17)
+def _word_hash(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, SEED)
+
+
+def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
+    """Distinct hashes, in order, of a text's word shingles; one of the whole line for a text of fewer words, none of no words."""
+    found = text.lower().split()
+    if not found:
+        return np.zeros(0, U)
+    each = np.fromiter(map(_word_hash, found), U, len(found))
+    k = min(words, len(each))
+    h = np.full(len(each) - k + 1, k, U)
+    for i in range(k):
+        h = _mix(h * U(0x9FB21C651E98DF25) + each[i : len(each) - k + 1 + i])
+    return np.unique(h)
+
+
+def table_prints(made: np.ndarray) -> np.ndarray:
+    """TABLES fingerprints of TABLE_BITS bits of a set of shingle hashes; 0 for an empty one."""
+    counts = np.zeros(64 * _WIDE, np.int64)
+    for i in range(0, len(made), 4080):
+        counts += votes(_mix((made[i : i + 4080, None] ^ _MASKS) * _FACTORS))
+    bits = np.zeros((TABLES, 64), np.uint8)
+    bits[:, :TABLE_BITS] = (counts * 2 > len(made)).reshape(TABLES, TABLE_BITS)
+    return np.packbits(bits, axis=1, bitorder="little").view(U).ravel()
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether two sets in order have a Jaccard similarity of percent at least; empty ones are equal."""
+    both = np.sort(np.concatenate((a, b)), kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common * 100 >= percent * (len(both) - common)
+
+
+def _signed_long(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def _flips(bits: range, most: int) -> list[int]:
     return [sum(1 << b for b in chosen) for n in range(most + 1) for chosen in combinations(bits, n)]
 
 
-def bucket_links(prints: np.ndarray, bucket: int, low: int, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links (fingerprint, smaller fingerprint) among prints through the words whose low bits are bucket: a spanning forest.
+@lru_cache(maxsize=64)
+def _tables(low: int, bits: int, radius: int) -> list[np.ndarray]:
+    """By the radius that the low bits have used: what can be flipped of the others."""
+    return [np.array(_flips(range(low, bits), radius - t), U) for t in range(radius + 1)]
+
+
+def _shared(prints: np.ndarray, bucket: int, low: int, bits: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (index, index of the smallest fingerprint) of those that share a variant whose low bits are bucket, verified."""
+    away = np.bitwise_count((prints ^ U(bucket)) & U((1 << low) - 1))
+    prints_at = [np.flatnonzero(away == t) for t in range(radius + 1)]
+    tables = _tables(low, bits, radius)
+    if sum(len(p) * len(t) for p, t in zip(prints_at, tables, strict=True)) > AT_ONCE and low < bits:
+        step = min(STEP, bits - low)
+        for more in range(1 << step):
+            value = bucket | more << low
+            own = np.flatnonzero(np.bitwise_count((prints ^ U(value)) & U((1 << (low + step)) - 1)) <= radius)
+            if len(own) > 1:
+                for a, b in _shared(prints[own], value, low + step, bits, radius):
+                    yield own[a], own[b]
+        return
+    index_bits = U(max(1, len(prints).bit_length()))
+    clear = U(((1 << bits) - 1) ^ ((1 << low) - 1))
+    tagged = []
+    for at, table in zip(prints_at, tables, strict=True):
+        if len(at):
+            words = (prints[at, None] & clear) ^ table[None, :]
+            mixed = words * U(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ (mixed >> U(29))) * U(0xBF58476D1CE4E5B9)
+            mixed = (mixed & ~((U(1) << index_bits) - U(1))) | at.astype(U)[:, None]
+            tagged.append(mixed.ravel())
+    if not tagged:
+        return
+    tagged = np.sort(np.concatenate(tagged))
+    word = tagged >> index_bits  # a hash of the variant, of 40 bits or more
+    again = np.flatnonzero(word[1:] == word[:-1])
+    if not len(again):
+        return
+    who = (tagged & ((U(1) << index_bits) - U(1))).astype(np.int64)
+    starts = again[np.concatenate(([True], np.diff(again) > 1))]
+    stops = again[np.concatenate((np.diff(again) > 1, [True]))] + 2
+    size = stops - starts
+    first = np.repeat(who[starts], size)
+    members = who[np.repeat(starts - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())]
+    near = np.bitwise_count(prints[first] ^ prints[members]) <= 2 * radius
+    bad = {int(r) for r in np.repeat(np.arange(len(size)), size)[~near]}
+    own = near & (first != members)
+    yield members[own], first[own]
+    for r in bad:  # the hash has brought two variants together: those of the run that are near
+        run = np.unique(who[starts[r] : stops[r]])
+        for i, j in combinations(run.tolist(), 2):
+            if int(prints[i] ^ prints[j]).bit_count() <= 2 * radius:
+                yield np.array([j]), np.array([i])
 
-    All fingerprints that hold one word in their balls are within 2 * radius of each other, so a star from the smallest
-    of them stands for all their pairs. Words are compared by a 40-bit hash beside the print's index; every link is
-    verified, and where the hash has brought two words together all pairs of that run are compared.
+
+def bucket_links(prints: np.ndarray, bucket: int, low: int, bits: int = BITS, radius: int = RADIUS, forest: bool = True) -> list[tuple[int, int, int]]:
+    """(fingerprint, smaller fingerprint, how often they shared a variant) through the variants whose low bits are bucket.
+
+    All fingerprints that share a variant are within 2 * radius of each other, so a star from the smallest of them
+    stands for all their pairs. forest: only as many links as keep what is connected connected.
     """
-    prints = np.unique(np.asarray(prints, np.uint64))
-    away = np.bitwise_count((prints ^ np.uint64(bucket)) & np.uint64((1 << low) - 1))
-    tables = [np.array(_flips(range(low, BITS), radius - t), np.uint64) for t in range(radius + 1)]
-    clear = np.uint64(((1 << BITS) - 1) ^ ((1 << low) - 1))
-    parts = max(1, int(sum(np.count_nonzero(away == t) * len(tables[t]) for t in range(radius + 1)) // AT_ONCE))
-    index_bits = np.uint64(max(1, int(len(prints)).bit_length()))
-    parent = np.arange(len(prints))
+    prints = np.unique(np.asarray(prints, U))
+    n = len(prints)
+    parent = list(range(n))
 
     def root(i: int) -> int:
         while parent[i] != i:
             parent[i] = parent[parent[i]]
-            i = int(parent[i])
+            i = parent[i]
         return i
 
-    out: list[tuple[int, int]] = []
-
-    def link(i: int, j: int) -> None:
-        a, b = root(i), root(j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((int(prints[max(i, j)]), int(prints[min(i, j)])))
-
-    for part in range(parts):
-        tagged = []
-        for t, table in enumerate(tables):
-            own = np.flatnonzero(away == t)
-            for i in range(0, len(own), max(1, AT_ONCE // len(table))):
-                at = own[i : i + max(1, AT_ONCE // len(table))]
-                words = (prints[at, None] & clear) ^ table[None, :]
-                mixed = words * np.uint64(0x9E3779B97F4A7C15)
-                mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                if parts > 1:
-                    keep = (mixed & np.uint64(0xFFFF)) % np.uint64(parts) == part
-                mixed = (mixed & ~((np.uint64(1) << index_bits) - np.uint64(1))) | at.astype(np.uint64)[:, None]
-                tagged.append(mixed[keep] if parts > 1 else mixed.ravel())
-        if not tagged:
-            continue
-        tagged = np.sort(np.concatenate(tagged))
-        word = tagged >> index_bits
-        again = np.flatnonzero(word[1:] == word[:-1])
-        if not len(again):
-            continue
-        who = (tagged & ((np.uint64(1) << index_bits) - np.uint64(1))).astype(np.int64)
-        starts = again[np.concatenate(([True], np.diff(again) > 1))]
-        stops = again[np.concatenate((np.diff(again) > 1, [True]))] + 2
-        size = stops - starts
-        first = np.repeat(who[starts], size)
-        members = who[np.repeat(starts - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())]
-        near = np.bitwise_count(prints[first] ^ prints[members]) <= 2 * radius
-        bad = {int(r) for r in np.repeat(np.arange(len(size)), size)[~near]}
-        pairs = np.unique(np.stack([first, members], 1)[near & (first != members)], axis=0)
-        for i, j in pairs.tolist():
-            link(i, j)
-        for r in bad:
-            for i, j in combinations(np.unique(who[starts[r] : stops[r]]).tolist(), 2):
-                if int(prints[i] ^ prints[j]).bit_count() <= 2 * radius:
-                    link(i, j)
-    return out
+    found: dict[int, int] = {}
+    for a, b in _shared(prints, bucket, low, bits, radius):
+        pairs, times = np.unique(np.maximum(a, b) * n + np.minimum(a, b), return_counts=True)
+        for pair, t in zip(pairs.tolist(), times.tolist(), strict=True):
+            if forest:
+                i, j = root(pair // n), root(pair % n)
+                if i == j:
+                    continue
+                parent[max(i, j)] = min(i, j)
+            found[pair] = found.get(pair, 0) + t
+    return [(int(prints[pair // n]), int(prints[pair % n]), t) for pair, t in found.items()]
 
 
-def near_links(prints: DataFrame, radius: int = RADIUS, per_bucket: int = 1000) -> DataFrame:
-    """(a long, b long): links between distinct fingerprints (a column `fingerprint`) that keep every component whole."""
-    distinct = cut(prints.select("fingerprint").distinct())
-    low = min(24, max(8, (distinct.count() // per_bucket).bit_length()))
-    touched = F.array(*[F.lit(m) for m in _flips(range(low), radius)])
-    key = F.col("fingerprint").bitwiseAND(F.lit((1 << low) - 1))
-    sent = distinct.select("fingerprint", F.explode(F.transform(touched, lambda m: key.bitwiseXOR(m.cast("long")))).alias("bucket"))
-
+def _links_of(low: int, bits: int, radius: int, forest: bool) -> Callable[[tuple, pa.Table], pa.Table]:
     def run(group: tuple, rows: pa.Table) -> pa.Table:
-        links = bucket_links(rows.column("fingerprint").to_numpy().view(np.uint64), group[0].as_py(), low, radius)
-        made = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.table({"a": made[:, 0], "b": made[:, 1]})
+        tag, bucket = (x.as_py() for x in group)
+        found = bucket_links(rows.column("fingerprint").to_numpy().view(U), bucket & ((1 << low) - 1), low, bits, radius, forest)
+        made = np.array([x[:2] for x in found], U).reshape(-1, 2).view(np.int64)
+        return pa.table({"tag": pa.array([tag] * len(made), pa.int64()), "a": made[:, 0], "b": made[:, 1], "times": pa.array([x[2] for x in found], pa.int64())})
+
+    return run
 
-    return sent.groupBy("bucket").applyInArrow(lambda k, t: run(k, t), "a long, b long")
+
+def near_links(prints: DataFrame, bits: int = BITS, radius: int = RADIUS, forest: bool = True, most: int = MOST_PRINTS) -> DataFrame:
+    """(tag, a, b, times): links between distinct fingerprints (columns tag and fingerprint) of one tag, as bucket_links has them.
+
+    With forest every component stays whole; without, each two that share a variant are linked with the smallest that does.
+    """
+    level = prints.select("tag", "fingerprint").distinct().withColumn("bucket", F.lit(0).cast("long"))
+    low, links, used = 0, [], []
+    while True:
+        step = min(STEP, bits - low)
+        wide = low + step
+        values = F.array(*[F.lit(_signed_long(v << low)).cast("long") for v in range(1 << step)])
+        sent = level.select("tag", "fingerprint", F.explode(F.transform(values, lambda v: F.col("bucket").bitwiseOR(v))).alias("bucket"))
+        mask = F.lit(_signed_long((1 << wide) - 1)).cast("long")
+        sent = sent.where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("bucket")).bitwiseAND(mask)) <= radius)
+        last = wide >= bits
+        cold = sent
+        if not last:
+            full = cut(sent.groupBy("tag", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("tag", "bucket"))
+            used.append(full)
+            last = not full.limit(1).count()
+            cold = sent if last else sent.join(full, ["tag", "bucket"], "left_anti")
+
+        links.append(cold.groupBy("tag", "bucket").applyInArrow(_links_of(wide, bits, radius, forest), "tag long, a long, b long, times long"))
+        if last:
+            break
+        level, low = cut(sent.join(full, ["tag", "bucket"], "left_semi")), wide
+        used.append(level)
+    out = cut(reduce(DataFrame.union, links))
+    if used:
+        discard(*used)
+    return out
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
@@ -150,22 +260,110 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     component_id is the smallest key of the component; fingerprints link at 2 * radius or fewer differing bits. Copies
     are gathered into one fingerprint before anything is compared, so a group of copies costs one row for each task
     that holds some. Texts that are null, empty or without words link with each other (fingerprint 0). A repeated row
-    is its own copy; a null key is its own smallest only if it has no other. Empty tables give no rows.
+    is its own copy; a null key is its own smallest only if it has no other. Long texts count whole. Empty tables give
+    no rows, and no column of docs but key and text is looked at.
     """
     prints = cut(fingerprints(docs, key, text, shingle, seed).withColumnRenamed(key, "key"))
-    roots = components(near_links(prints, radius))
+    links = near_links(prints.select(F.lit(0).cast("long").alias("tag"), "fingerprint"), BITS, radius)
+    roots = components(links)
     firsts = prints.groupBy("fingerprint").agg(F.min("key").alias("first"))
     rooted = cut(firsts.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint")))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = cut(rooted.join(smallest, "root").select("fingerprint", "component_id"))
+    discard(links, rooted, roots)
     return prints.join(classes, "fingerprint").select(F.col("key").alias(key), "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
-    """docs without near-duplicates: of each component one row of its smallest key stays (of a null key, if it has no other).
+def _signed(rows: DataFrame) -> DataFrame:
+    """rows (own, h1, h2, text) with the size of the text's shingle set and its fingerprints in place of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            sets = [shingle_set(x) for x in as_bytes(batch.column("text"))]
+            prints = np.concatenate([table_prints(s) for s in sets]).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * TABLES), pa.array(prints))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("own", "h1", "h2")), pa.array([len(s) for s in sets], pa.int64()), lists], ["own", "h1", "h2", "size", "prints"])
+
+    return rows.mapInArrow(run, f"own {rows.schema['own'].dataType.simpleString()}, h1 long, h2 long, size long, prints array<long>")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) those whose texts are similar. Each b brings its text; a's comes once to each task that has some of its pairs."""
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
+    one = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
+    others = salted.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "text")
+    rows = one.union(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, U)
+        for batch in small_batches(batches, "text"):
+            found: list[tuple[int, int]] = []
+            for a, b, text in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), as_bytes(batch.column("text")), strict=True):
+                made = shingle_set(text)
+                if b is None:
+                    own = made
+                elif similar(own, made, percent):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return rows.select("a", "b", "text").mapInArrow(run, "a long, b long")
+
+
+def similar_texts(docs: DataFrame, own: str, text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(own, h1, h2, root): texts whose word shingles have a Jaccard similarity of percent at least, directly or through others, share root.
+
+    (h1, h2) is a hash of 128 bits of the text, null as empty; rows are told apart by it and own. Texts without words are
+    each other's copies. Candidates come from near_links of every table and from equal fingerprints. Each
+    round verifies the pairs, of texts that aren't in one component yet, that have met most often: one for each text,
+    then more, then all that are left. Empty tables give no rows.
+    """
+    h1, h2 = text_hashes(text)
+    rows = docs.select(F.col(own).alias("own"), h1.alias("h1"), h2.alias("h2"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    signed = cut(_signed(rows))
+    nodes = cut(signed.groupBy("h1", "h2").agg(F.first("size").alias("size"), F.first("prints").alias("prints")).withColumn("node", F.monotonically_increasing_id()))
+    prints = cut(nodes.select("node", "size", F.posexplode("prints").alias("tag", "fingerprint")).withColumn("tag", F.col("tag").cast("long")))
+    leads = cut(prints.groupBy("tag", "fingerprint").agg(F.min(F.struct("node", "size")).alias("lead"), F.count(F.lit(1)).alias("n")))
+    links = near_links(leads, TABLE_BITS, RADIUS, forest=False)
+    lead = lambda name: leads.select("tag", F.col("fingerprint").alias(name), F.col("lead").alias(f"{name}_lead"))
+    across = links.join(lead("a"), ["tag", "a"]).join(lead("b"), ["tag", "b"]).select("a_lead", "b_lead", "times")
+    within = prints.join(leads.where("n > 1"), ["tag", "fingerprint"]).where("node <> lead.node").select(F.struct("node", "size").alias("a_lead"), F.col("lead").alias("b_lead"), F.lit(len(_flips(range(TABLE_BITS), RADIUS))).cast("long").alias("times"))
+    fits = F.least("a_lead.size", "b_lead.size") * F.lit(100) >= F.greatest("a_lead.size", "b_lead.size") * F.lit(percent)
+    met = across.union(within).where("a_lead.node <> b_lead.node").where(fits)
+    live = cut(met.groupBy(F.col("b_lead.node").alias("a"), F.col("a_lead.node").alias("b")).agg(F.sum("times").alias("times")))
+    discard(prints, leads, links)
+    named = live.select(F.col("a").alias("node")).union(live.select("b")).distinct().join(nodes.select("node", "h1", "h2"), "node")
+    firsts = signed.groupBy("h1", "h2").agg(F.min("own").alias("own"))
+    row = named.join(firsts, ["h1", "h2"]).select("h1", "h2", F.xxhash64("own").alias("row"), "node")
+    texts = cut(rows.withColumn("row", F.xxhash64("own")).join(row, ["h1", "h2", "row"]).dropDuplicates(["h1", "h2", "row"]).select("node", "text"))
+    found: list[DataFrame] = []
+    roots = None
+    for most in ROUNDS:
+        best = Window.partitionBy("b").orderBy(F.col("times").desc(), "a")
+        chosen = live if most is None else live.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
+        now = cut(chosen.select("a", "b"))
+        found.append(cut(_verified(now, texts, percent)))
+        if roots is not None:
+            discard(roots)
+        roots = components(reduce(DataFrame.union, found))
+        if most is not None:
+            rooted = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+            rest = live.join(now, ["a", "b"], "left_anti").join(rooted("a"), "a", "left").join(rooted("b"), "b", "left")
+            after = cut(rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b", "times"))
+            discard(live)
+            live = after
+        discard(now)
+    classes = nodes.select("h1", "h2", "node").join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
+    out = cut(signed.select("own", "h1", "h2").join(classes, ["h1", "h2"]))
+    discard(signed, nodes, live, texts, roots, *found)
+    return out
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """docs without near-duplicates: of each group of similar_texts one row of its smallest key stays (of a null key, if it has no other).
 
-    Rows that share a key, or have none, are told apart by their texts.
+    Rows are told apart by key and text, so of repeated rows one stays, and rows that only share a key, or have none, are
+    each their own.
     """
-    named = docs.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), text_hash(text).alias("text_hash")).alias("row"), F.col(text).alias("text"))
-    found = near_duplicates(named, "row", "text", **how)
-    return only_rows(docs, cut(found.select("component_id.key", "component_id.text_hash").distinct()), key, text)
+    found = similar_texts(docs, key, text, percent)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("own").isNull().alias("none"), "own", "h1", "h2")).alias("first"))
+    return only_rows(docs, cut(first.select(F.col("first.own").alias("own"), "first.h1", "first.h2")), key, text)
