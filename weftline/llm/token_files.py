@@ -32,7 +32,9 @@ CHUNKS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Texts of characters below this one are cut by PATTERN here; others by the library, whose Unicode tables count.
 PLAIN = re.compile("[\0-ɏ]*")
-WORD = re.compile(" ?[A-Za-z]+")
+#: The letters among those characters, and a word of them with ASCII marks after it: the pattern's two pieces of such a chunk.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+WORD = re.compile(rf"( ?[{LETTERS}]+)([!-&(-/:-@\[-`{{-~]*)")
 #: Chunks that a worker keeps in each of two generations, and their longest.
 MOST_CHUNKS, LONGEST_CHUNK = 300_000, 64
 
@@ -64,31 +66,49 @@ class Encoder:
         self.ids = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
         self.chunks: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}  # chunks of the generation before
+        self.marks: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _part(self, part: str) -> bytes:
-        if WORD.fullmatch(part):
-            letters = "Ġ" + part[1:] if part[0] == " " else part
+        if part.isascii():
+            letters = part.translate(self.letters)
         else:
             letters = part.encode().decode("latin-1").translate(self.letters)
         ids = self.ids
         return b"".join([ids[t.id] for t in self.library.model.tokenize(letters)])
 
+    def _keep(self, chunk: str, known: bytes) -> None:
+        if len(chunk) <= LONGEST_CHUNK:
+            if len(self.chunks) >= MOST_CHUNKS:
+                self.before, self.chunks = self.chunks, {}
+            self.chunks[chunk] = known
+
     def _chunk(self, chunk: str) -> bytes:
         known = self.before.get(chunk)
         if known is None:
-            if WORD.fullmatch(chunk):
-                known = self._part(chunk)
+            made = WORD.fullmatch(chunk)
+            if made:
+                word, marks = made.groups()
+                known = (self.chunks.get(word) or self.before.get(word)) if marks else None
+                if known is None:
+                    known = self._part(word)
+                    if marks:
+                        self._keep(word, known)
+                if marks:
+                    known += self.marks.get(marks) or self._marks(marks)
             elif PLAIN.fullmatch(chunk):
                 known = b"".join([self._part(p) for p in PATTERN.findall(chunk)])
             else:
                 known = self._whole(chunk)
-        if len(chunk) <= LONGEST_CHUNK:
-            if len(self.chunks) >= MOST_CHUNKS:
-                self.before, self.chunks = self.chunks, {}
-            self.chunks[chunk] = known
+        self._keep(chunk, known)
+        return known
+
+    def _marks(self, marks: str) -> bytes:
+        known = self._part(marks)
+        if len(marks) <= 3:  # there are under 30,000 of them
+            self.marks[marks] = known
         return known
 
     def encode(self, text: str) -> bytes:
@@ -114,11 +134,14 @@ def encoder(path: str, special: bool) -> Encoder:
 def write_token_files(docs: DataFrame, tokenizer: str, out: str, key: str = "doc_id", text: str = "text", end_id: int | None = 0, special: bool = False) -> None:
     """Writes (doc_id, ids array<int>, ord) to ORC files in ascending key order, end_id after each document's ids.
 
-    Null keys come first; rows of one key stand in the order of their texts; null texts are empty. ord numbers a file's
-    rows. special: take special tokens' strings in texts as those tokens (by default they are ordinary text).
+    Null keys come first; rows of one key stand in the order of their texts' hashes, repeated ones beside each other, and
+    can go to several files, which follow each other by their numbers; null texts are empty. Long texts are encoded
+    whole. ord numbers a file's rows. special: take special tokens' strings in texts as those tokens (by default they are
+    ordinary text). An empty table makes files without rows.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    by = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(*by).sortWithinPartitions(*by).drop("tie")
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +164,7 @@ def read_documents(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of the files in path, as read back: start counts all ids of documents before."""
-    rows = spark.read.orc(path).select("doc_id", "ids", "ord", F.xxhash64(F.input_file_name()).alias("file"))
+    rows = spark.read.orc(path).select("doc_id", "ids", "ord", F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).cast("long").alias("file"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,8 +175,8 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ord"), batch.column("file"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "ord", "file", "n_tokens", "ids_crc32"])
 
     found = cut(rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ord long, file long, n_tokens long, ids_crc32 long"))
-    files = found.groupBy("file").agg(F.min("doc_id").alias("least"), F.count("doc_id").alias("with_id"), F.count(F.lit(1)).alias("rows"), F.sum("n_tokens").alias("n"))
-    running = Window.orderBy(F.col("with_id") == F.col("rows"), "least", "file").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row for each file
+    files = found.groupBy("file").agg(F.sum("n_tokens").alias("n"))
+    running = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row for each file
     starts = files.select("file", (F.sum("n").over(running) - F.col("n")).alias("before"))
     within = Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return found.join(starts, "file").select("doc_id", (F.col("before") + F.sum("n_tokens").over(within) - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")
