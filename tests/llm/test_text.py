@@ -235,6 +235,45 @@ def test_search_of_odd_vectors(spark):
     assert mtree.exact_top(frame.where("false"), frame, 3).count() == 0 and mtree.exact_top(frame, frame.where("false"), 3).count() == 0
 
 
+@pytest.mark.parametrize("largest", [9, 10**8, 4 * 10**8])
+def test_search_over_many_cells_against_brute_force(spark, largest):
+    rng = np.random.default_rng(2)
+    centres = rng.integers(-largest, largest, (9, 12))
+    vectors = centres[rng.integers(9, size=900)] + rng.integers(-largest // 9, largest // 9 + 1, (900, 12))
+    vectors[50:90] = vectors[3]
+    rows = [(i, [int(x) for x in v]) for i, v in enumerate(vectors.tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    found = mtree.exact_top(frame, frame.where("vec_id % 20 = 0"), 7, tree=100, block=16)
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found.collect()}
+    want = set()
+    for q in range(0, 900, 20):
+        scores = sorted((-sum(a * b for a, b in zip(rows[q][1], v, strict=True)), i) for i, v in rows if i != q)
+        want |= {(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scores[:7])}
+    assert got == want
+
+
+def test_cells_that_hold_nothing_better_are_left_out():
+    rng = np.random.default_rng(3)
+    centres = rng.integers(-1000, 1000, (30, 8))
+    vectors = centres[rng.integers(30, size=3000)] + rng.integers(-9, 9, (3000, 8))
+    cells = mtree.Cells(centres, int((vectors**2).sum(1).max()))
+    cell, distance = cells.nearest(vectors)
+    for c in range(30):
+        cells.radius[c] = distance[cell == c].max(initial=0)
+    q = vectors[:50]
+    scores = np.sort(q @ vectors.T, 1)[:, -10]
+    wanted = cells.least(q) <= cells.reach(q, scores)[:, None]
+    assert wanted.mean() < 0.5
+    for i in range(50):
+        assert wanted[i, cell[q[i] @ vectors.T >= scores[i]]].all()
+
+
+def test_vectors_whose_scores_do_not_fit_are_refused(spark):
+    frame = spark.createDataFrame([(0, [4 * 10**9]), (1, [1])], "vec_id long, vector array<long>")
+    with pytest.raises(ValueError, match="64 bits"):
+        mtree.exact_top(frame, frame, 1)
+
+
 END = "<|endoftext|>"
 WITH_ADDED = [f"a {END} b", END, END * 3, f"{END}\n", f"a  {END}  b", f"x\n\n{END}\n\ny", f"<|endoftext|{END}|>", f"it's{END}'s", f"\u65e5\u672c{END}\ud55c\u56fd", "<|endoftext| >"]
 
