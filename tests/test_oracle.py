@@ -6,7 +6,7 @@ import pytest
 from weftline import catalog
 
 SF = "/root/testdata/sf0.001"
-SOME = ["pipeline_z_last_value", "panel_mode_length", "linear_fill", "forward_fill", "fourier_features", "seasonal_fold_shape2", "affine_fold", "boxcox_lambda", "parrot_dataset_exhaustive", "window_kernel_fixed_gamma", "metrics_mase", "sweep_topn", "sweep_dedupe_predictions", "catalog_matrix", "enumerate_sequences"]
+SOME = ["pipeline_z_last_value", "panel_mode_length", "linear_fill", "forward_fill", "fourier_features", "seasonal_fold_shape2", "seasonal_fold_twice", "affine_fold", "affine_forecast_two_cycles", "boxcox_lambda", "parrot_dataset_exhaustive", "window_kernel_fixed_gamma", "metrics_mase", "sweep_topn", "sweep_dedupe_predictions", "grammar_edges", "catalog_matrix", "enumerate_sequences"]
 
 
 @pytest.fixture(scope="module")

@@ -275,6 +275,23 @@ def seasonal_fold_shape2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long(State(df, T, H), "shape2", "pos", "shape2")
 
 
+@query("seasonal_fold_twice", _FOLD + """, means AS (SELECT series_id, (cycle % 5)::INTEGER AS pos, avg(level) AS m FROM levels GROUP BY 1, 2),
+ratios AS (SELECT series_id, pos, m / avg(m) OVER (PARTITION BY series_id) AS r, avg(m) OVER (PARTITION BY series_id) AS grand FROM means),
+waves AS (SELECT series_id, 2e0 / 5e0 * sum(r * cos(2e0 * pi() * pos / 5e0)) AS a, 2e0 / 5e0 * sum(r * sin(2e0 * pi() * pos / 5e0)) AS b FROM ratios GROUP BY 1),
+both_ AS (SELECT *, 1e0 + a * cos(2e0 * pi() * pos / 5e0) + b * sin(2e0 * pi() * pos / 5e0) AS w FROM ratios JOIN waves USING (series_id)),
+bics AS (SELECT series_id, 5e0 * ln(greatest(sum((r - w) * (r - w)) / 5e0, 1e-12)) + 2e0 * ln(5e0) < 5e0 * ln(greatest(sum((r - 1e0) * (r - 1e0)) / 5e0, 1e-12)) AS wavy FROM both_ GROUP BY 1),
+mixed AS (SELECT series_id, pos, greatest(0.5e0 * r + 0.5e0 * CASE WHEN wavy THEN w ELSE 1e0 END, 1e-8) AS s FROM both_ JOIN bics USING (series_id) WHERE grand >= 1e-8),
+shape2 AS (SELECT series_id, pos, s / avg(s) OVER (PARTITION BY series_id) AS s FROM mixed)
+SELECT l.series_id, 'level' AS part, l.cycle AS i, round(l.level / coalesce(s.s, 1e0), 4) AS v FROM levels l LEFT JOIN shape2 s ON s.series_id = l.series_id AND s.pos = l.cycle % 5
+UNION ALL SELECT i.series_id, 'ahead', j.j, round(coalesce(s.s, 1e0), 4) FROM ids i CROSS JOIN (SELECT unnest(range(2))::INTEGER AS j) j LEFT JOIN shape2 s ON s.series_id = i.series_id AND s.pos = (28 + j.j) % 5""")
+def seasonal_fold_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """28 cycles by a coarser period of 5, which leaves a remainder of 3."""
+    token = P.SeasonalFold(secondary_min_strength=0.0)
+    s = after(folded(after(hourly(spark, sf_dir), P.LinearFill()), [24, 120]), token, token)
+    parts = [long(s, column, "i", "v", 4).select("series_id", F.lit(n).alias("part"), "i", "v") for n, column in (("level", "flair_level_work"), ("ahead", "flair_level_future_shape2"))]
+    return reduce(DataFrame.union, parts)
+
+
 @query("level_shrink")
 def level_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = after(hourly(spark, sf_dir), P.LinearFill())
@@ -286,13 +303,29 @@ _AFFINE = _FOLD + ", parts AS (SELECT series_id, cycle, avg(y) AS shift, greates
 
 @query("affine_fold", _AFFINE + """, recent AS (SELECT series_id, phase, avg((y - shift) / scale) AS s FROM folded JOIN parts USING (series_id, cycle) WHERE cycle >= 26 GROUP BY 1, 2),
 shapes AS (SELECT series_id, phase, (s - avg(s) OVER w) / greatest(stddev_pop(s) OVER w, 1e-8) AS s FROM recent WINDOW w AS (PARTITION BY series_id))
-SELECT series_id, 'shape' AS part, phase AS i, round(s, 6) AS v FROM shapes UNION ALL SELECT series_id, 'shift', cycle, round(shift, 6) FROM parts UNION ALL SELECT series_id, 'scale', cycle, round(scale, 6) FROM parts""")
+SELECT series_id, 'shape' AS part, phase AS i, round(s + 1e-8, 6) AS v FROM shapes UNION ALL SELECT series_id, 'shift', cycle, round(shift + 1e-8, 6) FROM parts UNION ALL SELECT series_id, 'scale', cycle, round(scale + 1e-8, 6) FROM parts""")
 def affine_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of 24 values of six digits often end on a 5 in the seventh; 1e-8 more, here and in SQL, moves them off that tie."""
     s = after(folded(after(hourly(spark, sf_dir), P.LinearFill()), [24]), P.AffineFold(2))
-    parts = [long(s, f"affine_{n}", "i", "v").select("series_id", F.lit(n).alias("part"), "i", "v") for n in ("shape", "shift", "scale")]
+    moved = lambda n: State(s.df.withColumn(n, F.transform(n, lambda x: x + F.lit(1e-8))), T, H)
+    parts = [long(moved(f"affine_{n}"), f"affine_{n}", "i", "v").select("series_id", F.lit(n).alias("part"), "i", "v") for n in ("shape", "shift", "scale")]
     return reduce(DataFrame.union, parts)
 
 
+@query("affine_forecast_two_cycles", _AFFINE + """, recent AS (SELECT series_id, phase, avg((y - shift) / scale) AS s FROM folded JOIN parts USING (series_id, cycle) WHERE cycle >= 26 GROUP BY 1, 2),
+shapes AS (SELECT series_id, phase, (s - avg(s) OVER w) / greatest(stddev_pop(s) OVER w, 1e-8) AS s FROM recent WINDOW w AS (PARTITION BY series_id)),
+vals AS (SELECT series_id, 'shift' AS part, cycle AS t, shift AS y FROM parts UNION ALL SELECT series_id, 'scale', cycle, scale FROM parts),
+lagged AS (SELECT series_id, part, t::DOUBLE / 28e0 AS u, lag(y) OVER (PARTITION BY series_id, part ORDER BY t) AS x, y FROM vals),
+moments AS (SELECT series_id, part, count(*) + 1e0 AS a, sum(u) AS b, sum(x) AS c, sum(u * u) + 1e0 AS d, sum(u * x) AS e, sum(x * x) + 1e0 AS f, sum(y) AS p, sum(u * y) AS q, sum(x * y) AS r FROM lagged WHERE x IS NOT NULL GROUP BY 1, 2),
+solved AS (SELECT series_id, part, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det, p * (d * f - e * e) - b * (q * f - e * r) + c * (q * e - d * r) AS n0,
+  a * (q * f - e * r) - p * (b * f - c * e) + c * (b * r - c * q) AS n1, a * (d * r - q * e) - b * (b * r - c * q) + p * (b * e - c * d) AS n2 FROM moments),
+one AS (SELECT s.series_id, s.part, n0 / det AS b0, n1 / det AS b1, n2 / det AS b2, n0 / det + n1 / det + n2 / det * v.y AS y0 FROM solved s JOIN vals v ON v.series_id = s.series_id AND v.part = s.part AND v.t = 27),
+ahead AS (SELECT series_id, part, 0 AS j, y0 AS y FROM one UNION ALL SELECT series_id, part, 1, b0 + b1 * 29e0 / 28e0 + b2 * y0 FROM one)
+SELECT m.series_id, (m.j * 24 + s.phase)::INTEGER AS h, round(m.y + greatest(k.y, 0e0) * s.s, 4) AS yhat FROM ahead m JOIN ahead k ON k.series_id = m.series_id AND k.j = m.j AND k.part = 'scale' JOIN shapes s ON s.series_id = m.series_id WHERE m.part = 'shift'""")
+def affine_forecast_two_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forecasts(after(folded(after(hourly(spark, sf_dir), P.LinearFill()), [24]), P.AffineFold(2), M.AffineForecast()), 4)
+
+
 @query("affine_forecast")
 def affine_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecasts(apply_pipeline("LinearFill -> PeriodDetect -> affine_fold -> affine_forecast -> STOP", GRAMMAR, hourly(spark, sf_dir)))
@@ -309,7 +342,7 @@ def boxcox_lambda(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("damped_phi", _FOLD + """, d AS (SELECT series_id, cycle, level - lag(level) OVER (PARTITION BY series_id ORDER BY cycle) AS d FROM levels), e AS (SELECT series_id, d, lag(d) OVER (PARTITION BY series_id ORDER BY cycle) AS a FROM d)
 SELECT series_id, round(least(greatest(sum(a * d) / sum(CASE WHEN d IS NULL OR a IS NULL THEN 0e0 ELSE a * a END), 0e0), 98e-2), 6) AS phi FROM e GROUP BY 1""")
 def damped_phi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = kernel(_seasonal(spark, sf_dir).df, lambda v: (K.damping(v),), ["level_series"], {"phi": "double"})
+    df = kernel(_seasonal(spark, sf_dir).df, lambda v: (float(K.damping(v)),), ["level_series"], {"phi": "double"})
     return df.select("series_id", F.round("phi", 6).alias("phi"))
 
 
@@ -347,7 +380,7 @@ def parrot_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("parrot_dataset_sampled")
 def parrot_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forecasts(after(hourly(spark, sf_dir), P.LinearFill(), M.ParrotDataset(max_candidates=500)), 4)
+    return forecasts(after(hourly(spark, sf_dir), P.LinearFill(), M.ParrotDataset()), 4)
 
 
 @query("window_kernel_fixed_gamma", _PAIRS % {"last": 576, "own": ""} + """, best AS (SELECT *, (sq - a * sc) / 48e0 AS b, row_number() OVER (PARTITION BY series_id, source ORDER BY abs(r) DESC, i) AS k FROM scored),
@@ -370,19 +403,18 @@ def _by_chain(name: str, source: str, state: Callable[[SparkSession, str], State
 
 
 _by_chain("kernel_rbf_loo", "LinearFill -> ZNormalization -> kernel_rbf -> STOP", daily)
-_by_chain("rf_tabular", "LinearFill -> ZNormalization -> rf_tabular -> STOP", daily, G.QUICK)
+_by_chain("rf_tabular", "LinearFill -> ZNormalization -> rf_tabular -> STOP", daily)
 _by_chain("gbt_tabular", "LinearFill -> ZNormalization -> lightgbm_tabular -> STOP", daily, {"lightgbm_tabular": {"n_estimators": 3}})
 _by_chain("versatile_gb", "LinearFill -> MeanAbsScaling -> versatile_gb -> STOP", daily, {"versatile_gb": {"max_iter": 2}})
-_by_chain("gb_level_forecast", "LinearFill -> PeriodDetect -> SeasonalFold -> gb_level_forecast -> STOP", hourly, {"gb_level_forecast": {"max_iter": 8}})
+_by_chain("gb_level_forecast", "LinearFill -> PeriodDetect -> SeasonalFold -> gb_level_forecast -> STOP", hourly)
 _by_chain("level_shape_ridge", "LinearFill -> PeriodDetect -> SeasonalFold -> level_shape_ridge -> STOP", hourly)
 _by_chain("flair_ridge_level", "FlairPreprocess -> PeriodDetect -> SeasonalFold -> FlairRidgeLevel -> STOP", hourly)
-_by_chain("step_regression", "LinearFill -> PeriodDetect -> SeasonalFeatures -> step_regression -> STOP", hourly, {"step_regression": {"n_estimators": 10}})
+_by_chain("step_regression", "LinearFill -> PeriodDetect -> SeasonalFeatures -> step_regression -> STOP", hourly)
 
 
 @query("flair_sample_paths")
 def flair_sample_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    presets = {"FlairSamplePaths": {"n_paths": 20}}
-    grammar = G.build_grammar(presets=presets)
+    grammar = G.build_grammar()
     s = apply_pipeline("FlairPreprocess -> PeriodDetect -> SeasonalFold -> FlairRidgeLevel -> FlairSamplePaths -> STOP", grammar, hourly(spark, sf_dir))
     return M.sample_rows(s)
 
@@ -500,7 +532,34 @@ def _values(rows: list[tuple], names: str) -> str:
 
 
 CORE_GRAMMAR = G.build_grammar()
-_EDGES = _values([(a, b) for a, ends in G.CORE.items() for b in ends], "src, dst")
+#: Tokens and those that may follow each (fixed values), written out here for SQL and apart from the grammar's own table.
+_FOLLOW = """
+START: FlairPreprocess ForwardFill FourierFeatures LinearFill MeanAbsScaling PeriodDetect PeriodDetectBIC PeriodDetectSpectral ZNormalization versatile_gb
+FlairPreprocess: PeriodDetect PeriodDetectBIC PeriodDetectSpectral
+ForwardFill: FourierFeatures MeanAbsScaling PeriodDetect PeriodDetectBIC PeriodDetectSpectral ZNormalization kernel_rbf lightgbm_tabular parrot parrot_dataset rf_tabular versatile_gb
+LinearFill: FourierFeatures MeanAbsScaling PeriodDetect PeriodDetectBIC PeriodDetectSpectral ZNormalization kernel_rbf lightgbm_tabular parrot parrot_dataset rf_tabular versatile_gb
+MeanAbsScaling: FourierFeatures PeriodDetect PeriodDetectBIC PeriodDetectSpectral kernel_rbf lightgbm_tabular parrot parrot_dataset rf_tabular step_regression versatile_gb
+ZNormalization: FourierFeatures PeriodDetect PeriodDetectBIC PeriodDetectSpectral kernel_rbf lightgbm_tabular parrot parrot_dataset rf_tabular step_regression versatile_gb
+FlairSamplePaths: STOP
+FourierFeatures: FourierFeatures kernel_rbf lightgbm_tabular parrot parrot_dataset rf_tabular step_regression versatile_gb
+PeriodDetect: PeriodPhaseOneHot SeasonalFeatures SeasonalFold step_regression
+PeriodDetectBIC: PeriodPhaseOneHot SeasonalFeatures SeasonalFold step_regression
+PeriodDetectSpectral: PeriodPhaseOneHot SeasonalFeatures SeasonalFold step_regression
+PeriodPhaseOneHot: SeasonalFold
+SeasonalFeatures: kernel_rbf lightgbm_tabular parrot rf_tabular step_regression versatile_gb
+SeasonalFold: FlairRidgeLevel SeasonalFold gb_level_forecast level_shape_ridge
+FlairRidgeLevel: FlairSamplePaths STOP parrot
+gb_level_forecast: STOP parrot
+kernel_rbf: STOP kernel_rbf parrot parrot_dataset
+level_shape_ridge: STOP kernel_rbf parrot
+lightgbm_tabular: STOP parrot parrot_dataset
+parrot: STOP kernel_rbf lightgbm_tabular rf_tabular versatile_gb
+parrot_dataset: STOP kernel_rbf lightgbm_tabular rf_tabular
+rf_tabular: STOP parrot parrot_dataset
+step_regression: STOP parrot
+versatile_gb: STOP parrot versatile_gb
+""".strip()
+_EDGES = f"""(SELECT string_split(line, ': ')[1] AS src, unnest(string_split(string_split(line, ': ')[2], ' ')) AS dst FROM (SELECT unnest(string_split('{_FOLLOW}', chr(10))) AS line))"""
 _NODES = _values([("START", "boundary"), *((n, t.kind) for n, t in CORE_GRAMMAR.tokens.items()), ("STOP", "boundary")], "id, class")
 
 

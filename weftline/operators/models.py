@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -18,8 +19,6 @@ from .prepare import ARRAY, CLEAN_FIRST, SCALED_FIRST, history_of
 
 #: Series of one dense solve, at most.
 MOST_DENSE = 4_000
-#: Histories that are sent to every task, at most: series times length.
-MOST_SHARED = 5_000_000
 
 
 class LastValue(ModelToken):
@@ -57,24 +56,39 @@ class Parrot(ModelToken):
 
 
 def shared_series(state: State, source: str, most: int, seed: int) -> list[np.ndarray]:
-    """At most `most` series, by a seeded hash of their ids: what is sent to every task is bounded."""
-    most = min(most, max(1, MOST_SHARED // max(state.length, 1)))
+    """At most `most` series, by a seeded hash of their ids: what is sent to every task is bounded by the token's parameter."""
     rows = state.df.orderBy(F.xxhash64(F.lit(seed), "series_id"), "ord").limit(most).select("ord", source).collect()
     return [np.asarray(r[1], float) for r in sorted(rows, key=lambda r: r[0])]
 
 
+def drawn_windows(state: State, source: str, width: int, most: int, most_series: int | None, seed: int) -> np.ndarray:
+    """(windows, width): a seeded draw without repeats of at most `most` from all windows of all series, in the order of series and start."""
+    n, count = state.length - width + 1, state.df.count()
+    rng = np.random.default_rng(seed)
+    own = np.sort(rng.choice(count, min(most_series or count, count), replace=False)) if most_series else None
+    total = n * (count if own is None else len(own))
+    ids = np.sort(rng.choice(total, min(most, total), replace=False))
+    which = ids // n if own is None else own[ids // n]
+    spark = state.df.sparkSession
+    chosen = spark.createDataFrame([(int(o), int(i)) for o, i in zip(which, ids % n, strict=True)], "ord int, start int").groupBy("ord").agg(F.collect_list("start").alias("starts"))
+    pieces = state.df.select(F.col("ord").cast("int").alias("ord"), source).join(F.broadcast(chosen), "ord")
+    rows = pieces.select("ord", F.explode("starts").alias("start"), source).select("ord", "start", F.slice(source, F.col("start") + 1, width).alias("piece")).collect()
+    return np.array([r["piece"] for r in sorted(rows, key=lambda r: (r["ord"], r["start"]))], float).reshape(-1, width)
+
+
 class ParrotDataset(Parrot):
     """The continuation of the window of any series that is most like the series' end.
 
-    By default a seeded sample of windows is tried, until one is like enough. With max_candidates=None every window of
-    every series is: series are dealt into blocks, each query goes to every block, and the best of a block's answers wins.
+    By default a seeded draw from all series' windows is tried, in an order of the series' own, until one is like
+    enough. With max_candidates=None every window of every series is: series are dealt into blocks, each block meets
+    slices of the queries once, as one matrix against another, and the best of a query's answers wins.
     """
 
     name = "parrot_dataset"
 
-    def __init__(self, min_corr: float | None = 0.97, max_candidates: int | None = 10_000, max_series_candidates: int | None = None, seed: int = 0, block: int = 256) -> None:
+    def __init__(self, min_corr: float | None = 0.97, max_candidates: int | None = 10_000, max_series_candidates: int | None = None, seed: int = 0, block: int = 256, queries: int = 4096) -> None:
         super().__init__()
-        self.min_corr, self.most, self.most_series, self.seed, self.block = min_corr, max_candidates, max_series_candidates, seed, block
+        self.min_corr, self.most, self.most_series, self.seed, self.block, self.queries = min_corr, max_candidates, max_series_candidates, seed, block, queries
 
     def apply(self, state: State) -> State:
         h, source = state.horizon, self.history(state)
@@ -83,44 +97,46 @@ class ParrotDataset(Parrot):
         return self._sampled(state, source) if self.most is not None else self._all(state, source)
 
     def _sampled(self, state: State, source: str) -> State:
-        h, most, least, seed = state.horizon, self.most, self.min_corr, self.seed
-        n = state.length - 2 * h + 1
-        series = shared_series(state, source, self.most_series or most, seed)
+        h, least, seed = state.horizon, self.min_corr, self.seed
+        pool = drawn_windows(state, source, 2 * h, self.most, self.most_series, seed)
 
         def run(x: np.ndarray, ord_: int) -> tuple:
-            x = np.asarray(x, float)
-            pool = [x, *series]
-            rng = np.random.default_rng([seed, int(ord_)])
-            ids = rng.choice(len(pool) * n, min(most, len(pool) * n), replace=False)
-            best = (-1.0, None)
-            for i in ids.tolist():
-                piece = pool[i // n][i % n : i % n + h]
-                r = abs(float(K.correlations(piece[None], x[-h:])[0]))
-                if r > best[0]:
-                    best = r, i
-                    if least is not None and r >= least:
-                        break
-            piece, start = pool[best[1] // n], best[1] % n
-            a, b = K.affine_map(piece[start : start + h], x[-h:])
-            return (a * piece[start + h : start + 2 * h] + b,)
+            query = np.asarray(x, float)[-h:]
+            tried = np.random.default_rng([seed, int(ord_)]).permutation(len(pool))
+            r = np.abs(K.correlations(pool[tried, :h], query))
+            enough = np.flatnonzero(r >= least) if least is not None else []
+            piece = pool[tried[enough[0] if len(enough) else r.argmax()]]
+            a, b = K.affine_map(piece[:h], query)
+            return (a * piece[h:] + b,)
 
         return state.push(kernel(state.df, run, [source, "ord"], {"new__": ARRAY}), "new__", self.name)
 
     def _all(self, state: State, source: str) -> State:
-        h = state.horizon
-        blocks = -(-state.df.count() // self.block)
-        held = state.df.select((F.col("ord") % blocks).alias("b"), F.struct("ord", F.col(source).alias("x")).alias("s")).groupBy("b").agg(F.array_sort(F.collect_list("s")).alias("pool"))
-        asked = state.df.select("series_id", F.slice(source, state.length - h + 1, h).alias("q")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-        def run(q: np.ndarray, pool: list) -> tuple:
-            best = (-1.0, 0, 0, None)
-            for s in pool:
-                r, i, ahead = K.best_analog(np.asarray(q, float), np.asarray(s["x"], float), h)
-                if r > best[0]:
-                    best = r, s["ord"], i, ahead
-            return best
-
-        found = kernel(asked.join(held, "b"), run, ["q", "pool"], {"r": "double", "o": "int", "i": "int", "ahead": ARRAY})
+        h, count = state.horizon, state.df.count()
+        blocks, slices = -(-count // self.block), -(-count // self.queries)
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
+        held = state.df.select((F.col("ord") % max(blocks, 1)).cast("int").alias("block"), F.col("ord").cast("int").alias("ord"), F.col(source).alias("x")).withColumn("slice", each(slices))
+        asked = state.df.select("series_id", (F.col("ord") % max(slices, 1)).cast("int").alias("to_slice"), F.slice(source, state.length - h + 1, h).alias("q")).withColumn("to_block", each(blocks))
+
+        def run(own: pa.Table, queried: pa.Table) -> pa.Table:
+            stack = lambda table, name: np.array(table.column(name).to_pylist(), float)
+            n = queried.num_rows
+            best, whose, start, ahead = np.full(n, -1.0), np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros((n, h))
+            if n and own.num_rows:
+                q = stack(queried, "q")
+                for ord_, x in sorted(zip(own.column("ord").to_pylist(), stack(own, "x"), strict=True), key=lambda r: r[0]):
+                    pieces = K.windows(x, h, len(x) - 2 * h + 1)
+                    r = K.cross_correlations(q, pieces).round(12)  # equal windows tie
+                    i = r.argmax(1)
+                    better = np.flatnonzero(r[np.arange(n), i] > best)
+                    best[better], whose[better], start[better] = r[better, i[better]], ord_, i[better]
+                    for k in better.tolist():
+                        a, b = K.affine_map(pieces[i[k]], q[k])
+                        ahead[k] = a * x[i[k] + h : i[k] + 2 * h] + b
+            return pa.table({"series_id": queried.column("series_id"), "r": best, "o": whose, "i": start, "ahead": pa.array(list(ahead), pa.list_(pa.float64()))})
+
+        kind = state.df.schema["series_id"].dataType.simpleString()
+        found = held.groupBy("block", "slice").cogroup(asked.groupBy("to_block", "to_slice")).applyInArrow(run, f"series_id {kind}, r double, o int, i int, ahead array<double>")
         first = F.struct(F.col("r"), -F.col("o"), -F.col("i"))
         best = found.groupBy("series_id").agg(F.max_by("ahead", first).alias("new__"))
         return state.push(state.df.join(best, "series_id"), "new__", self.name)
@@ -409,6 +425,6 @@ class AffineForecast(ModelToken):
         m, j = math.ceil(h / p), np.arange(h)
 
         def run(shift: np.ndarray, scale: np.ndarray, shape: np.ndarray) -> tuple:
-            return (K.ridge_ar(shift, m, alpha)[j // p] + np.maximum(K.ridge_ar(scale, m, alpha), 0)[j // p] * np.asarray(shape)[j % p],)
+            return (K.ridge_ar(shift, m, alpha)[:, j // p] + np.maximum(K.ridge_ar(scale, m, alpha), 0)[:, j // p] * shape[:, j % p],)
 
-        return state.push(kernel(state.df, run, ["affine_shift", "affine_scale", "affine_shape"], {"new__": ARRAY}), "new__", self.name)
+        return state.push(kernel(state.df, run, ["affine_shift", "affine_scale", "affine_shape"], {"new__": ARRAY}, stacked=True), "new__", self.name)

@@ -289,7 +289,7 @@ class SeasonalFold(FeatureToken):
             if shape is None:
                 return level, future
             level = np.asarray(level, float)
-            return level / shape[(np.arange(len(level)) - len(level) % cp) % cp], np.asarray(future) * shape[np.arange(m) % cp]
+            return level / shape[np.arange(len(level)) % cp], np.asarray(future) * shape[(len(level) + np.arange(m)) % cp]
 
         df = kernel(state.df, run, ["flair_level_work", "flair_level_future_shape2"], {"flair_level_work": ARRAY, "flair_level_future_shape2": ARRAY})
         used = (*state.metadata["flair_cross_periods"], cp)

@@ -5,15 +5,16 @@ States are values: an operator returns a new one, so a common prefix of pipeline
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from types import MappingProxyType
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 SEMS = ("series", "features", "level", "shape", "forecast", "samples", "mask", "param")
 AXES = ("sample", "time", "horizon", "feature", "phase", "period_idx", "path")
@@ -85,17 +86,36 @@ def add(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 
 
-def kernel(df: DataFrame, function: Callable[..., tuple], inputs: list[str], outputs: dict[str, str]) -> DataFrame:
-    """df with the outputs of a function of one series' values, in Arrow batches and without a shuffle."""
-    names = list(outputs)
+def _values(column: pa.Array) -> list:
+    """A batch's column by rows; lists as arrays, with NaN for missing values."""
+    if not (pa.types.is_list(column.type) and pa.types.is_floating(column.type.value_type)):
+        return column.to_pylist()
+    flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [None if none else flat[a:z] for a, z, none in zip(at[:-1], at[1:], column.is_null().to_pylist(), strict=True)]
 
-    @F.pandas_udf(", ".join(f"{k} {v}" for k, v in outputs.items()))
-    def run(*columns: pd.Series) -> pd.DataFrame:
-        made = [function(*row) for row in zip(*columns, strict=True)]
-        return pd.DataFrame({n: [m[i] for m in made] for i, n in enumerate(names)})
 
-    rest = [c for c in df.columns if c not in outputs]
-    return df.withColumn("kernel__", run(*[F.col(c) for c in inputs])).select(*rest, *[F.col(f"kernel__.{n}").alias(n) for n in names])
+def kernel(df: DataFrame, function: Callable[..., tuple], inputs: list[str], outputs: dict[str, str], stacked: bool = False) -> DataFrame:
+    """df with the outputs of a function of one series' values (stacked: of all series of a batch, one below the other).
+
+    It is a node of the plan with Arrow batches in and out, and without a shuffle: no expression before or after it can
+    be moved into it. So all other columns pass through it.
+    """
+    made = StructType.fromDDL(", ".join(f"{k} {v}" for k, v in outputs.items())).fields
+    rest = [f for f in df.schema.fields if f.name not in outputs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [_values(batch.column(c)) for c in inputs]
+            if not batch.num_rows:
+                found = [[]] * len(outputs)
+            elif stacked:
+                found = [list(x) for x in function(*map(np.stack, columns))]
+            else:
+                found = list(zip(*(function(*row) for row in zip(*columns, strict=True)), strict=True))
+            new = [pa.array(x, pa.list_(pa.float64()) if isinstance(f.dataType, ArrayType) else pa.float64()) for x, f in zip(found, made, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), *new], [f.name for f in [*rest, *made]])
+
+    return df.select(*[f.name for f in rest], *[c for c in inputs if c in outputs]).mapInArrow(run, StructType([*rest, *made]))
 
 
 @dataclass(frozen=True)
