@@ -56,6 +56,19 @@ def test_sharding_of_odd_rows(odd, with_clashes, empty):
         assert own == list(range(len(own)))
 
 
+def test_sharding_into_very_many_shards(spark):
+    rows = sharding.assign_shards(spark.range(3000).withColumn("x", F.col("id") % 3), "id", 1 << 20).collect()
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+    assert len(rows) == 3000 and max(slots) >= 1 << 17 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_rows_of_one_key_do_not_meet_in_one_bucket(spark):
+    rows = sharding.assign_shards(spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").alias("x")), "doc_id", 4)
+    assert len({r["shard"] for r in rows.collect()}) == 1 and sorted(r["slot"] for r in rows.collect()) == list(range(2000))
+
+
 def test_sharded_files(odd, spark, tmp_path):
     sharding.write_shards(odd, "doc_id", 3, str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == 12
@@ -85,6 +98,19 @@ def test_mixture_meets_its_weights(spark):
     assert all(copies[r["doc_id"]] == r["n_copies"] for r in rows)
 
 
+def test_rows_without_ids_are_drawn_each_for_itself(spark):
+    docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"), F.lit("a").alias("source"))
+    counts = Counter(r["n_copies"] for r in mixing.poisson_mix(docs, mixing.source_rates(docs)).dropDuplicates(["text"]).collect())
+    assert counts[1] == pytest.approx(4000 / math.e, rel=0.1) and counts[2] == pytest.approx(2000 / math.e, rel=0.15)
+
+
+def test_documents_without_a_source_have_a_weight_of_their_own(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, ""), (4, "x")], "doc_id long, source string")
+    rates = {r["source"]: r["rate"] for r in mixing.source_rates(docs, weights={"": 1, None: 3, "x": 4}).collect()}
+    assert rates == pytest.approx({None: 1.5, "": 0.25, "x": 2.0})
+    assert {r["source"]: r["rate"] for r in mixing.source_rates(docs, weights={"": 1}).collect()} == {None: 0, "": 2, "x": 0}
+
+
 def test_mixing_odd_rows(odd, with_clashes, empty):
     assert mixing.poisson_mix(empty, mixing.source_rates(empty)).count() == 0
     rates = mixing.source_rates(odd, epochs=20)

@@ -101,18 +101,16 @@ def position(df: DataFrame, out: str, key: Column, key_bits: int, ties: list[Col
     """Adds out: each row's rank, gapless from 0, in the order of key (a non-negative long of key_bits bits) within its group.
 
     No task sees a whole group: the high bits of key cut it into 2**bits buckets, whose counts give every bucket's
-    first rank. Only those counts are broadcast, n_groups * 2**bits rows at most. counts_of: the same rows with fewer
-    columns, from which the counts can be had more cheaply.
+    first rank. Only those counts are broadcast, if they are MOST_BUCKETS rows at most; beyond that they are joined by a
+    shuffle. counts_of: the same rows with fewer columns, from which the counts can be had more cheaply.
     """
-    if n_groups << bits > MOST_BUCKETS:
-        raise ValueError(f"{n_groups} groups of 2**{bits} buckets are over {MOST_BUCKETS}")
     b, first, n = (fresh(df, x) for x in ("bucket__", "first__", "n__"))
     bucket = F.shiftright(key, key_bits - bits)
     counts = (counts_of if counts_of is not None else df).groupBy(*groups, bucket.alias(b)).agg(F.count(F.lit(1)).alias(n))
     running = Window.partitionBy(*groups).orderBy(b).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = counts.select(*groups, b, (F.sum(n).over(running) - F.col(n)).alias(first))
     within = Window.partitionBy(*groups, b).orderBy(key, *ties)
-    joined = df.withColumn(b, bucket).join(F.broadcast(offsets), [*groups, b])
+    joined = df.withColumn(b, bucket).join(F.broadcast(offsets) if n_groups << bits <= MOST_BUCKETS else offsets, [*groups, b])
     return joined.withColumn(out, F.col(first) + F.row_number().over(within) - F.lit(1)).drop(b, first)
 
 

@@ -28,18 +28,19 @@ def uniform(seed: int, *columns: Column) -> Column:
     return _hex("u", seed, 13, *columns).cast("double") / F.lit(float(1 << 52))
 
 
-def source_rates(docs: DataFrame, source: str = "source", weights: dict[str, float] | None = None, alpha: float = 0.7, epochs: float = 1.0) -> DataFrame:
+def source_rates(docs: DataFrame, source: str = "source", weights: dict[str | None, float] | None = None, alpha: float = 0.7, epochs: float = 1.0) -> DataFrame:
     """(source, n, rate): mean copies of each source's documents, so that shares become the target weights.
 
-    weights: target shares (of those sources; others have none). Without it, the share of a source of n documents is
-    in proportion to n ** alpha. epochs: rows of the mixture per input row.
+    weights: target shares (of those sources, None for documents without; others have none). Without it, the share of a
+    source of n documents is in proportion to n ** alpha. epochs: rows of the mixture per input row. No rows, no rates.
     """
     counts = docs.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
         counts = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(float(alpha))))
     else:
-        chosen = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))])
-        counts = counts.withColumn("w", F.coalesce(F.element_at(chosen, F.coalesce("source", F.lit("")).cast("string")), F.lit(0.0)))
+        chosen = F.create_map(*[F.lit(x) for k, v in weights.items() if k is not None for x in (k, float(v))]) if set(weights) - {None} else None
+        named = F.lit(0.0) if chosen is None else F.coalesce(F.element_at(chosen, F.col("source").cast("string")), F.lit(0.0))
+        counts = counts.withColumn("w", F.when(F.col("source").isNull(), F.lit(float(weights.get(None, 0.0)))).otherwise(named))
     total = counts.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
     if not total["n"] or not total["w"]:
         return counts.select("source", "n", F.lit(0.0).alias("rate"))
@@ -58,12 +59,13 @@ def poisson_cdf(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["all"])
 
 
-def poisson_mix(docs: DataFrame, rates: DataFrame, key: str = "doc_id", source: str = "source", seed: int = 17) -> DataFrame:
+def poisson_mix(docs: DataFrame, rates: DataFrame, key: str = "doc_id", source: str = "source", seed: int = 17, text: str = "text") -> DataFrame:
     """docs with n_copies, copy (from 1) and position (gapless from 0 over the whole mixture): a row for each copy.
 
     A document of rate r has k copies with the Poisson probability of k at mean r; none, and it has no row. Rows of one
-    key have the same count. Null sources are a source of their own. Columns of docs with those names are replaced;
-    all others are carried. An empty table stays empty.
+    key have the same count; rows without one go by their texts' hashes, if docs has that column. Null sources are a
+    source of their own. Columns of docs with those names are replaced; all others are carried, texts of any length. An
+    empty table stays empty. A mean of over MOST_RATE copies is refused (ValueError).
     """
     docs = docs.drop("n_copies", "copy", "position")
     top = rates.agg(F.max("rate").alias("r"), F.count(F.lit(1)).alias("n")).first()
@@ -74,10 +76,13 @@ def poisson_mix(docs: DataFrame, rates: DataFrame, key: str = "doc_id", source:
     if top["n"] <= BROADCAST_SOURCES:
         small = F.broadcast(small)
 
+    with_text = text in docs.columns and text != key
+    identity = F.coalesce(F.col(key).cast("string"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))) if with_text else F.col(key)
+
     def copies(rows: DataFrame) -> DataFrame:
-        u = uniform(seed, F.col(key))
+        u = uniform(seed, identity)
         counted = rows.join(small, rows[source].eqNullSafe(F.col(s))).withColumn("n_copies", F.size(F.filter(F.col(cdf), lambda c: c <= u))).drop(s, cdf)
         return counted.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
 
-    place = _hex("p", seed, 15, F.col(key), F.col("copy"))
-    return position(copies(docs), "position", place, 60, [F.col(key), F.col("copy")], counts_of=copies(docs.select(key, source)))
+    place = _hex("p", seed, 15, identity, F.col("copy"))
+    return position(copies(docs), "position", place, 60, [F.col(key), F.col("copy")], counts_of=copies(docs.select(*dict.fromkeys([key, source, *([text] if with_text else [])]))))

@@ -106,12 +106,12 @@ WITH RECURSIVE n AS (SELECT source, count(*) AS n FROM documents GROUP BY source
 r AS (SELECT source, pow(n::DOUBLE, 0.7::DOUBLE) / sum(pow(n::DOUBLE, 0.7::DOUBLE)) OVER () * (sum(n) OVER ())::DOUBLE / n::DOUBLE AS rate FROM n),
 c AS (SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM r
       UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1)::DOUBLE, c + p * rate / (k + 1)::DOUBLE FROM c WHERE k < ceil(rate + 12e0 * sqrt(rate) + 40e0)),
-d AS (SELECT *, ('0x' || substr(md5('u|17|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496e0 AS u FROM documents),
+d AS (SELECT *, ('0x' || substr(md5('u|17|' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE / 4503599627370496e0 AS u FROM documents),
 m AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, sum(CASE WHEN c.c <= d.u THEN 1 ELSE 0 END)::INTEGER AS n_copies
       FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source GROUP BY ALL),
 e AS (SELECT *, unnest(range(1, n_copies + 1))::INTEGER AS copy FROM m WHERE n_copies > 0)
 SELECT doc_id, text, lang, source, n_chars, n_copies, copy,
-  row_number() OVER (ORDER BY ('0x' || substr(md5('p|17|' || coalesce(doc_id::VARCHAR, '') || '|' || copy::VARCHAR), 1, 15))::BIGINT, doc_id, copy) - 1 AS position
+  row_number() OVER (ORDER BY ('0x' || substr(md5('p|17|' || coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) || '|' || copy::VARCHAR), 1, 15))::BIGINT, doc_id, copy) - 1 AS position
 FROM e""",
     "op8_mtree": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::DOUBLE) AS v FROM embeddings

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
-from .common import position
+from .common import MOST_BUCKETS, position
 
 #: Multiplier of the published jump hash's linear congruential generator.
 MULTIPLIER = 2862933555777941757
@@ -55,18 +56,20 @@ def key_of(column: str) -> Column:
 def assign_shards(df: DataFrame, key: str, shards: int, bits: int = 8) -> DataFrame:
     """df with law ('key'), shard, slot and grown_shard (the shard if there were one more).
 
-    The key and the shard count alone decide the shard. slot numbers a shard's rows gaplessly from 0, by the key's hash.
-    Columns of df with those names are replaced. Null keys share one shard; rows of one key share a shard and take
-    neighbouring slots in any order among themselves; an empty table stays empty. Only narrow counts are shuffled
-    twice; rows are shuffled once, by (shard, hash prefix), never a whole shard to one task.
+    The key and the shard count alone decide the shard, of at most 2**24. slot numbers a shard's rows gaplessly from 0, by
+    a hash of the key and all other plain columns, so that rows of one key are spread over tasks too; equal rows take
+    neighbouring slots in any order. Columns of df with those names are replaced. Null keys share one shard, as rows of
+    one key do; an empty table stays empty. Only narrow counts are shuffled twice; rows are shuffled once, by (shard,
+    hash prefix), never a whole shard to one task.
     """
     df = df.drop("law", "shard", "slot", "grown_shard")
     h = key_of(key)
     out = df.withColumns({"law": F.lit("key"), "shard": jump_hash(h, shards), "grown_shard": jump_hash(h, shards + 1)})
-    order = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(1)), 1)
-    while shards << bits > 1 << 17:
+    plain = [f.name for f in df.schema.fields if f.name != key and isinstance(f.dataType, AtomicType)]
+    order = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(1), *[F.col(c) for c in plain]), 1)
+    while bits and shards << bits > MOST_BUCKETS:
         bits -= 1
-    return position(out, "slot", order, 63, [F.col(key)], ["shard"], shards, max(bits, 0), counts_of=out.select(key, "shard"))
+    return position(out, "slot", order, 63, [F.col(key)], ["shard"], shards, bits, counts_of=out.select(key, "shard", *plain))
 
 
 def write_shards(df: DataFrame, key: str, shards: int, path: str) -> None:
