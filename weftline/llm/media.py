@@ -32,10 +32,15 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     if not 0 < most < 65536:
         raise ValueError("bad Netpbm header")
     shape = (height, width, 3) if kind in b"36" else (height, width)
-    n = int(np.prod(shape))
+    n = height * width * (3 if kind in b"36" else 1)
+    if not 0 < n <= 8 * len(data):  # a byte holds eight samples at most
+        raise ValueError("empty or truncated Netpbm image")
     if kind in b"123":
         body = re.sub(rb"#[^\n]*", b"", data[head.end() :])
-        flat = np.array([int(x) for x in (re.findall(rb"[01]", body) if kind == b"1" else body.split())][:n], np.uint16)
+        samples = [int(x) for x in (re.findall(rb"[01]", body) if kind == b"1" else body.split()[:n])][:n]
+        if max(samples, default=0) > most:
+            raise ValueError("a Netpbm sample is over its largest")
+        flat = np.array(samples, np.uint16)
     elif kind == b"4":
         row = (width + 7) // 8
         packed = np.frombuffer(data, np.uint8, row * height, head.end() + 1).reshape(height, row)
@@ -62,7 +67,11 @@ def decode_bmp(data: bytes) -> np.ndarray:
     offset, head, width, height, _, depth, packing = struct.unpack_from("<IIiiHHI", data, 10)
     if packing not in (0, 3) or depth not in (1, 4, 8, 24, 32) or width <= 0 or not height:
         raise ValueError("this kind of BMP isn't read")
+    if packing == 3 and (depth != 32 or len(data) < 66 or struct.unpack_from("<III", data, 54) != (0xFF0000, 0xFF00, 0xFF)):
+        raise ValueError("BMP masks other than those of plain 32 bits aren't read")
     row, tall = (width * depth + 31) // 32 * 4, abs(height)
+    if row * tall > len(data):
+        raise ValueError("truncated BMP image")
     pixels = np.frombuffer(data, np.uint8, row * tall, offset).reshape(tall, row)
     pixels = pixels[::-1] if height > 0 else pixels
     if depth >= 24:
@@ -150,7 +159,12 @@ def difference_hash(image: np.ndarray, side: int = 8) -> str:
 
 
 def tiles(media: DataFrame, key: str, image: str = "image", height: int = 64, width: int = 64) -> DataFrame:
-    """(key, height, width, channels, tile binary, dhash): Netpbm and BMP bytes as resized NPY tiles; what can't be decoded has nulls."""
+    """(key, height, width, channels, tile binary, dhash): Netpbm and BMP bytes as resized NPY tiles with difference hashes.
+
+    What can't be decoded has nulls: null and empty images, images of no width or height, other formats, and images that
+    are shorter than their headers say. Large images are worked on a strip of rows at a time; repeated rows stay
+    repeated, and an empty table has no rows.
+    """
     rows = media.select(F.col(key).alias("key"), F.col(image).alias("image"))
 
     def one(data: bytes) -> tuple:
