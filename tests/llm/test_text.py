@@ -1,8 +1,10 @@
 """Quality selection, token files, media tiles, SentencePiece and M-trees."""
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -14,8 +16,7 @@ BYTE, PIECE = queries.tokenizer_file("byte_bpe_50k.json"), queries.tokenizer_fil
 
 
 def test_ngrams_by_hand():
-    which, group = next(importance.pieces([b"Ab c!", b"", b"ab"]))
-    owner, bucket = importance.ngrams(which, group)
+    owner, bucket = importance.ngrams(*next(importance.pieces([b"Ab c!", b"", b"ab"])))
     assert sorted(owner.tolist()) == [0, 0, 0, 0, 0, 2] and bucket[owner == 2][0] in bucket[owner == 0]
 
 
@@ -66,8 +67,65 @@ def test_resampling_odd_rows(odd, with_clashes, empty, spark):
     labels = spark.createDataFrame([(1, 1, 0), (7, 0, 0), (8, 1, None), (None, 1, 0), (99, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
     assert importance.resample(empty, labels).count() == 0
     assert importance.resample(odd, labels.where("false")).count() == 0
-    rows = importance.resample(with_clashes.drop("noise__"), labels).collect()
-    assert {1, 2, 8} <= {r["doc_id"] for r in rows} and not {3, 4, 5} & {r["doc_id"] for r in rows}
+    rows = importance.resample(with_clashes, labels)
+    assert rows.columns == with_clashes.columns
+    assert {1, 2, 8} <= {r["doc_id"] for r in rows.collect()} and not {3, 4, 5} & {r["doc_id"] for r in rows.collect()}
+    named = odd.withColumn("doc_id", F.concat(F.lit("no "), F.col("doc_id").cast("string")))
+    by_name = labels.withColumn("doc_id", F.concat(F.lit("no "), F.col("doc_id").cast("string")))
+    assert {"no 1", "no 2", "no 8"} <= {r["doc_id"] for r in importance.resample(named, by_name).collect()}
+    nulls = odd.withColumn("doc_id", F.when(F.col("doc_id") < 9, F.col("doc_id")))
+    assert importance.resample(nulls, labels).where("doc_id is null").count() > 0
+
+
+def brute_buckets(text: str | None) -> list[int]:
+    """Buckets of a text's uni- and bigrams, a byte at a time."""
+    m, base = (1 << 64) - 1, 0x9E3779B97F4A7C15
+    mix = lambda h: (h := ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & m) ^ (h >> 32)
+    words, last = [], 0
+    for b in (text or "").encode().lower():
+        kind = 0 if chr(b) in " \t\n\v\f\r" else 1 if b > 127 or chr(b).isalnum() else 2
+        if kind and kind == last:
+            words[-1].append(b)
+        elif kind:
+            words.append([b])
+        last = kind
+    hashes = [mix(sum((b + 1) * pow(base, i, 1 << 64) for i, b in enumerate(w)) & m) for w in words]
+    pairs = [mix((a * 0x9FB21C651E98DF25 + b) & m) for a, b in zip(hashes, hashes[1:], strict=False)]
+    return [(h >> 20) % importance.BUCKETS for h in [*hashes, *pairs]]
+
+
+def test_op2_against_brute_force(spark, sf):
+    docs, labels = (common.table(spark, sf, n) for n in ("documents", "labels"))
+    noise = {r["doc_id"]: (r["g"], r["t"]) for r in docs.select("doc_id", importance.gumbel(importance._own_hash(23, "doc_id", "text")).alias("g"), importance._own_hash(24, "doc_id", "text").alias("t")).collect()}
+    grams = {r["doc_id"]: brute_buckets(r["text"]) for r in docs.collect()}
+    good = {r["doc_id"] for r in labels.where("quality = 1 and coalesce(toxic, 0) = 0").collect()} & set(grams)
+    fold = {r["doc_id"]: r["f"] for r in docs.select("doc_id", F.xxhash64("doc_id").bitwiseAND(F.lit(1)).alias("f")).collect()}
+
+    def ratios(ids) -> list[int]:
+        raw, target = Counter(b for g in grams.values() for b in g), Counter(b for i in ids for b in grams[i])
+        n = importance.BUCKETS
+        return [round((math.log((target[b] + 1) / (target.total() + n)) - math.log((raw[b] + 1) / (raw.total() + n))) * importance.UNIT) for b in range(n)]
+
+    whole, others = ratios(good), [ratios([i for i in good if fold[i] != f]) for f in (0, 1)]
+    weight = {i: sum(whole[b] for b in g) for i, g in grams.items()}
+    held = sorted((sum(others[fold[i]][b] for b in grams[i]) for i in good if grams[i]), reverse=True)
+    floor = held[math.ceil(0.99 * len(held)) - 1] - 8 * importance.UNIT
+    drawable = [i for i in grams if grams[i]]
+    k = sum(weight[i] >= floor for i in drawable)
+    want = set(sorted(drawable, key=lambda i: (weight[i] + noise[i][0], noise[i][1]), reverse=True)[:k])
+    got = {r["doc_id"]: r for r in queries.op2_quality(spark, sf).collect()}
+    assert set(got) == want and 0 < len(want) < len(grams)
+    for i, r in got.items():
+        assert r["n_ngrams"] == len(grams[i]) and r["log_weight"] == pytest.approx(weight[i] / importance.UNIT, abs=1e-3)
+
+
+def test_long_texts_lose_no_ngram_at_their_cuts():
+    rng = random.Random(6)
+    for _ in range(60):
+        text = "".join(rng.choice(["ab", "é", " ", "\n", "!", "x" * 30, " c", ".."]) for _ in range(rng.randrange(200))).encode()
+        whole = sorted(importance.ngrams(*next(importance.pieces([text])))[1].tolist()) if text else []
+        parts = [b for g in importance.pieces([text, text], 40) for o, b in zip(*(x.tolist() for x in importance.ngrams(*g)), strict=True) if o == 1]
+        assert sorted(parts) == whole == sorted(brute_buckets(text.decode()))
 
 
 ODD_TEXTS = ["", " ", "  ", "a  b \n c ", "it's we'll  'S", "<|endoftext|> x", "\x1c\x1d a\x1fb", "日本 한국🎉", "　 x\xa0y\x85z", "a  \nb", "1 2  33\t\t x", "▁a▁▁b", "<s></s><unk><0x0A>", "aaaaaaaaaaaaaaaaaaa", "\x00a", "a" * 500]
@@ -104,6 +162,18 @@ def test_op3_against_the_library(spark, sf):
         start += len(ids)
 
 
+def test_broken_images_have_nulls_and_fail_no_job(spark):
+    good = media.encode_netpbm(np.arange(12, dtype=np.uint8).reshape(3, 4))
+    bmp = bytearray(media.encode_bmp(np.zeros((2, 2, 3), np.uint8)))
+    bmp[28], bmp[30] = 32, 3  # bit fields, without masks
+    bad = [None, b"", b"P5\n99999999999999999999 5\n255\n", b"P6 4294967295 4294967295 255\n", b"P2 1 1 65535 70000", b"P2 1 1 9 10", b"P5\n0 0\n255\n", b"P4 0 3\n", bytes(bmp), b"BM" + b"\xff" * 60, good[:-1], b"GIF89a"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([good, good, *bad])], "doc_id long, image binary")
+    got = {r["doc_id"]: r for r in media.tiles(rows, "doc_id", height=2, width=2).collect()}
+    assert len(got) == len(bad) + 2 and got[0]["tile"] == got[1]["tile"] is not None and got[0]["width"] == 4
+    assert all(got[i]["tile"] is None and got[i]["dhash"] is None for i in range(2, len(bad) + 2))
+    assert media.tiles(rows.where("false"), "doc_id").count() == 0
+
+
 def test_token_files_of_odd_rows(odd, empty, spark, tmp_path):
     for name, frame in (("odd", odd.union(odd.limit(1).withColumn("doc_id", F.lit(None).cast("long")))), ("none", empty)):
         token_files.write_token_files(frame, BYTE, str(tmp_path / name))

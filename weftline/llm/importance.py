@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, small_batches
+from .common import as_bytes, cut, discard, fresh, small_batches
 
 U = np.uint64
 #: Hash buckets of n-grams.
@@ -24,8 +24,9 @@ BUCKETS = 1 << 14
 MOST_LABELLED = 20_000
 #: Fixed point of log ratios: sums are whole numbers, and so the same in any order.
 UNIT = 1 << 20
-#: A longer text is hashed in pieces of so many bytes; n-grams don't cross from one to the next.
+#: A longer text is hashed in pieces of about so many bytes.
 PIECE = 1 << 20
+SPACES = b" \t\n\v\f\r"
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _CLASS = np.full(256, 2, np.uint8)
@@ -52,23 +53,44 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
-def pieces(texts: list[bytes], most: int = PIECE) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """(texts' indices, pieces) in groups of about `most` bytes."""
-    which, group, size = [], [], 0
+def cuts(text: bytes, most: int) -> Iterator[tuple[int, int, bool]]:
+    """(start, stop, whether the first word is the last one of the piece before) of pieces of a text, cut at white space.
+
+    A piece begins with the last word of the piece before, so that no pair of words is lost.
+    """
+    start, stop, carried = 0, 0, False
+    while len(text) - stop > most:
+        after = max(text.rfind(c, stop + 1, stop + most) for c in SPACES)
+        if after < 0:  # one word is longer than a piece
+            after = min((at for c in SPACES if (at := text.find(c, stop + 1)) >= 0), default=len(text))
+        yield start, after, carried
+        stop = after
+        piece = np.frombuffer(text, np.uint8, stop - start, start)
+        end = len(text[start:stop].rstrip(SPACES))
+        carried = end > 0
+        differ = np.flatnonzero(_CLASS[piece[:end]] != _CLASS[piece[end - 1]]) if end else []
+        start = start + (int(differ[-1]) + 1 if len(differ) else 0) if end else stop
+    if stop < len(text) or not text:
+        yield start, len(text), carried
+
+
+def pieces(texts: list[bytes], most: int = PIECE) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray]]:
+    """(texts' indices, pieces, whether each begins with a word that has been counted) in groups of about `most` bytes."""
+    which, group, carried, size = [], [], [], 0
     for i, text in enumerate(texts):
-        for at in range(0, len(text), most):
-            piece = text[at : at + most]
-            if size + len(piece) > most and group:
-                yield np.array(which), group
-                which, group, size = [], [], 0
+        for start, stop, known in cuts(text, most):
+            if size + stop - start > most and group:
+                yield np.array(which), group, np.array(carried)
+                which, group, carried, size = [], [], [], 0
             which.append(i)
-            group.append(piece)
-            size += len(piece)
+            group.append(text[start:stop])
+            carried.append(known)
+            size += stop - start
     if group:
-        yield np.array(which), group
+        yield np.array(which), group, np.array(carried)
 
 
-def ngrams(which: np.ndarray, group: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+def ngrams(which: np.ndarray, group: list[bytes], carried: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(text's index, bucket) of every uni- and bigram: runs of letters and digits, or of other marks, in lower case."""
     data = np.frombuffer(b"\n".join(group) + b"\n", np.uint8)
     kind = _CLASS[data]
@@ -76,7 +98,7 @@ def ngrams(which: np.ndarray, group: list[bytes], buckets: int = BUCKETS) -> tup
     starts, stops = edge, np.concatenate((edge[1:], [len(data)]))
     words = kind[edge] != 0
     starts, stops = starts[words], stops[words]
-    up, down = _powers(PIECE * 2 + 2)
+    up, down = _powers(max(len(data) + 1, PIECE * 2 + 2))
     prefix = np.zeros(len(data) + 1, U)
     np.cumsum((_LOWER[data].astype(U) + U(1)) * up[: len(data)], out=prefix[1:])
     h = _mix((prefix[stops] - prefix[starts]) * down[starts])
@@ -85,7 +107,8 @@ def ngrams(which: np.ndarray, group: list[bytes], buckets: int = BUCKETS) -> tup
     both = np.flatnonzero(piece[1:] == piece[:-1])
     pair = _mix(h[both] * U(0x9FB21C651E98DF25) + h[both + 1])
     owner = which[piece]
-    return np.concatenate((owner, owner[both])), (np.concatenate((h, pair)) >> U(20)).astype(np.int64) % buckets
+    new = ~(carried[piece] & np.concatenate(([True], piece[1:] != piece[:-1])))[: len(piece)]
+    return np.concatenate((owner[new], owner[both])), (np.concatenate((h[new], pair)) >> U(20)).astype(np.int64) % buckets
 
 
 def counts(docs: DataFrame, good: DataFrame, key: str, text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,8 +119,8 @@ def counts(docs: DataFrame, good: DataFrame, key: str, text: str, buckets: int)
         raw, target = np.zeros(buckets, np.int64), np.zeros((2, buckets), np.int64)
         for batch in small_batches(batches, "text"):
             fold = np.array([-1 if x is None else x for x in batch.column("fold").to_pylist()])
-            for which, group in pieces(as_bytes(batch.column("text"))):
-                owner, bucket = ngrams(which, group, buckets)
+            for which, group, carried in pieces(as_bytes(batch.column("text"))):
+                owner, bucket = ngrams(which, group, carried, buckets)
                 raw += np.bincount(bucket, minlength=buckets)
                 for f in (0, 1):
                     target[f] += np.bincount(bucket[fold[owner] == f], minlength=buckets)
@@ -122,8 +145,8 @@ def log_weights(texts: list[bytes], ratios: np.ndarray) -> tuple[np.ndarray, np.
     """(sums of ratios, count of n-grams) of each text; a row of sums for each row of ratios, if it has rows."""
     tables = np.atleast_2d(ratios)
     total, n = np.zeros((len(tables), len(texts)), np.int64), np.zeros(len(texts), np.int64)
-    for which, group in pieces(texts):
-        owner, bucket = ngrams(which, group, tables.shape[1])
+    for which, group, carried in pieces(texts):
+        owner, bucket = ngrams(which, group, carried, tables.shape[1])
         order = np.argsort(owner, kind="stable")
         owner, bucket = owner[order], bucket[order]
         if len(owner):
@@ -134,9 +157,14 @@ def log_weights(texts: list[bytes], ratios: np.ndarray) -> tuple[np.ndarray, np.
     return (total[0] if ratios.ndim == 1 else total), n
 
 
-def gumbel(key: Column, seed: int) -> Column:
-    """Gumbel noise from a key's hash, in units of 1 / UNIT."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+def _own_hash(seed: int, key: str, text: str) -> Column:
+    """A hash of a row's key, or of its text if it has none."""
+    return F.xxhash64(F.lit(seed), F.col(key), F.when(F.col(key).isNull(), F.col(text)))
+
+
+def gumbel(h: Column) -> Column:
+    """Gumbel noise from a hash, in units of 1 / UNIT."""
+    u = (F.shiftrightunsigned(h, 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
     return F.round(-F.log(-F.log(u)) * F.lit(float(UNIT))).cast("long")
 
 
@@ -158,27 +186,28 @@ def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 4096) -> tuple
 class Selection:
     """The fitted models, and which noisy weights are among the k largest."""
 
-    def __init__(self, ratios: np.ndarray, least: int, last_key: int | None, seed: int) -> None:
-        self.ratios, self.least, self.last_key, self.seed = ratios, least, last_key, seed
+    def __init__(self, ratios: np.ndarray, least: int, least_tie: int, seed: int) -> None:
+        self.ratios, self.least, self.least_tie, self.seed = ratios, least, least_tie, seed
 
 
 def scored(docs: DataFrame, ratios: np.ndarray, key: str, text: str, seed: int) -> DataFrame:
-    """(key, weight, noisy, n, w0, w1): log weights plain and with noise, counts of n-grams, and weights without a fold.
+    """(key, tie, weight, noisy, n, w0, w1): log weights plain and with noise, counts of n-grams, and weights without a fold.
 
     Weights are in units of 1 / UNIT. ratios: a row for the whole target, and for it without fold 0 and without fold 1.
+    tie, a second hash, orders rows of equal noisy weight. Null texts are empty, and have no n-grams.
     """
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), gumbel(F.col(key), seed).alias("noise"))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), gumbel(_own_hash(seed, key, text)).alias("noise"), _own_hash(seed + 1, key, text).alias("tie"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             w, n = log_weights(as_bytes(batch.column("text")), ratios)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(x) for x in (w[0], w[0] + batch.column("noise").to_numpy(), n, w[1], w[2]))], ["key", "weight", "noisy", "n", "w0", "w1"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("tie"), *(pa.array(x) for x in (w[0], w[0] + batch.column("noise").to_numpy(), n, w[1], w[2]))], ["key", "tie", "weight", "noisy", "n", "w0", "w1"])
 
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, weight long, noisy long, n long, w0 long, w1 long")
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, tie long, weight long, noisy long, n long, w0 long, w1 long")
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, most_labelled: int = MOST_LABELLED, recall: float = 0.99, slack: float = 8.0, seed: int = 23) -> tuple[Selection, DataFrame]:
-    """The selection, and (key, weight, noisy, n) of every document as written to the shared folder.
+    """The selection, and (key, tie, weight, noisy, n) of every document as written to the shared folder.
 
     labels: (key, quality, toxic); the target is quality 1 that isn't toxic, by most_labelled rows at most. The sample's
     size k is the number of documents that weigh at least what `recall` of the labelled good ones weigh, less `slack`
@@ -194,40 +223,43 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows_with = rows.where("n > 0")
     own = cut(rows_with.join(F.broadcast(good.select(F.col(key).alias("key"), "fold")), "key").select(F.when(F.col("fold") == 0, F.col("w0")).otherwise(F.col("w1")).alias("weight")))
     n_good = own.count()
-    nothing = Selection(ratios, (1 << 62), None, seed)
+    nothing = Selection(ratios, (1 << 62), 0, seed)
     if not n_good:
+        discard(good, own)
         return nothing, rows
     floor = kth_largest(own, "weight", max(1, math.ceil(recall * n_good)))[0] - round(slack * UNIT)
+    discard(good, own)
     k = rows_with.where(F.col("weight") >= floor).count()
     least, above = kth_largest(rows_with, "noisy", k)
-    ties = rows_with.where(F.col("noisy") == F.lit(least)).select((-F.col("key").cast("long")).alias("neg")).where("neg is not null")
-    last = None
-    if above + ties.count() > k:
-        last = -kth_largest(ties, "neg", k - above)[0]
-    return Selection(ratios, least, last, seed), rows
+    ties = rows_with.where(F.col("noisy") == F.lit(least)).select("tie")
+    return Selection(ratios, least, kth_largest(ties, "tie", k - above)[0], seed), rows
 
 
-def chosen(chosen_by: Selection, key: str = "key") -> Column:
-    """Whether a scored row is among the k; rows that tie on the last place go by smaller key, repeated rows together."""
-    tie = F.lit(True) if chosen_by.last_key is None else F.coalesce(F.col(key).cast("long") <= F.lit(chosen_by.last_key), F.lit(True))
+def chosen(chosen_by: Selection) -> Column:
+    """Whether a scored row is among the k; rows that tie on the last place go by their second hash, repeated rows together."""
+    tie = F.col("tie") >= F.lit(chosen_by.least_tie)
     return (F.col("n") > 0) & ((F.col("noisy") > F.lit(chosen_by.least)) | ((F.col("noisy") == F.lit(chosen_by.least)) & tie))
 
 
 def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **how: float) -> DataFrame:
-    """The chosen rows of docs, all columns as they are; weights are computed anew rather than joined, so no text is shuffled."""
-    selection, _ = fit(docs, labels, key, text, **how)
-    noise = "noise__"
-    rows = docs.withColumn(noise, gumbel(F.col(key), selection.seed))
+    """The chosen rows of docs, all columns as they are; weights are computed anew rather than joined, so no text is shuffled.
+
+    Keys are of any type that can be hashed; rows without one go by their texts. Repeated rows are drawn together, of
+    rows that share a key each by its own text's weight. Null, empty and other texts without any n-gram aren't drawn,
+    long ones are weighed whole. An empty table, or one without good labels, gives no rows.
+    """
+    selection, scores = fit(docs, labels, key, text, **how)
+    discard(scores)
+    noise, tie = fresh(docs, "noise__"), fresh(docs, "tie__")
+    rows = docs.withColumns({noise: gumbel(_own_hash(selection.seed, key, text)), tie: _own_hash(selection.seed + 1, key, text)})
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, text):
             w, n = log_weights(as_bytes(batch.column(text)), selection.ratios)
             noisy = w + batch.column(noise).to_numpy()
-            keep = (n > 0) & (noisy > selection.least)
-            for i in np.flatnonzero((n > 0) & (noisy == selection.least)).tolist():
-                own = batch.column(key)[i].as_py()
-                keep[i] = selection.last_key is None or own is None or own <= selection.last_key
+            last = (noisy == selection.least) & (batch.column(tie).to_numpy() >= selection.least_tie)
+            keep = (n > 0) & ((noisy > selection.least) | last)
             yield batch.filter(pa.array(keep)).select(names)
 
     return rows.mapInArrow(run, docs.schema)

@@ -220,7 +220,13 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
 
 def encode_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256): digests of the decimal ids joined by commas and of the decoded text."""
+    """(key, n_tokens, ids_sha256, decoded_sha256): digests of the decimal ids joined by commas and of the decoded text.
+
+    Null texts are empty: no ids, and nothing decoded. Texts of any length are encoded whole, repeated rows stay
+    repeated, and an empty table has no rows. Decoding joins the pieces of the ids by the library's rules, a word at a
+    time and with the word's ids in one cache; the library's own decode(ids) would need all ids as Python integers once
+    more. Tests hold both against the library.
+    """
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
