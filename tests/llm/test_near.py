@@ -336,6 +336,19 @@ def test_similarity_is_exact_at_its_bound():
     assert one(b"A b  c\nd e").tolist() == one(b"a b c d e").tolist() and len(one(b"a b c d e f")) == 2 and len(one(b"a")) == 1 and one(b"a") != one(b"a a")
 
 
+def test_words_are_hashed_alike_in_chunks(monkeypatch):
+    rng = random.Random(17)
+    for _ in range(80):
+        text = "".join(rng.choice(["a", "B", "é", " ", "\t", "\n ", "w" * 25]) for _ in range(rng.randrange(120))).encode()
+        words = text.lower().split()
+        whole = simhash.word_hashes(text)
+        assert len(whole) == len(words) and len(set(whole.tolist())) == len(set(words))
+        assert all(simhash.word_hashes(w).tolist() == [h] for w, h in zip(words, whole.tolist(), strict=True))
+        with monkeypatch.context() as m:
+            m.setattr(simhash, "CHUNK", 16)
+            assert simhash.word_hashes(text).tolist() == whole.tolist()
+
+
 def test_table_prints_are_majorities():
     made = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 9000, np.uint64))
     words = simhash._mix((made[:, None] ^ simhash._MASKS) * simhash._FACTORS)

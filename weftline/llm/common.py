@@ -6,6 +6,7 @@ import gc
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -72,6 +73,22 @@ def only_rows(docs: DataFrame, kept: DataFrame, key: str, text: str) -> DataFram
     return rows.join(wanted, names, "left_semi").dropDuplicates(names).drop(*names)
 
 
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a polynomial hash's odd base and of its inverse modulo 2**64, at least n of each."""
+    if not _powers or len(_powers[0]) < n:
+        both = []
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+            p = np.full(n, b, np.uint64)
+            p[0] = 1
+            both.append(np.multiply.accumulate(p))
+        _powers[:] = both
+    return _powers[0], _powers[1]
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """A string column as UTF-8 bytes, null as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

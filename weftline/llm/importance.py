@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, discard, fresh, small_batches
+from .common import as_bytes, cut, discard, fresh, powers, small_batches
 
 U = np.uint64
 #: Hash buckets of n-grams.
@@ -28,24 +28,11 @@ UNIT = 1 << 20
 PIECE = 1 << 20
 SPACES = b" \t\n\v\f\r"
 
-_BASE = 0x9E3779B97F4A7C15 | 1
 _CLASS = np.full(256, 2, np.uint8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
 _CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        both = []
-        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(n, b, U)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        _POWERS[:] = both
-    return _POWERS[0], _POWERS[1]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -98,7 +85,7 @@ def ngrams(which: np.ndarray, group: list[bytes], carried: np.ndarray, buckets:
     starts, stops = edge, np.concatenate((edge[1:], [len(data)]))
     words = kind[edge] != 0
     starts, stops = starts[words], stops[words]
-    up, down = _powers(max(len(data) + 1, PIECE * 2 + 2))
+    up, down = powers(max(len(data) + 1, PIECE * 2 + 2))
     prefix = np.zeros(len(data) + 1, U)
     np.cumsum((_LOWER[data].astype(U) + U(1)) * up[: len(data)], out=prefix[1:])
     h = _mix((prefix[stops] - prefix[starts]) * down[starts])

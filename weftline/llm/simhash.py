@@ -25,14 +25,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, components, cut, discard, only_rows, small_batches, text_hashes
+from .common import as_bytes, components, cut, discard, only_rows, powers, small_batches, text_hashes
 
 U = np.uint64
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 4, 42
 #: Of similar_texts: words of a shingle, similarity in percent, fingerprints of a text, their bits.
 WORDS, PERCENT, TABLES, TABLE_BITS = 5, 80, 16, 40
 #: Variants that a task makes at once, bits that variants are dealt out by at a time, and fingerprints that a bucket takes.
-AT_ONCE, STEP, MOST_PRINTS = 4_000_000, 4, 500_000
+AT_ONCE, STEP, MOST_PRINTS = 1_000_000, 4, 500_000
+#: Bytes whose words are hashed at once.
+CHUNK = 1 << 20
 #: Pairs of one text that are verified in different tasks, and candidates of a text that each round verifies, until none is left.
 SALTS, ROUNDS = 64, (1, 8, None)
 
@@ -85,17 +87,37 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, fingerprint long").withColumnRenamed("key", key)
 
 
-@lru_cache(maxsize=1 << 17)
-def _word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, SEED)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTES = np.random.default_rng(SEED + 1).integers(0, 1 << 63, 256, U)
+_BYTES[65:91] = _BYTES[97:123]  # letters A to Z as a to z
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash of each word, of a text whose words are cut by ASCII white space; long texts go in chunks of whole words."""
+    out, start = [], 0
+    while start < len(text):
+        stop = len(text)
+        if stop - start > CHUNK:
+            stop = max(text.rfind(c, start, start + CHUNK) for c in b" \t\n\v\f\r") + 1
+            if not stop:  # one word is longer than a chunk
+                stop = min((at for c in b" \t\n\v\f\r" if (at := text.find(c, start)) >= 0), default=len(text) - 1) + 1
+        data = np.frombuffer(text, np.uint8, stop - start, start)
+        edges = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[data], [True])).view(np.int8)))
+        begin, end = edges[::2], edges[1::2]
+        up, down = powers(max(len(data), CHUNK) + 1)
+        prefix = np.zeros(len(data) + 1, U)
+        np.cumsum(_BYTES[data] * up[: len(data)], out=prefix[1:])
+        out.append(_mix((prefix[end] - prefix[begin]) * down[begin] + (end - begin).astype(U)))
+        start = stop
+    return np.concatenate(out) if out else np.zeros(0, U)
 
 
 def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
     """Distinct hashes, in order, of a text's word shingles; one of the whole line for a text of fewer words, none of no words."""
-    found = text.lower().split()
-    if not found:
-        return np.zeros(0, U)
-    each = np.fromiter(map(_word_hash, found), U, len(found))
+    each = word_hashes(text)
+    if not len(each):
+        return each
     k = min(words, len(each))
     h = np.full(len(each) - k + 1, k, U)
     for i in range(k):

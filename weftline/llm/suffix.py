@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, discard, fresh, release, small_batches
+from .common import as_bytes, cut, discard, fresh, powers, release, small_batches
 
 WINDOW, GRAM = 100, 32
 #: Bytes in one vector operation, and the bits that hold a position in them.
@@ -48,23 +48,7 @@ BUCKETS = 8192
 SMALL = 12
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
 _BYTES = np.array([xxhash.xxh64_intdigest(bytes([i]), 7) for i in range(256)], U)
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash's base and of its inverse modulo 2**64, at least n of each."""
-    if not _tables or max(_tables) < n:
-        inverse = pow(_BASE, -1, 1 << 64)
-        _tables.clear()
-        both = []
-        for b in (_BASE, inverse):
-            p = np.full(n, b, U)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        _tables[n] = (both[0], both[1])
-    return _tables[max(_tables)]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -93,7 +77,7 @@ def anchors(group: list[tuple[int, int, bytes]], window: int = WINDOW, gram: int
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(x[2] for x in group), np.uint8)
     n = len(data)
-    up, down = _powers(CHUNK + 1)
+    up, down = powers(CHUNK + 1)
     prefix = np.zeros(n + 1, U)
     np.cumsum(_BYTES[data] * up[:n], out=prefix[1:])
     hashes = _mix((prefix[gram:] - prefix[:-gram]) * down[: n - gram + 1])
