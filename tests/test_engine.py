@@ -1,5 +1,6 @@
 """Language, grammar, state, sources and sweeps."""
 
+import json
 import math
 
 import pytest
@@ -205,3 +206,72 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["series_id", "h", "yhat"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_datasets_of_records_are_panels_by_name(spark):
+    rows = [([1.0, float("nan"), 3.0], [4.0], "d", "s", f"i{k}", k) for k in range(3)] + [([1.0], [2.0], "d", "s", "short", 0)] + [([1.0, 2.0], [3.0, 4.0], "d", None, f"j{k}", 0) for k in range(2)]
+    records = spark.createDataFrame(rows, "history array<double>, future array<double>, source_domain string, source_subset string, item_id string, chunk_start int")
+    found = B.datasets(records)
+    assert list(found) == ["d__s", "d__unknown"]
+    own = found["d__s"].orderBy("ord").collect()
+    assert [(r["ord"], r["series_id"], r["history"]) for r in own] == [(k, f"i{k}@{k}", [1.0, None, 3.0]) for k in range(3)]
+    windows = B.record_windows(records.withColumn("tag", F.lit("t")), 2, 1, max_windows=4)
+    assert [(r["series_id"], r["window_start"]) for r in windows.collect()] == [("t/i0", 0), ("t/i0", 1), ("t/i1", 0), ("t/i1", 1)]
+
+
+def test_manual_series_make_a_panel(spark):
+    p = B.manual(spark, {"b": [1, None, 3, 4], "a": [5, 6, float("inf"), 8]}, 1)
+    assert [(r["series_id"], r["history"], r["future"]) for r in p.orderBy("ord").collect()] == [("a", [5, 6, None], [8]), ("b", [1, None, 3], [4])]
+    with pytest.raises(ValueError, match="one length"):
+        B.manual(spark, {"a": [1, 2], "b": [1]}, 1)
+
+
+def test_broken_and_missing_shards_are_skipped(spark, tmp_path):
+    spark.createDataFrame([([1.0], [2.0])], "history array<double>, future array<double>").write.parquet(str(tmp_path / "good"))
+    (tmp_path / "bad.parquet").write_bytes(b"PAR1 no table PAR1")
+    lines = [f"x-{n},{tmp_path / n}" for n in ("good", "bad.parquet", "none")]
+    (tmp_path / "m.csv").write_text("\n".join(["tag,path", *lines]))
+    assert [r["tag"] for r in B.read_records(spark, str(tmp_path / "m.csv"), "X-").collect()] == ["x-good"]
+
+
+def test_model_input_wins_over_the_bundle(spark):
+    s = L.run_sequence(["LinearFill", "ZNormalization", "FourierFeatures"], G.build_grammar(), T.start(B.synthetic(spark), 72, 24))
+    one = s[-1].set_model_input("scaled_history")
+    assert [b.name for b in one.bundle()] == ["scaled_history"] and one.df.select(F.size(one.bundle_column())).first()[0] == 72
+    assert [b.name for b in one.set_model_input().bundle()] == [b.name for b in s[-1].bundle()]
+    with pytest.raises(KeyError):
+        one.set_model_input("nothing")
+
+
+def test_step_reports_say_what_a_token_did(spark):
+    rows = T.step_report(L.run_sequence(["LinearFill", "ZNormalization", "parrot"], G.build_grammar(), T.start(B.synthetic(spark), 72, 24)), norms=True)
+    assert [r["token"] for r in rows] == ["LinearFill", "ZNormalization", "parrot"] and "clean_history" in rows[0]["added"]
+    assert rows[1]["space"] == "ZNormalization" and rows[2]["norm_after"] < rows[2]["norm_before"] and rows[2]["predictions"] == 1
+
+
+def test_graph_as_json_and_html():
+    g = G.build_grammar()
+    made = json.loads(G.graph_json(g))
+    assert len(made["edges"]) == 123 and len(made["tokens"]) == 25 and set(made["tokens"][1]) == {"id", "status", "class", "core", "parents", "next", "reads", "writes", "description"}
+    assert "<table>" in G.graph_html(g) and next(r for r in made["tokens"] if r["id"] == "parrot")["next"]
+
+
+def test_sweep_records_failures_and_goes_on(spark):
+    class Broken(M.Zero):
+        name = "broken"
+
+        def apply(self, state):
+            raise OverflowError("no")
+
+    class Late(M.Zero):
+        name = "late"
+
+        def apply(self, state):
+            return state.push(state.df.withColumn("new__", F.transform("target_base", lambda y: F.raise_error(F.lit("later")).cast("double"))), "new__", self.name)
+
+    g = G.Grammar()
+    for t in (P.LinearFill(), Broken(), Late(), M.Zero()):
+        g.register(t, ("START",) if t.kind == "cleaning" else ("LinearFill",))
+    rows = S.sweep({"a": T.start(B.synthetic(spark), 72, 24)}, g)
+    assert [(r["sequence"], r["status"] == "ok") for r in rows] == [("LinearFill -> broken", False), ("LinearFill -> late", False), ("LinearFill -> zero", True)]
+    assert rows[0]["status"] == "OverflowError" and rows[2]["mae"] > 0

@@ -592,3 +592,35 @@ w AS (SELECT '' AS seq, -1 AS phase, -1 AS canon, '' AS grp, 0 AS n, false AS fe
 SELECT n AS length, seq AS sequence FROM w WHERE phase = 3""")
 def enumerate_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.enumerate_sequences(S.token_table(spark), 3)
+
+
+def baseline_grammar() -> G.Grammar:
+    """Fills and scalings before the two models that have closed forms."""
+    fills, ends = ("LinearFill", "ForwardFill"), ("last_value", "zero")
+    out = G.Grammar()
+    for f in (P.LinearFill(), P.ForwardFill()):
+        out.register(f, (G.START,), ("ZNormalization", *ends))
+    for t in (P.ZNormalization(), M.LastValue(), M.Zero()):
+        out.register(t, leads_to=ends if t.kind == "transform" else (G.STOP,))
+    return out
+
+
+@query("sweep_datasets", LONG + """,
+wave AS (SELECT format('s{:05d}', k) AS series_id, t::INTEGER AS t, 8e0 + 5e-1 * k + 2e0 * sin(2e0 * pi() * t / 24e0) AS y FROM (SELECT unnest(range(5)) AS k) CROSS JOIN (SELECT unnest(range(96)) AS t)),
+past AS (SELECT 'events' AS dataset, series_id, t, raw, y, carried FROM hist UNION ALL SELECT 'waves', series_id, t, y, y, y FROM wave WHERE t < 72),
+next_ AS (SELECT 'events' AS dataset, series_id, h, y FROM fut UNION ALL SELECT 'waves', series_id, t - 72, y FROM wave WHERE t >= 72),
+facts AS (SELECT dataset, series_id, arg_max(y, t) AS line_end, arg_max(carried, t) AS carried_end, avg(y) AS line_mean, avg(carried) AS carried_mean, stddev_pop(y) + 1e-8 AS line_sigma, stddev_pop(carried) + 1e-8 AS carried_sigma FROM past GROUP BY 1, 2),
+chains AS (SELECT * FROM (VALUES (0, 'LinearFill -> ZNormalization -> last_value'), (1, 'LinearFill -> ZNormalization -> zero'), (2, 'LinearFill -> last_value'), (3, 'LinearFill -> zero'),
+  (4, 'ForwardFill -> ZNormalization -> last_value'), (5, 'ForwardFill -> ZNormalization -> zero'), (6, 'ForwardFill -> last_value'), (7, 'ForwardFill -> zero')) v(pos, sequence)),
+guess AS (SELECT dataset, series_id, pos, sequence, CASE pos WHEN 1 THEN line_mean WHEN 3 THEN 0e0 WHEN 5 THEN carried_mean WHEN 7 THEN 0e0 WHEN 0 THEN line_end * line_sigma + line_mean WHEN 2 THEN line_end WHEN 4 THEN carried_end * carried_sigma + carried_mean ELSE carried_end END AS c FROM facts CROSS JOIN chains),
+marks AS (SELECT dataset, pos, sequence, string_agg(round(c, 6)::VARCHAR, ' ' ORDER BY series_id) AS mark FROM guess GROUP BY 1, 2, 3),
+firsts AS (SELECT dataset, pos, sequence FROM (SELECT *, row_number() OVER (PARTITION BY dataset, mark ORDER BY pos) AS k FROM marks) WHERE k = 1),
+naive AS (SELECT dataset, series_id, avg(abs(d)) AS scale FROM (SELECT dataset, series_id, raw - lag(raw) OVER (PARTITION BY dataset, series_id ORDER BY t) AS d FROM past) GROUP BY 1, 2),
+each AS (SELECT g.dataset, g.pos, g.sequence, g.series_id, sum(abs(n.y - g.c)) AS a, sum((n.y - g.c) * (n.y - g.c)) AS q, count(*) AS n FROM guess g JOIN next_ n USING (dataset, series_id) GROUP BY 1, 2, 3, 4)
+SELECT f.dataset, f.sequence, len(string_split(f.sequence, ' -> '))::INTEGER AS length, 'ok' AS status, round(sum(a) / sum(n), 4) AS mae, round(sqrt(sum(q) / sum(n)), 4) AS rmse, round(avg(a / n / scale), 4) AS mase
+FROM firsts f JOIN each e USING (dataset, pos) JOIN naive USING (dataset, series_id) GROUP BY f.dataset, f.pos, f.sequence""")
+def sweep_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chain of the baseline grammar over two panels. last_value takes the clean history, also in a scaled space."""
+    panels = {"events": hourly(spark, sf_dir), "waves": start(B.synthetic(spark), 72, 24)}
+    found = S.results_df(spark, S.sweep(panels, baseline_grammar()))
+    return found.select("dataset", "sequence", "length", "status", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "mase")])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,3 +142,30 @@ def merged_edges(*frames: DataFrame) -> DataFrame:
 
 def mermaid(grammar: Grammar) -> str:
     return "\n".join(["graph LR", *(f"    {a} --> {b}" for a, b in sorted(grammar.edge_list))])
+
+
+def matrix_rows(grammar: Grammar) -> list[dict]:
+    """A row for each node with what is known of it: id, status, class, core, parents, next, reads, writes and description."""
+    parents: dict[str, list[str]] = {}
+    for a, b in grammar.edge_list:
+        parents.setdefault(b, []).append(a)
+    core, out = {n for a, ends in CORE.items() for n in (a, *ends)}, []
+    for name in [START, *grammar.tokens, STOP]:
+        token = grammar.tokens.get(name)
+        reads = [*token.reads, *(p.sem for p in token.requires)] if token else []
+        out.append({
+            "id": name, "status": "registered" if token else "synthetic", "class": token.kind if token else "boundary", "core": name in core, "parents": sorted(parents.get(name, ())), "next": sorted(grammar.edges.get(name, ())),
+            "reads": reads, "writes": [p.sem for p in token.provides] if token else [], "description": " ".join((type(token).__doc__ or "").split()) if token else "",
+        })
+    return out
+
+
+def graph_json(grammar: Grammar) -> str:
+    return json.dumps({"tokens": matrix_rows(grammar), "edges": sorted(grammar.edge_list)}, indent=1)
+
+
+def graph_html(grammar: Grammar, title: str = "Tokens") -> str:
+    """The matrix as a table of its own, with links from each token to those before and after it."""
+    link = lambda names: " ".join(f'<a href="#{html.escape(n)}">{html.escape(n)}</a>' for n in names)
+    rows = "".join(f'<tr id="{html.escape(r["id"])}"><td>{html.escape(r["id"])}<td>{r["class"]}<td>{link(r["parents"])}<td>{link(r["next"])}<td>{html.escape(" ".join(r["reads"]))}<td>{html.escape(r["description"])}' for r in matrix_rows(grammar))
+    return f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><table><tr><th>token<th>class<th>after<th>before<th>reads<th>what it does{rows}</table>"

@@ -210,8 +210,25 @@ class State:
         entry = {"step": len(self.sequence) + 1, "token": token, "reads": reads, "writes": writes}
         return replace(self, sequence=(*self.sequence, token), classes=(*self.classes, kind), log=(*self.log, entry))
 
+    def set_model_input(self, *names: str) -> State:
+        """Has models see these signals, in this order, in place of the bundle; none: the bundle again."""
+        for n in names:
+            self.one_named(n)
+        return replace(self, metadata=MappingProxyType({**self.metadata, "model_input": names or None}))
+
+    def one_named(self, name: str) -> Signal:
+        found = next((s for s in self.board if s.name == name), None)
+        if found is None:
+            raise KeyError(f"no signal {name}")
+        return found
+
     def bundle(self, tags: tuple[str, ...] = ()) -> list[Signal]:
-        """History-aligned blocks that a model sees: coercible, in the present space if series, each name once."""
+        """History-aligned blocks that a model sees: coercible, in the present space if series, each name once.
+
+        What set_model_input has named wins over all of them.
+        """
+        if self.metadata.get("model_input"):
+            return [self.one_named(n) for n in self.metadata["model_input"]]
         out, names = [], set()
         for s in self.board:
             fits = s.alignment == "history" and s.root not in ("forecast", "samples", "param", "mask") and "no_bundle" not in s.tags and s.size > 0
@@ -256,3 +273,17 @@ def residual_norm(state: State) -> float:
     """L2 norm of the residual over all series."""
     squares = F.aggregate(state.residual(), F.lit(0.0), lambda s, x: s + x * x)
     return float(np.sqrt(state.df.agg(F.sum(squares)).first()[0] or 0.0))
+
+
+def step_report(states: list[State], norms: bool = False) -> list[dict]:
+    """A row for each step of run_sequence's states: token, space, what it has added, removed and changed, and the bundle's widths.
+
+    norms: the L2 norm of the residual before and after too, which takes a job for each state.
+    """
+    out = []
+    sizes = [residual_norm(s) if norms else None for s in states]
+    for i, (before, now) in enumerate(zip(states, states[1:], strict=False)):
+        widths = {s.name: s.size for s in now.bundle()}
+        row = {"step": i + 1, "token": now.sequence[-1], "space": "/".join(now.space), **difference(before, now), "bundle": widths, "bundle_width": sum(widths.values())}
+        out.append(row | {"predictions": len(now.predictions), "norm_before": sizes[i], "norm_after": sizes[i + 1]})
+    return out

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import time
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -83,9 +86,20 @@ def dedupe(forecasts: DataFrame, order: str = "pos", digits: int = 6) -> DataFra
     return marks.withColumn("k", F.row_number().over(first)).where("k = 1").select("dataset", "sequence", order)
 
 
-def sweep(state: State, grammar: Grammar, dataset: str = "panel", most: int = 5, most_models: int = 1, held_out: tuple[str, ...] = (), seconds: float = 1200.0, season: int = 1) -> list[dict]:
-    """Scores every chain that the grammar allows, sharing prefixes; errors are rows too, and equal forecasts count once."""
-    until, out, seen = time.time() + seconds, [], set()
+@dataclass(frozen=True)
+class Chain:
+    """A planned pipeline that ends in a model, or one whose token failed (status)."""
+
+    dataset: str
+    pos: int
+    sequence: tuple[str, ...]
+    state: State | None
+    status: str = "ok"
+
+
+def plan_chains(state: State, grammar: Grammar, dataset: str = "panel", most: int = 5, most_models: int = 1, held_out: tuple[str, ...] = (), until: float = math.inf) -> list[Chain]:
+    """Every chain that the grammar allows and that ends in a model, depth first; states are lazy plans, and prefixes are shared."""
+    out: list[Chain] = []
 
     def visit(now: State) -> None:
         for name in grammar.valid_actions(now):
@@ -94,26 +108,71 @@ def sweep(state: State, grammar: Grammar, dataset: str = "panel", most: int = 5,
             token = grammar.tokens[name]
             if token.kind == "model" and len(now.predictions) >= most_models:
                 continue
-            sequence, began = " -> ".join([*now.sequence, name]), time.time()
-            row = {"dataset": dataset, "length": len(now.sequence) + 1, "mase": None, "rmse": None, "mae": None, "status": "ok", "sequence": sequence}
             try:
                 after = token.run(now)
-                if token.kind == "model":
-                    cells = after.df.select("ord", F.posexplode(after.decoded()).alias("h", "yhat"))
-                    mark = tuple(signature(cells, []).first())
-                    if mark not in seen:
-                        seen.add(mark)
-                        found = score(after, season).first()
-                        out.append(row | {k: found[k] for k in ("mase", "rmse", "mae")} | {"seconds": time.time() - began})
             except Exception as e:  # noqa: BLE001  recorded as the pipeline's status
-                out.append(row | {"status": type(e).__name__, "seconds": time.time() - began})
+                out.append(Chain(dataset, len(out), (*now.sequence, name), None, type(e).__name__))
                 continue
+            if token.kind == "model":
+                out.append(Chain(dataset, len(out), after.sequence, after))
             visit(after)
 
     visit(state)
     return out
 
 
+def _cells(chain: Chain, season: int) -> DataFrame:
+    """A row for each series: sums of errors, and a hash of its rounded forecast."""
+    s = chain.state
+    rows = s.df.select("ord", s.decoded().alias("p"), "original_future", naive_scale(F.col("original_history"), season).alias("scale"))
+    errors = F.zip_with("p", "original_future", lambda p, y: p - y)
+    marks = F.transform("p", lambda p, h: F.xxhash64(F.col("ord"), h, F.round(p, 6) + F.lit(0.0)))
+    rows = rows.select(errors.alias("e"), "scale", F.aggregate(marks, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x)).alias("x"), F.aggregate(marks, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.xxhash64(x))).alias("y"))
+    each = rows.select("scale", "x", "y", F.size("e").alias("n"), F.aggregate("e", F.lit(0.0), lambda s, x: s + F.abs(x)).alias("a"), F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x).alias("q"))
+    return each.select(F.lit(chain.dataset).alias("dataset"), F.lit(chain.pos).alias("pos"), F.lit(len(chain.sequence)).alias("length"), F.lit(" -> ".join(chain.sequence)).alias("sequence"), "*")
+
+
+def _scored(chains: list[Chain], season: int) -> list[dict]:
+    """One job over (dataset, pipeline, series) for all chains; if it fails, one for each, whose failure is its status."""
+    by = ["dataset", "pos", "length", "sequence"]
+    began = time.time()
+    try:
+        rows = reduce(DataFrame.union, [_cells(c, season) for c in chains]).groupBy(*by).agg(
+            (F.sum("a") / F.sum("n")).alias("mae"), F.sqrt(F.sum("q") / F.sum("n")).alias("rmse"), F.avg(F.when(F.col("scale") > 1e-12, F.col("a") / F.col("n") / F.col("scale"))).alias("mase"),
+            F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.count(F.lit(1)).alias("series"),
+        ).collect()  # fmt: skip  a row for each chain
+    except Exception as e:  # noqa: BLE001
+        if len(chains) > 1:
+            return [r for c in chains for r in _scored([c], season)]
+        c = chains[0]
+        return [{"dataset": c.dataset, "pos": c.pos, "length": len(c.sequence), "sequence": " -> ".join(c.sequence), "status": type(e).__name__, "seconds": time.time() - began}]
+    return [r.asDict() | {"status": "ok", "seconds": (time.time() - began) / len(chains)} for r in rows]
+
+
+def sweep(panels: dict[str, State] | State, grammar: Grammar, most: int = 5, most_models: int = 1, held_out: tuple[str, ...] = (), seconds: float = 1200.0, season: int = 1, at_once: int = 24) -> list[dict]:
+    """Scores every chain that the grammar allows on every dataset's panel, at_once chains to a job.
+
+    Errors are rows too. Of a dataset's chains with equal forecasts to six digits the first counts. seconds is each
+    dataset's budget: chains that it doesn't reach have no row.
+    """
+    out: list[dict] = []
+    for dataset, state in (panels.items() if isinstance(panels, dict) else [("panel", panels)]):
+        until, seen = time.time() + seconds, set()
+        chains = plan_chains(state, grammar, dataset, most, most_models, held_out, until)
+        found = [{"dataset": c.dataset, "pos": c.pos, "length": len(c.sequence), "sequence": " -> ".join(c.sequence), "status": c.status, "seconds": 0.0} for c in chains if c.state is None]
+        planned = [c for c in chains if c.state is not None]
+        for i in range(0, len(planned), at_once):
+            if time.time() > until:
+                break
+            found += _scored(planned[i : i + at_once], season)
+        for r in sorted(found, key=lambda r: r["pos"]):
+            mark = (r["x"], r["y"], r["series"]) if r["status"] == "ok" else None
+            if mark is None or mark not in seen:
+                seen.add(mark)
+                out.append({k: r.get(k) for k in ("dataset", "length", "mase", "rmse", "mae", "seconds", "status", "sequence")})
+    return out
+
+
 RESULT = "dataset string, length int, mase double, rmse double, mae double, seconds double, status string, sequence string"
 
 
@@ -142,9 +201,11 @@ def filtered(results: DataFrame, lengths: list[int] | None = None, contains: str
     return out.where(F.col("dataset").isin(datasets)) if datasets else out
 
 
-def ranked(results: DataFrame) -> DataFrame:
-    order = Window.orderBy(F.col("mase").asc_nulls_last(), "dataset", "sequence")
-    return results.withColumn("rank", F.row_number().over(order))
+def ranked(results: DataFrame, top: int | None = None) -> DataFrame:
+    """Results with their rank by mase; a sweep has a row for each dataset and pipeline, which one task can order. top: only so many, by a distributed top-k."""
+    by = [F.col("mase").asc_nulls_last(), "dataset", "sequence"]
+    rows = results if top is None else results.orderBy(*by).limit(top)
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*by)))
 
 
 def pivot(results: DataFrame, datasets: list[str]) -> DataFrame:

@@ -21,10 +21,14 @@ def grid(long: DataFrame, length: int, horizon: int) -> DataFrame:
 
     The future is cleaned like a loader's records (linear, flat at its ends); the history keeps its gaps.
     """
-    cells = F.map_from_entries(F.collect_list(F.struct("t", finite(F.col("y")).alias("y"))))
-    wide = long.where(F.col("t").between(0, length + horizon - 1)).groupBy("series_id").agg(cells.alias("cells"))
-    at = lambda a, n: F.transform(F.sequence(F.lit(a), F.lit(a + n - 1)), lambda t: F.element_at("cells", t.cast("int")))
-    arrays = wide.select("series_id", at(0, length).alias("history"), at(length, horizon).alias("future"))
+    size = length + horizon
+    cells = F.array_sort(F.collect_list(F.struct("t", finite(F.col("y")).alias("y"))))
+    wide = long.where(F.col("t").between(0, size - 1)).groupBy("series_id").agg(cells.alias("cells"))
+    blank = lambda a, z: F.when(z > a, F.array_repeat(F.lit(None).cast("double"), z - a)).otherwise(F.array().cast("array<double>"))
+    gaps = F.transform("cells", lambda c, i: F.concat(blank(F.when(i == 0, F.lit(0)).otherwise(F.get("cells", i - 1)["t"] + 1), c["t"]), F.array(c["y"])))
+    full = F.concat(F.flatten(gaps), blank(F.element_at("cells", -1)["t"] + 1, F.lit(size)))
+    dense = wide.select("series_id", full.alias("y"))
+    arrays = dense.select("series_id", F.slice("y", 1, length).alias("history"), F.slice("y", length + 1, horizon).alias("future"))
     return with_order(kernel(arrays, lambda y: (K.linear_fill(y),), ["future"], {"future": "array<double>"}))
 
 
@@ -121,13 +125,17 @@ def manifest(frame: DataFrame, tag_contains: str, max_records: int | None = None
 
 
 def read_records(spark: SparkSession, manifest_path: str, tag_contains: str, max_records: int | None = None) -> DataFrame:
-    """Parquet shards that a CSV manifest (tag, path) lists; a shard is skipped if it can't be read."""
+    """Parquet shards that a CSV manifest (tag, path) lists, with their tags; shards that are missing or can't be read are skipped.
+
+    Whether a shard can be read shows in the tasks that read it, so Spark is told to pass over broken files there.
+    """
     rows = manifest(spark.read.csv(manifest_path, header=True), tag_contains).orderBy("tag").collect()
+    reader = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     frames = []
     for r in rows:
         try:
-            frames.append(spark.read.parquet(r["path"]).withColumn("tag", F.lit(r["tag"])))
-        except Exception as e:  # noqa: BLE001
+            frames.append(reader.parquet(r["path"]).withColumn("tag", F.lit(r["tag"])))
+        except Exception as e:  # noqa: BLE001  no path, or not one footer to take the schema from
             print(f"skipped {r['path']}: {type(e).__name__}")
     if not frames:
         raise ValueError("no shard can be read")
@@ -137,6 +145,35 @@ def read_records(spark: SparkSession, manifest_path: str, tag_contains: str, max
     return out if max_records is None else out.limit(max_records)
 
 
+def datasets(records: DataFrame, max_series: int | None = None, seed: int = 0) -> dict[str, DataFrame]:
+    """Panels of records (history, future, source_domain, source_subset, item_id), by the name `domain__subset`.
+
+    Records are grouped by subset, and a group's panel has those of its most frequent lengths. Only names are collected;
+    each panel is a filter of one frame, whose series are numbered by item_id and chunk.
+    """
+    named = records.withColumn("dataset", F.concat_ws("__", F.coalesce("source_domain", F.lit("unknown")), F.coalesce("source_subset", F.lit("unknown"))))
+    named = named.withColumn("series_id", F.concat_ws("@", F.col("item_id").cast("string"), F.col("chunk_start").cast("string")) if "chunk_start" in records.columns else F.col("item_id").cast("string"))
+    kept = mode_lengths(named, ["dataset"], max_series, seed)
+    names = [r["dataset"] for r in kept.select("dataset").distinct().orderBy("dataset").collect()]
+    return {n: with_order(kept.where(F.col("dataset") == n).select("series_id", F.transform("history", finite).alias("history"), "future")) for n in names}
+
+
+def manual(spark: SparkSession, series: dict[str, list[float]], horizon: int) -> DataFrame:
+    """A panel of given series, whose last `horizon` values are the future; all of one length."""
+    if len({len(y) for y in series.values()}) > 1 or any(len(y) <= horizon for y in series.values()):
+        raise ValueError("series need one length, longer than the horizon")
+    rows = [(name, i, [None if v is None else float(v) for v in y[:-horizon]], [float(v) for v in y[-horizon:]]) for i, (name, y) in enumerate(sorted(series.items()))]
+    panel = spark.createDataFrame(rows, "series_id string, ord int, history array<double>, future array<double>")
+    return panel.withColumn("history", F.transform("history", finite))
+
+
+def record_windows(records: DataFrame, history_len: int, horizon: int, stride: int = 1, max_windows: int | None = None, order: list[str] = ("tag", "item_id"), mode: str = "history_plus_future") -> DataFrame:
+    """Windows over all records, in the order of records and starts, up to max_windows over all: a top-k, not a cut of each record."""
+    rows = record_series(records, mode).withColumn("series_id", F.concat_ws("/", *[F.col(c).cast("string") for c in order]))
+    out = sliding_windows(rows, history_len, horizon, stride)
+    return out if max_windows is None else out.orderBy("series_id", "window_start").limit(max_windows)
+
+
 def of_lengths(records: DataFrame, length: int, horizon: int) -> DataFrame:
     return records.where((F.size("history") == length) & (F.size("future") == horizon))
 

@@ -13,6 +13,14 @@ def write_results(results: DataFrame, path: str, mode: str = "append") -> None:
     results.write.mode(mode).partitionBy("dataset").parquet(path)
 
 
+def write_ranked(frames: list[DataFrame], path: str) -> None:
+    """One ranked CSV of several sweeps' results: by mase, missing ones last."""
+    rows = frames[0]
+    for f in frames[1:]:
+        rows = rows.unionByName(f)
+    rows.orderBy(F.col("mase").asc_nulls_last(), "dataset", "sequence").coalesce(1).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+
+
 def write_csv(frame: DataFrame, path: str) -> None:
     frame.write.mode("overwrite").option("header", True).csv(path)
 
