@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from weftline.llm import common, mixing, stages
 
-from .test_near import brute_components, brute_print, brute_removed
+from .test_near import brute_removed, brute_similar
 
 
 def test_stages_follow_each_other(spark, sf, tmp_path):
@@ -23,7 +23,7 @@ def test_stages_follow_each_other(spark, sf, tmp_path):
     assert len(kept["quality"]) < len(kept["documents"])
     before = sorted(kept["quality"], key=lambda r: r["doc_id"])
     ids = [r["doc_id"] for r in before]
-    firsts = set(brute_components([brute_print(r["text"]) for r in before], ids))
+    firsts = set(brute_similar([r["text"] for r in before], ids))
     assert sorted(r["doc_id"] for r in kept["near_duplicates"]) == sorted(firsts)
     want = brute_removed([(r["doc_id"], r["text"]) for r in kept["near_duplicates"]])
     after = {r["doc_id"]: r for r in kept["repeated_passages"]}

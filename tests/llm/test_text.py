@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -139,13 +140,13 @@ def texts() -> list[str]:
 def test_byte_level_encoding_is_the_librarys():
     from tokenizers import Tokenizer
 
-    own, library = token_files.Encoder(BYTE), Tokenizer.from_file(BYTE)
+    own, library = token_files.Encoder(Path(BYTE).read_bytes()), Tokenizer.from_file(BYTE)
     library.encode_special_tokens = True
     assert own.cuts
     for x in texts():
         assert np.frombuffer(own.encode(x), "<u4").tolist() == library.encode(x, add_special_tokens=False).ids, x
     library.encode_special_tokens = False
-    special = token_files.Encoder(BYTE, special=True)
+    special = token_files.Encoder(Path(BYTE).read_bytes(), special=True)
     assert np.frombuffer(special.encode("a<|endoftext|>b"), "<u4").tolist() == library.encode("a<|endoftext|>b", add_special_tokens=False).ids
 
 
@@ -188,14 +189,14 @@ def test_token_files_of_odd_rows(odd, empty, spark, tmp_path):
 def test_sentencepiece_is_the_librarys():
     import sentencepiece
 
-    own, library = sentencepiece_bpe.model(PIECE), sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    own, library = sentencepiece_bpe.Model(Path(PIECE).read_bytes()), sentencepiece.SentencePieceProcessor(model_file=PIECE)
     for x in texts():
         ids = library.encode(x)
         assert own.encode(x) == ids and own.decode(ids) == library.decode(ids) and own.digest_parts(x)[1].decode() == library.decode(ids), x
 
 
 def test_a_token_follows_where_merging_says_so():
-    own = sentencepiece_bpe.model(PIECE)
+    own = sentencepiece_bpe.Model(Path(PIECE).read_bytes())
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefinorst") for _ in range(rng.randrange(1, 14))) for _ in range(400)]
     for w in words:
@@ -351,7 +352,7 @@ WITH_ADDED = [f"a {END} b", END, END * 3, f"{END}\n", f"a  {END}  b", f"x\n\n{EN
 def test_added_tokens_are_found_as_the_library_finds_them():
     from tokenizers import Tokenizer
 
-    own, library = token_files.Encoder(BYTE, special=True), Tokenizer.from_file(BYTE)
+    own, library = token_files.Encoder(Path(BYTE).read_bytes(), special=True), Tokenizer.from_file(BYTE)
     rng = random.Random(5)
     mixed = ["".join(rng.choice([END, " ", "  ", "a", "the", "\n", "'s", "<|", "1", "\u4e2d", "\xa0"]) for _ in range(rng.randrange(1, 14))) for _ in range(400)]
     assert own.cuts

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import tempfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +91,20 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+class Shipped:
+    """A file's bytes, read on the driver and broadcast, so that workers need no such file: tokenizers of some megabytes."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        data = Path(path).read_bytes()
+        if len(data) > MOST_SHIPPED:
+            raise ValueError(f"{path} is over {MOST_SHIPPED} bytes")
+        self.mark, self.data = hashlib.sha256(data).hexdigest(), spark.sparkContext.broadcast(data)
+
+
+#: Bytes of a file that is broadcast, at most.
+MOST_SHIPPED = 64 << 20
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """A string column as UTF-8 bytes, null as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, small_batches
+from .common import Shipped, as_bytes, small_batches
 
 SPACE = "▁"
 #: Words that a worker keeps in each of two generations, and their longest.
@@ -55,16 +55,15 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Model:
     """The pieces of a merge-type model with the identity normalizer."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, data: bytes) -> None:
         import sentencepiece
 
-        lib = sentencepiece.SentencePieceProcessor(model_file=path)
-        with open(path, "rb") as f:
-            parts = dict(_fields(f.read()))
+        lib = sentencepiece.SentencePieceProcessor(model_proto=data)
+        parts = dict(_fields(data))
         norm = dict(_fields(parts.get(3, b"")))
         trainer = dict(_fields(parts.get(2, b"")))
         if trainer.get(3, 1) != 2 or norm.get(2) or norm.get(4, 1) or not norm.get(5, 1) or trainer.get(24):
-            raise ValueError(f"{path} isn't a merge-type model with the identity normalizer")
+            raise ValueError("this isn't a merge-type model with the identity normalizer")
         self.dummy_prefix = bool(norm.get(3, 1))
         size = lib.get_piece_size()
         self.pieces = [lib.id_to_piece(i) for i in range(size)]
@@ -199,19 +198,20 @@ class Model:
 _models: dict[str, Model] = {}
 
 
-def model(path: str) -> Model:
+def model(shipped: Shipped) -> Model:
     """One model for each Python worker."""
-    if path not in _models:
-        _models[path] = Model(path)
-    return _models[path]
+    if shipped.mark not in _models:
+        _models[shipped.mark] = Model(shipped.data.value)
+    return _models[shipped.mark]
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids array<int>, decoded string); null texts count as empty and have no ids. Repeated rows stay repeated."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    shipped = Shipped(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        m = model(shipped)
         for batch in small_batches(batches, "text"):
             ids = [m.encode(x or "") for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ids, pa.list_(pa.int32())), pa.array([m.decode(x) for x in ids], pa.string())], ["key", "ids", "decoded"])
@@ -228,9 +228,10 @@ def encode_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str =
     more. Tests hold both against the library.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    shipped = Shipped(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        m = model(shipped)
         for batch in small_batches(batches, "text"):
             n, a, b = [], [], []
             for x in as_bytes(batch.column("text")):

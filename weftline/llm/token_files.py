@@ -15,7 +15,6 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import Shipped, cut, small_batches
 
 #: White space as the pattern of byte-level tokenizers has it (fixed values).
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -49,13 +48,12 @@ def byte_letters() -> list[str]:
 class Encoder:
     """Encodes texts as the library does, ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, special: bool = False) -> None:
+    def __init__(self, data: bytes, special: bool = False) -> None:
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.library = Tokenizer.from_buffer(data)
         self.library.encode_special_tokens = not special  # else the special tokens' strings in a text are those tokens
-        with open(path, encoding="utf-8") as f:
-            made = json.load(f)
+        made = json.loads(data)
         pre = made.get("pre_tokenizer") or {}
         added = [x for x in made.get("added_tokens", ()) if x["content"] and (special or not x.get("special"))]
         plain = not any(x.get(k) for x in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
@@ -125,10 +123,15 @@ class Encoder:
         return b"".join([known.get(c) or self._chunk(c) for c in CHUNKS.findall(text)])
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, special: bool) -> Encoder:
+_encoders: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(shipped: Shipped, special: bool) -> Encoder:
     """One encoder for each Python worker."""
-    return Encoder(path, special)
+    if (shipped.mark, special) not in _encoders:
+        _encoders.clear()
+        _encoders[shipped.mark, special] = Encoder(shipped.data.value, special)
+    return _encoders[shipped.mark, special]
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, out: str, key: str = "doc_id", text: str = "text", end_id: int | None = 0, special: bool = False) -> None:
@@ -142,10 +145,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, key: str = "doc
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     by = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
     ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(*by).sortWithinPartitions(*by).drop("tie")
-    end = b"" if end_id is None else end_id.to_bytes(4, "little")
+    end, shipped = b"" if end_id is None else end_id.to_bytes(4, "little"), Shipped(docs.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, at = encoder(tokenizer, special), 0
+        e, at = encoder(shipped, special), 0
         for batch in small_batches(batches, "text"):
             ids = [e.encode(x) + end for x in batch.column("text").to_pylist()]
             offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
