@@ -1,5 +1,6 @@
 """Language, grammar, state, sources and sweeps."""
 
+import datetime
 import json
 import math
 
@@ -17,6 +18,7 @@ from weftline.plans import state as T
 from weftline.plans import sweep as S
 from weftline.sources import panel as B
 from weftline.sources import sinks
+from weftline.streaming.scoring import hourly_sums
 
 
 @pytest.fixture(scope="module")
@@ -275,3 +277,23 @@ def test_sweep_records_failures_and_goes_on(spark):
     rows = S.sweep({"a": T.start(B.synthetic(spark), 72, 24)}, g)
     assert [(r["sequence"], r["status"] == "ok") for r in rows] == [("LinearFill -> broken", False), ("LinearFill -> late", False), ("LinearFill -> zero", True)]
     assert rows[0]["status"] == "OverflowError" and rows[2]["mae"] > 0
+
+
+def test_ranked_results_of_several_sweeps_are_one_file(spark, tmp_path):
+    frames = [S.results_df(spark, [{"dataset": d, "length": 1, "mase": m, "rmse": None, "mae": None, "seconds": 0.5, "status": "ok", "sequence": 'a "b", c'}]) for d, m in (("x", None), ("y", 2.0), ("z", 1.0))]
+    sinks.write_ranked(frames, str(tmp_path / "all"))
+    rows = sinks.read_results(spark, str(tmp_path / "all")).collect()
+    assert [(r["dataset"], r["mase"]) for r in rows] == [("z", 1.0), ("y", 2.0), ("x", None)] and rows[0]["sequence"] == 'a "b", c'
+
+
+def test_streamed_hours_are_the_batch_sums(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    sums = hourly_sums(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")))
+    query = sums.writeStream.format("memory").queryName("hours").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {(r["series_id"], r["hour"]): round(r["y"], 6) for r in spark.table("hours").collect()}
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
+    want = {(r["s"], r["h"]): round(r["y"], 6) for r in events.groupBy(F.col("event_type").alias("s"), hour.alias("h")).agg(F.sum("value").alias("y")).collect()}
+    last = max(h for _, h in want) - datetime.timedelta(hours=4)
+    assert got and all(want[k] == v for k, v in got.items()) and {k for k in want if k[1] < last} <= set(got)
