@@ -18,8 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch that goes to a Python worker: rows are whole texts, and 10,000 of them can be much.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes too, unless the session says otherwise."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one for local tests if that is unset."""
+    bound_batches(spark)
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local"):
@@ -95,6 +107,7 @@ class Shipped:
     """A file's bytes, read on the driver and broadcast, so that workers need no such file: tokenizers of some megabytes."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
+        bound_batches(spark)
         data = Path(path).read_bytes()
         if len(data) > MOST_SHIPPED:
             raise ValueError(f"{path} is over {MOST_SHIPPED} bytes")

@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, components, cut, discard, only_rows, powers, small_batches, text_hashes
@@ -35,8 +35,8 @@ WORDS, PERCENT, TABLES, TABLE_BITS = 5, 80, 16, 40
 AT_ONCE, STEP, MOST_PRINTS = 1_000_000, 4, 500_000
 #: Bytes whose words are hashed at once.
 CHUNK = 1 << 20
-#: Pairs of one text that are verified in different tasks, and candidates of a text that each round verifies, until none is left.
-SALTS, ROUNDS = 64, (1, 8, None)
+#: Tasks that the pairs of one text are verified in.
+SALTS = 64
 
 _WIDE = TABLES * TABLE_BITS // 64
 _MASKS, _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, _WIDE), U) * U(2) + U(1)
@@ -204,13 +204,15 @@ def _shared(prints: np.ndarray, bucket: int, low: int, bits: int, radius: int) -
                 yield np.array([j]), np.array([i])
 
 
-def bucket_links(prints: np.ndarray, bucket: int, low: int, bits: int = BITS, radius: int = RADIUS, forest: bool = True) -> list[tuple[int, int, int]]:
+def bucket_links(prints: np.ndarray, bucket: int, low: int, bits: int = BITS, radius: int = RADIUS, forest: bool = True, roots: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """(fingerprint, smaller fingerprint, how often they shared a variant) through the variants whose low bits are bucket.
 
     All fingerprints that share a variant are within 2 * radius of each other, so a star from the smallest of them
-    stands for all their pairs. forest: only as many links as keep what is connected connected.
+    stands for all their pairs. forest: only as many links as keep what is connected connected. roots: of links between
+    fingerprints that have different ones only.
     """
-    prints = np.unique(np.asarray(prints, U))
+    prints, at = np.unique(np.asarray(prints, U), return_index=True)
+    roots = None if roots is None else np.asarray(roots)[at]
     n = len(prints)
     parent = list(range(n))
 
@@ -222,6 +224,9 @@ def bucket_links(prints: np.ndarray, bucket: int, low: int, bits: int = BITS, ra
 
     found: dict[int, int] = {}
     for a, b in _shared(prints, bucket, low, bits, radius):
+        if roots is not None:
+            apart = roots[a] != roots[b]
+            a, b = a[apart], b[apart]
         pairs, times = np.unique(np.maximum(a, b) * n + np.minimum(a, b), return_counts=True)
         for pair, t in zip(pairs.tolist(), times.tolist(), strict=True):
             if forest:
@@ -236,7 +241,8 @@ def bucket_links(prints: np.ndarray, bucket: int, low: int, bits: int = BITS, ra
 def _links_of(low: int, bits: int, radius: int, forest: bool) -> Callable[[tuple, pa.Table], pa.Table]:
     def run(group: tuple, rows: pa.Table) -> pa.Table:
         tag, bucket = (x.as_py() for x in group)
-        found = bucket_links(rows.column("fingerprint").to_numpy().view(U), bucket & ((1 << low) - 1), low, bits, radius, forest)
+        prints, roots = rows.column("fingerprint").to_numpy().view(U), rows.column("root").to_numpy() if "root" in rows.schema.names else None
+        found = bucket_links(prints, bucket & ((1 << low) - 1), low, bits, radius, forest, roots)
         made = np.array([x[:2] for x in found], U).reshape(-1, 2).view(np.int64)
         return pa.table({"tag": pa.array([tag] * len(made), pa.int64()), "a": made[:, 0], "b": made[:, 1], "times": pa.array([x[2] for x in found], pa.int64())})
 
@@ -246,15 +252,17 @@ def _links_of(low: int, bits: int, radius: int, forest: bool) -> Callable[[tuple
 def near_links(prints: DataFrame, bits: int = BITS, radius: int = RADIUS, forest: bool = True, most: int = MOST_PRINTS) -> DataFrame:
     """(tag, a, b, times): links between distinct fingerprints (columns tag and fingerprint) of one tag, as bucket_links has them.
 
-    With forest every component stays whole; without, each two that share a variant are linked with the smallest that does.
+    With forest every component stays whole; without, each two that share a variant are linked with the smallest that
+    does. With a column root, of one value for each fingerprint, only those of different roots are.
     """
-    level = prints.select("tag", "fingerprint").distinct().withColumn("bucket", F.lit(0).cast("long"))
+    own = [c for c in ("tag", "fingerprint", "root") if c in prints.columns]
+    level = prints.select(*own).distinct().withColumn("bucket", F.lit(0).cast("long"))
     low, links, used = 0, [], []
     while True:
         step = min(STEP, bits - low)
         wide = low + step
         values = F.array(*[F.lit(_signed_long(v << low)).cast("long") for v in range(1 << step)])
-        sent = level.select("tag", "fingerprint", F.explode(F.transform(values, lambda v: F.col("bucket").bitwiseOR(v))).alias("bucket"))
+        sent = level.select(*own, F.explode(F.transform(values, lambda v: F.col("bucket").bitwiseOR(v))).alias("bucket"))
         mask = F.lit(_signed_long((1 << wide) - 1)).cast("long")
         sent = sent.where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("bucket")).bitwiseAND(mask)) <= radius)
         last = wide >= bits
@@ -335,9 +343,9 @@ def similar_texts(docs: DataFrame, own: str, text: str = "text", percent: int =
     """(own, h1, h2, root): texts whose word shingles have a Jaccard similarity of percent at least, directly or through others, share root.
 
     (h1, h2) is a hash of 128 bits of the text, null as empty; rows are told apart by it and own. Texts without words are
-    each other's copies. Candidates come from near_links of every table and from equal fingerprints. Each
-    round verifies the pairs, of texts that aren't in one component yet, that have met most often: one for each text,
-    then more, then all that are left. Empty tables give no rows.
+    each other's copies. First every text is held against the closest candidate that near_links or an equal fingerprint
+    gives it in each table, so that a group of near copies costs a few pairs for each of them. Then balls are made once
+    more, for the candidates that aren't in one component yet, all of which are verified. Empty tables give no rows.
     """
     h1, h2 = text_hashes(text)
     rows = docs.select(F.col(own).alias("own"), h1.alias("h1"), h2.alias("h2"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -345,38 +353,36 @@ def similar_texts(docs: DataFrame, own: str, text: str = "text", percent: int =
     nodes = cut(signed.groupBy("h1", "h2").agg(F.first("size").alias("size"), F.first("prints").alias("prints")).withColumn("node", F.monotonically_increasing_id()))
     prints = cut(nodes.select("node", "size", F.posexplode("prints").alias("tag", "fingerprint")).withColumn("tag", F.col("tag").cast("long")))
     leads = cut(prints.groupBy("tag", "fingerprint").agg(F.min(F.struct("node", "size")).alias("lead"), F.count(F.lit(1)).alias("n")))
-    links = near_links(leads, TABLE_BITS, RADIUS, forest=False)
-    lead = lambda name: leads.select("tag", F.col("fingerprint").alias(name), F.col("lead").alias(f"{name}_lead"))
-    across = links.join(lead("a"), ["tag", "a"]).join(lead("b"), ["tag", "b"]).select("a_lead", "b_lead", "times")
-    within = prints.join(leads.where("n > 1"), ["tag", "fingerprint"]).where("node <> lead.node").select(F.struct("node", "size").alias("a_lead"), F.col("lead").alias("b_lead"), F.lit(len(_flips(range(TABLE_BITS), RADIUS))).cast("long").alias("times"))
     fits = F.least("a_lead.size", "b_lead.size") * F.lit(100) >= F.greatest("a_lead.size", "b_lead.size") * F.lit(percent)
-    met = across.union(within).where("a_lead.node <> b_lead.node").where(fits)
-    live = cut(met.groupBy(F.col("b_lead.node").alias("a"), F.col("a_lead.node").alias("b")).agg(F.sum("times").alias("times")))
-    discard(prints, leads, links)
-    named = live.select(F.col("a").alias("node")).union(live.select("b")).distinct().join(nodes.select("node", "h1", "h2"), "node")
+    lead = lambda name: leads.select("tag", F.col("fingerprint").alias(name), F.col("lead").alias(f"{name}_lead"))
+
+    def pairs(links: DataFrame) -> DataFrame:
+        """(a, b): the texts of links of one table each, the hub first."""
+        both = links.join(lead("a"), ["tag", "a"]).join(lead("b"), ["tag", "b"])
+        return both.where("a_lead.node <> b_lead.node").where(fits).select(F.col("b_lead.node").alias("a"), F.col("a_lead.node").alias("b"))
+
+    first = near_links(leads, TABLE_BITS, RADIUS, forest=False)
+    closest = first.groupBy("tag", "a", "b").agg(F.sum("times").alias("times")).groupBy("tag", "a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
+    alike = prints.join(leads.where("n > 1"), ["tag", "fingerprint"]).where("node <> lead.node").select(F.struct("node", "size").alias("a_lead"), F.col("lead").alias("b_lead"))
+    alike = alike.where(fits).select(F.col("b_lead.node").alias("a"), F.col("a_lead.node").alias("b"))
+    tried = cut(pairs(closest).union(alike).distinct())
+    named = first.select("tag", F.col("a").alias("fingerprint")).union(first.select("tag", "b")).distinct().join(leads, ["tag", "fingerprint"]).select("lead.node")
+    named = named.union(tried.select("b")).union(tried.select("a")).distinct().join(nodes.select("node", "h1", "h2"), "node")
     firsts = signed.groupBy("h1", "h2").agg(F.min("own").alias("own"))
     row = named.join(firsts, ["h1", "h2"]).select("h1", "h2", F.xxhash64("own").alias("row"), "node")
     texts = cut(rows.withColumn("row", F.xxhash64("own")).join(row, ["h1", "h2", "row"]).dropDuplicates(["h1", "h2", "row"]).select("node", "text"))
-    found: list[DataFrame] = []
-    roots = None
-    for most in ROUNDS:
-        best = Window.partitionBy("b").orderBy(F.col("times").desc(), "a")
-        chosen = live if most is None else live.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
-        now = cut(chosen.select("a", "b"))
-        found.append(cut(_verified(now, texts, percent)))
-        if roots is not None:
-            discard(roots)
-        roots = components(reduce(DataFrame.union, found))
-        if most is not None:
-            rooted = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
-            rest = live.join(now, ["a", "b"], "left_anti").join(rooted("a"), "a", "left").join(rooted("b"), "b", "left")
-            after = cut(rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b", "times"))
-            discard(live)
-            live = after
-        discard(now)
+    found = [cut(_verified(tried, texts, percent))]
+    roots = components(found[0])
+    rooted = leads.join(roots.withColumnRenamed("node", "own_node"), F.col("lead.node") == F.col("own_node"), "left").select("tag", "fingerprint", F.coalesce("root", "lead.node").alias("root"))
+    second = near_links(rooted, TABLE_BITS, RADIUS, forest=False)
+    rest = cut(pairs(second.select("tag", "a", "b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    discard(prints, leads, first, second, tried)
+    found.append(cut(_verified(rest, texts, percent)))
+    discard(roots, rest)
+    roots = components(reduce(DataFrame.union, found))
     classes = nodes.select("h1", "h2", "node").join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
     out = cut(signed.select("own", "h1", "h2").join(classes, ["h1", "h2"]))
-    discard(signed, nodes, live, texts, roots, *found)
+    discard(signed, nodes, texts, roots, *found)
     return out
 
 
