@@ -363,3 +363,70 @@ def test_rows_without_ids_or_with_repeated_ones_are_kept_by_component(spark):
     rows = [(None, a), (None, b), (None, a), (5, c), (5, d), (5, c), (7, d), (8, a)]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(8, a), (0, b), (5, c), (5, d)])
+
+
+def cloud_of_copies(n: int) -> list[str]:
+    """Near copies of one text, with one to a dozen words edited, so that some are similar to others and many aren't."""
+    rng = random.Random(41)
+    base = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(150)]
+    out = []
+    for i in range(n):
+        copy = list(base)
+        for p in rng.sample(range(150), 1 + i % 12):
+            copy[p] = f"w{rng.randrange(10**9)}"
+        out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize("group", [1000, 90])
+def test_cloud_of_near_copies_costs_few_pairs_and_loses_none(spark, monkeypatch, group):
+    texts = cloud_of_copies(400)
+    counts, links, verified = {}, simhash.near_links, simhash._verified
+
+    def counted(name, run):
+        def one(*args, **kwargs):
+            out = run(*args, **kwargs)
+            counts[name] = counts.get(name, 0) + (args[0] if name == "pairs" else out).count()
+            return out
+
+        return one
+
+    monkeypatch.setattr(simhash, "near_links", counted("links", links))
+    monkeypatch.setattr(simhash, "_verified", counted("pairs", verified))
+    monkeypatch.setattr(simhash, "GROUP", group, raising=False)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["own"]: r["root"] for r in simhash.similar_texts(docs, "doc_id").collect()}
+    want = brute_similar(texts, list(range(400)))
+    assert len({(got[i], want[i]) for i in got}) == len(set(got.values())) == len(set(want))
+    assert counts["links"] <= 400 * simhash.TABLES * 11 * 5 and counts["pairs"] <= 400 * 10
+
+
+def test_dense_links_keep_what_is_connected():
+    rng = np.random.default_rng(5)
+    prints = np.unique(np.concatenate([[sum(1 << int(b) for b in rng.choice(40, 2, replace=False)) for _ in range(500)], rng.integers(0, 1 << 40, 500)]).astype(np.uint64))
+    whole, few = simhash.bucket_links(prints, 0, 0, 40, forest=False), simhash.bucket_links(prints, 0, 0, 40, forest=False, dense=4)
+    parts = lambda links: {x: frozenset(c) for c in linked_groups(links) for x in c}
+    assert parts(whole) == parts(few) and len(few) <= 3 * len(prints) < len(whole)
+    assert {x for x in few if x[2]} <= set(whole)
+
+
+def linked_groups(links: list[tuple[int, int, int]]) -> list[set[int]]:
+    groups: list[set[int]] = []
+    for a, b, _ in links:
+        own = [g for g in groups if a in g or b in g]
+        groups = [g for g in groups if g not in own] + [set().union({a, b}, *own)]
+    return groups
+
+
+def test_similar_sets_are_those_of_all_pairs():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 60, 9000, np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base[: int(n)], int(n * rng.uniform(0.8, 1)), replace=False), rng.integers(0, 1 << 60, int(rng.integers(1, 9)), np.uint64)])) for n in rng.choice([12, 40, 9000], 60)]
+    sets += [np.zeros(0, np.uint64)] * 2 + [base[:0]]
+    parent = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if simhash.similar(sets[i], sets[j]):
+                a, b = parent[i], parent[j]
+                parent = [min(a, b) if x in (a, b) else x for x in parent]
+    assert simhash.similar_sets(sets).tolist() == parent and simhash.similar_sets([]).tolist() == []

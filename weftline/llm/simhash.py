@@ -37,6 +37,8 @@ AT_ONCE, STEP, MOST_PRINTS = 1_000_000, 4, 500_000
 CHUNK = 1 << 20
 #: Tasks that the pairs of one text are verified in.
 SALTS = 64
+#: Links of a fingerprint in a bucket beyond which it is of a cloud; texts and shingles of a group of a cloud.
+DENSE, GROUP, GROUP_SHINGLES = 16, 1000, 1_000_000
 
 _WIDE = TABLES * TABLE_BITS // 64
 _MASKS, _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, _WIDE), U) * U(2) + U(1)
@@ -204,15 +206,27 @@ def _shared(prints: np.ndarray, bucket: int, low: int, bits: int, radius: int) -
                 yield np.array([j]), np.array([i])
 
 
-def bucket_links(prints: np.ndarray, bucket: int, low: int, bits: int = BITS, radius: int = RADIUS, forest: bool = True, roots: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+def _smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index of the component of each of n, of edges (a, b)."""
+    labels = np.arange(n)
+    while True:
+        least, before = np.minimum(labels[a], labels[b]), labels.copy()
+        np.minimum.at(labels, a, least)
+        np.minimum.at(labels, b, least)
+        labels = labels[labels]
+        if (labels == before).all():
+            return labels
+
+
+def bucket_links(prints: np.ndarray, bucket: int, low: int, bits: int = BITS, radius: int = RADIUS, forest: bool = True, dense: int | None = None) -> list[tuple[int, int, int]]:
     """(fingerprint, smaller fingerprint, how often they shared a variant) through the variants whose low bits are bucket.
 
     All fingerprints that share a variant are within 2 * radius of each other, so a star from the smallest of them
-    stands for all their pairs. forest: only as many links as keep what is connected connected. roots: of links between
-    fingerprints that have different ones only.
+    stands for all their pairs. forest: only as many links as keep what is connected connected. dense: links of
+    fingerprints that have more links than this are given as a star from the smallest fingerprint that they connect,
+    0 times, so that there are dense / 2 + 1 links for each fingerprint at most.
     """
-    prints, at = np.unique(np.asarray(prints, U), return_index=True)
-    roots = None if roots is None else np.asarray(roots)[at]
+    prints = np.unique(np.asarray(prints, U))
     n = len(prints)
     parent = list(range(n))
 
@@ -224,9 +238,6 @@ def bucket_links(prints: np.ndarray, bucket: int, low: int, bits: int = BITS, ra
 
     found: dict[int, int] = {}
     for a, b in _shared(prints, bucket, low, bits, radius):
-        if roots is not None:
-            apart = roots[a] != roots[b]
-            a, b = a[apart], b[apart]
         pairs, times = np.unique(np.maximum(a, b) * n + np.minimum(a, b), return_counts=True)
         for pair, t in zip(pairs.tolist(), times.tolist(), strict=True):
             if forest:
@@ -235,45 +246,52 @@ def bucket_links(prints: np.ndarray, bucket: int, low: int, bits: int = BITS, ra
                     continue
                 parent[max(i, j)] = min(i, j)
             found[pair] = found.get(pair, 0) + t
+    if dense is not None and found:
+        both = np.array(list(found), np.int64)
+        a, b = both // n, both % n
+        links = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+        many = (links[a] > dense) | (links[b] > dense)
+        first = _smallest(n, a[many], b[many])
+        found = {pair: found[pair] for pair in both[~many].tolist()} | {i * n + int(first[i]): 0 for i in np.flatnonzero(first != np.arange(n)).tolist()}
     return [(int(prints[pair // n]), int(prints[pair % n]), t) for pair, t in found.items()]
 
 
-def _links_of(low: int, bits: int, radius: int, forest: bool) -> Callable[[tuple, pa.Table], pa.Table]:
+def _links_of(low: int, bits: int, radius: int, forest: bool, dense: int | None) -> Callable[[tuple, pa.Table], pa.Table]:
     def run(group: tuple, rows: pa.Table) -> pa.Table:
         tag, bucket = (x.as_py() for x in group)
-        prints, roots = rows.column("fingerprint").to_numpy().view(U), rows.column("root").to_numpy() if "root" in rows.schema.names else None
-        found = bucket_links(prints, bucket & ((1 << low) - 1), low, bits, radius, forest, roots)
+        found = bucket_links(rows.column("fingerprint").to_numpy().view(U), bucket & ((1 << low) - 1), low, bits, radius, forest, dense)
         made = np.array([x[:2] for x in found], U).reshape(-1, 2).view(np.int64)
         return pa.table({"tag": pa.array([tag] * len(made), pa.int64()), "a": made[:, 0], "b": made[:, 1], "times": pa.array([x[2] for x in found], pa.int64())})
 
     return run
 
 
-def near_links(prints: DataFrame, bits: int = BITS, radius: int = RADIUS, forest: bool = True, most: int = MOST_PRINTS) -> DataFrame:
+def near_links(prints: DataFrame, bits: int = BITS, radius: int = RADIUS, forest: bool = True, most: int = MOST_PRINTS, dense: int | None = None) -> DataFrame:
     """(tag, a, b, times): links between distinct fingerprints (columns tag and fingerprint) of one tag, as bucket_links has them.
 
     With forest every component stays whole; without, each two that share a variant are linked with the smallest that
-    does. With a column root, of one value for each fingerprint, only those of different roots are.
+    does, or beyond dense links of one fingerprint in a bucket are connected, 0 times.
     """
-    own = [c for c in ("tag", "fingerprint", "root") if c in prints.columns]
-    level = prints.select(*own).distinct().withColumn("bucket", F.lit(0).cast("long"))
+    level = prints.select("tag", "fingerprint").distinct().withColumn("bucket", F.lit(0).cast("long"))
     low, links, used = 0, [], []
     while True:
         step = min(STEP, bits - low)
         wide = low + step
         values = F.array(*[F.lit(_signed_long(v << low)).cast("long") for v in range(1 << step)])
-        sent = level.select(*own, F.explode(F.transform(values, lambda v: F.col("bucket").bitwiseOR(v))).alias("bucket"))
+        dealt = F.explode(F.transform(values, lambda v: F.col("bucket").bitwiseOR(v))).alias("bucket")
         mask = F.lit(_signed_long((1 << wide) - 1)).cast("long")
-        sent = sent.where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("bucket")).bitwiseAND(mask)) <= radius)
+        near = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("bucket")).bitwiseAND(mask)) <= radius
+        sent = level.select("tag", "fingerprint", dealt).where(near)
         last = wide >= bits
         cold = sent
         if not last:
-            full = cut(sent.groupBy("tag", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("tag", "bucket"))
+            alike = level.groupBy("tag", "bucket", F.col("fingerprint").bitwiseAND(mask).alias("fingerprint")).agg(F.count(F.lit(1)).alias("n"))
+            full = cut(alike.select("tag", "n", "fingerprint", dealt).where(near).groupBy("tag", "bucket").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("tag", "bucket"))
             used.append(full)
             last = not full.limit(1).count()
             cold = sent if last else sent.join(full, ["tag", "bucket"], "left_anti")
 
-        links.append(cold.groupBy("tag", "bucket").applyInArrow(_links_of(wide, bits, radius, forest), "tag long, a long, b long, times long"))
+        links.append(cold.groupBy("tag", "bucket").applyInArrow(_links_of(wide, bits, radius, forest, dense), "tag long, a long, b long, times long"))
         if last:
             break
         level, low = cut(sent.join(full, ["tag", "bucket"], "left_semi")), wide
@@ -339,13 +357,53 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "text").mapInArrow(run, "a long, b long")
 
 
+def similar_sets(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """The smallest index of the component of each of some sets, of those that are similar; all pairs are compared."""
+    m, sizes = len(sets), np.array([len(x) for x in sets], np.float32)
+    both = np.zeros((m, m), np.float32)  # whole numbers under 2 ** 24
+    all_, owner = np.concatenate([np.zeros(0, U), *sets]), np.repeat(np.arange(m), sizes.astype(np.int64))
+    order = np.argsort(all_, kind="stable")
+    all_, owner = all_[order], owner[order]
+    _, column, n = np.unique(all_, return_inverse=True, return_counts=True)
+    rare = n <= 8
+    for k in range(1, 8):  # owners of one element are in order
+        same = np.flatnonzero((column[k:] == column[:-k]) & rare[column[k:]])
+        np.add.at(both, (owner[same], owner[same + k]), 1)
+    both += both.T
+    column, owner, wide = (np.cumsum(~rare) - 1)[column[~rare[column]]], owner[~rare[column]], 4096
+    cuts = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + 1 + wide, wide))
+    for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        has = np.zeros((m, wide), np.float32)
+        has[owner[a:z], column[a:z] - i * wide] = 1
+        both += has @ has.T
+    near = both * 100 >= percent * (sizes[:, None] + sizes[None, :] - both)
+    return _smallest(m, *np.nonzero(np.triu(near, 1)))
+
+
+def _cloud_links(clouds: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that connect what is similar among clouds' texts. A cloud is dealt into groups, each two of which meet in a task."""
+    n = clouds.groupBy("cloud").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(GROUP), F.sum("size") / F.lit(GROUP_SHINGLES))).cast("int").alias("groups"))
+    own = F.pmod(F.xxhash64("node"), F.col("groups")).cast("int")
+    others = F.when(F.col("groups") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("groups") - 1), lambda g: g != F.col("own")))
+    dealt = clouds.join(n, "cloud").withColumn("own", own).select("cloud", "node", "own", F.explode(others).alias("other"))
+    dealt = dealt.select("cloud", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def run(rows: pa.Table) -> pa.Table:
+        nodes = rows.column("node").to_numpy()
+        first = similar_sets([shingle_set(x) for x in as_bytes(rows.column("text"))], percent)
+        linked = np.flatnonzero(first != np.arange(len(nodes)))
+        return pa.table({"a": nodes[first[linked]], "b": nodes[linked]})
+
+    return dealt.join(texts, "node").groupBy("cloud", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def similar_texts(docs: DataFrame, own: str, text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(own, h1, h2, root): texts whose word shingles have a Jaccard similarity of percent at least, directly or through others, share root.
 
     (h1, h2) is a hash of 128 bits of the text, null as empty; rows are told apart by it and own. Texts without words are
-    each other's copies. First every text is held against the closest candidate that near_links or an equal fingerprint
-    gives it in each table, so that a group of near copies costs a few pairs for each of them. Then balls are made once
-    more, for the candidates that aren't in one component yet, all of which are verified. Empty tables give no rows.
+    each other's copies. Every candidate that near_links or an equal fingerprint gives is verified. Where fingerprints
+    have many links, candidates would grow with the square of a group of near copies: those texts are a cloud, known by
+    links that connect it, and all pairs of a cloud are compared where groups of its texts meet. Empty tables give no rows.
     """
     h1, h2 = text_hashes(text)
     rows = docs.select(F.col(own).alias("own"), h1.alias("h1"), h2.alias("h2"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -353,32 +411,27 @@ def similar_texts(docs: DataFrame, own: str, text: str = "text", percent: int =
     nodes = cut(signed.groupBy("h1", "h2").agg(F.first("size").alias("size"), F.first("prints").alias("prints")).withColumn("node", F.monotonically_increasing_id()))
     prints = cut(nodes.select("node", "size", F.posexplode("prints").alias("tag", "fingerprint")).withColumn("tag", F.col("tag").cast("long")))
     leads = cut(prints.groupBy("tag", "fingerprint").agg(F.min(F.struct("node", "size")).alias("lead"), F.count(F.lit(1)).alias("n")))
-    fits = F.least("a_lead.size", "b_lead.size") * F.lit(100) >= F.greatest("a_lead.size", "b_lead.size") * F.lit(percent)
     lead = lambda name: leads.select("tag", F.col("fingerprint").alias(name), F.col("lead").alias(f"{name}_lead"))
-
-    def pairs(links: DataFrame) -> DataFrame:
-        """(a, b): the texts of links of one table each, the hub first."""
-        both = links.join(lead("a"), ["tag", "a"]).join(lead("b"), ["tag", "b"])
-        return both.where("a_lead.node <> b_lead.node").where(fits).select(F.col("b_lead.node").alias("a"), F.col("a_lead.node").alias("b"))
-
-    first = near_links(leads, TABLE_BITS, RADIUS, forest=False)
-    closest = first.groupBy("tag", "a", "b").agg(F.sum("times").alias("times")).groupBy("tag", "a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
-    alike = prints.join(leads.where("n > 1"), ["tag", "fingerprint"]).where("node <> lead.node").select(F.struct("node", "size").alias("a_lead"), F.col("lead").alias("b_lead"))
-    alike = alike.where(fits).select(F.col("b_lead.node").alias("a"), F.col("a_lead.node").alias("b"))
-    tried = cut(pairs(closest).union(alike).distinct())
-    named = first.select("tag", F.col("a").alias("fingerprint")).union(first.select("tag", "b")).distinct().join(leads, ["tag", "fingerprint"]).select("lead.node")
-    named = named.union(tried.select("b")).union(tried.select("a")).distinct().join(nodes.select("node", "h1", "h2"), "node")
+    first = near_links(leads, TABLE_BITS, RADIUS, forest=False, dense=DENSE)
+    links = first.join(lead("a"), ["tag", "a"]).join(lead("b"), ["tag", "b"]).select("a_lead", "b_lead", (F.col("times") == 0).alias("dense"))
+    crowded = first.where("times = 0").select("tag", F.explode(F.array("a", "b")).alias("fingerprint")).distinct().withColumn("crowded", F.lit(True))
+    alike = prints.join(leads.where("n > 1"), ["tag", "fingerprint"]).where("node <> lead.node").join(crowded, ["tag", "fingerprint"], "left")
+    alike = alike.select(F.struct("node", "size").alias("a_lead"), F.col("lead").alias("b_lead"), ((F.col("n") > DENSE) | F.col("crowded").isNotNull()).alias("dense"))
+    linked = cut(links.where("a_lead.node <> b_lead.node").union(alike).distinct())
+    clouds = components(linked.where("dense").select(F.col("a_lead.node").alias("a"), F.col("b_lead.node").alias("b")))
+    fits = F.least("a_lead.size", "b_lead.size") * F.lit(100) >= F.greatest("a_lead.size", "b_lead.size") * F.lit(percent)
+    cloud = lambda name: clouds.select(F.col("node").alias(name), F.col("root").alias(f"{name}_cloud"))
+    pairs = linked.where("not dense").where(fits).select(F.col("b_lead.node").alias("a"), F.col("a_lead.node").alias("b")).distinct()
+    pairs = pairs.join(cloud("a"), "a", "left").join(cloud("b"), "b", "left")
+    tried = cut(pairs.where(F.coalesce(F.col("a_cloud") != F.col("b_cloud"), F.lit(True))).select("a", "b"))
+    named = tried.select("b").union(tried.select("a")).union(clouds.select("node")).distinct().withColumnRenamed("b", "node").join(nodes.select("node", "h1", "h2"), "node")
     firsts = signed.groupBy("h1", "h2").agg(F.min("own").alias("own"))
     row = named.join(firsts, ["h1", "h2"]).select("h1", "h2", F.xxhash64("own").alias("row"), "node")
     texts = cut(rows.withColumn("row", F.xxhash64("own")).join(row, ["h1", "h2", "row"]).dropDuplicates(["h1", "h2", "row"]).select("node", "text"))
-    found = [cut(_verified(tried, texts, percent))]
-    roots = components(found[0])
-    rooted = leads.join(roots.withColumnRenamed("node", "own_node"), F.col("lead.node") == F.col("own_node"), "left").select("tag", "fingerprint", F.coalesce("root", "lead.node").alias("root"))
-    second = near_links(rooted, TABLE_BITS, RADIUS, forest=False)
-    rest = cut(pairs(second.select("tag", "a", "b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    discard(prints, leads, first, second, tried)
-    found.append(cut(_verified(rest, texts, percent)))
-    discard(roots, rest)
+    discard(prints, leads, first, linked)
+    in_clouds = clouds.select("node", F.col("root").alias("cloud")).join(nodes.select("node", "size"), "node")
+    found = [cut(_verified(tried, texts, percent)), cut(_cloud_links(in_clouds, texts, percent))]
+    discard(clouds, tried)
     roots = components(reduce(DataFrame.union, found))
     classes = nodes.select("h1", "h2", "node").join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
     out = cut(signed.select("own", "h1", "h2").join(classes, ["h1", "h2"]))
