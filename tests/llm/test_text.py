@@ -370,3 +370,19 @@ def test_op3_of_texts_with_added_tokens(spark, tmp_path):
         ids = [*library.encode(x, add_special_tokens=False).ids, 0]
         assert (rows[i]["start"], rows[i]["n_tokens"], rows[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+def test_texts_split_at_single_spaces_are_encoded_as_whole_ones(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "MOST_CHUNKS", 40)
+    rng, white = random.Random(51), ["\n", "\t", "\r", "\u00a0", "\u2003", "\u3000", "\x85", "\x1c", "\u200b"]
+    own, library = token_files.Encoder(Path(BYTE).read_bytes(), special=True), Tokenizer.from_file(BYTE)
+    pieces = ["word", "don't", "x1y2", "\u00e9t\u00e9!", "\u4e2d\u6587", "...", "A.B", "'s", "end.\nNext", "\u01c5\u0250", *white]
+    for k in range(600):
+        gaps = [" "] if k % 3 else [" ", " ", "  ", "   ", "", *white]
+        text = "".join(rng.choice(pieces[:10] if k % 2 else pieces) + rng.choice(gaps) for _ in range(rng.randrange(12)))
+        text = rng.choice(["", " ", "\n"]) + (text if k % 5 else text.rstrip())
+        for _ in range(2):
+            assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert len(own.spaced) <= 40 and "word" in own.spaced | own.spaced.before

@@ -6,7 +6,8 @@ one folder follow each other and each stripe's minimum and maximum id prune it.
 Encoding whole texts spends most of its time on words that it has had before. The byte-level pattern never joins other
 text to white space after it, so a text is cut there; a piece that a worker has had before is taken from a bounded
 cache, and any other is encoded by the tokenizers library. Added tokens are found first, as the library finds them, and
-the texts between them are encoded each for itself.
+the texts between them are encoded each for itself. Where a space stands between other characters, the pattern has a cut
+before it: a text that has spaces only there is split at them, and what is between two spaces is looked up at once.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ PLAIN = re.compile("[\0-ɏ]*")
 #: The letters among those characters, and a word of them with ASCII marks after it: the pattern's two pieces of such a chunk.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 WORD = re.compile(rf"( ?[{LETTERS}]+)([!-&(-/:-@\[-`{{-~]*)")
+WHITE_SET = frozenset(re.findall(f"[{WHITE}]", "".join(map(chr, range(0x3001)))))
+SPACED_WORD = re.compile(WORD.pattern.replace(" ?", "", 1))
 #: Chunks that a worker keeps in each of two generations, and their longest.
 MOST_CHUNKS, LONGEST_CHUNK = 300_000, 64
 
@@ -45,6 +48,41 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
 
+class Spaced(dict):
+    """ids of what stands between two spaces, with the space before it; None of what has white space at an edge."""
+
+    def __init__(self, encoder: Encoder) -> None:
+        super().__init__()
+        self.encoder, self.before = encoder, {}  # pieces of the generation before
+
+    def _keep(self, piece: str, known: bytes) -> bytes:
+        if len(piece) < LONGEST_CHUNK:
+            if len(self) >= MOST_CHUNKS:
+                self.before = dict(self)
+                self.clear()
+            self[piece] = known
+        return known
+
+    def _word(self, word: str) -> bytes:
+        return self.before.get(word) or self.encoder._part(" " + word)
+
+    def __missing__(self, piece: str) -> bytes | None:
+        known = self.before.get(piece)
+        if known is None:
+            made = SPACED_WORD.fullmatch(piece)
+            if made:
+                word, marks = made.groups()
+                if marks:
+                    known = (self.get(word) or self._keep(word, self._word(word))) + (self.encoder.marks.get(marks) or self.encoder._marks(marks))
+                else:
+                    known = self.encoder._part(" " + word)
+            elif not piece or piece[0] in WHITE_SET or piece[-1] in WHITE_SET:
+                return None
+            else:
+                return self.encoder.pieces(" " + piece)
+        return self._keep(piece, known)
+
+
 class Encoder:
     """Encodes texts as the library does, ids as little-endian unsigned 32-bit integers."""
 
@@ -60,11 +98,13 @@ class Encoder:
         self.cuts = not made.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and plain
         self.added = {x["content"]: x["id"].to_bytes(4, "little") for x in added}
         self.split = re.compile("({})".format("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))).split if added else None  # leftmost, then longest
+        self.tokenize = self.library.model.tokenize
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
         self.ids = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
         self.chunks: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}  # chunks of the generation before
         self.marks: dict[str, bytes] = {}
+        self.spaced = Spaced(self)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -75,7 +115,7 @@ class Encoder:
         else:
             letters = part.encode().decode("latin-1").translate(self.letters)
         ids = self.ids
-        return b"".join([ids[t.id] for t in self.library.model.tokenize(letters)])
+        return b"".join([ids[t.id] for t in self.tokenize(letters)])
 
     def _keep(self, chunk: str, known: bytes) -> None:
         if len(chunk) <= LONGEST_CHUNK:
@@ -119,6 +159,16 @@ class Encoder:
         return self._between(text)
 
     def _between(self, text: str) -> bytes:
+        """Cut at each space that stands between other characters, which is a cut between chunks too; else into chunks."""
+        first, *others = text.split(" ")
+        if others and first and first[-1] not in WHITE_SET:
+            try:
+                return self.pieces(first) + b"".join(map(self.spaced.__getitem__, others))
+            except TypeError:  # None: white space beside a space
+                pass
+        return self.pieces(text)
+
+    def pieces(self, text: str) -> bytes:
         known = self.chunks
         return b"".join([known.get(c) or self._chunk(c) for c in CHUNKS.findall(text)])
 
