@@ -4,6 +4,7 @@ import datetime
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -297,3 +298,16 @@ def test_streamed_hours_are_the_batch_sums(spark, tmp_path):
     want = {(r["s"], r["h"]): round(r["y"], 6) for r in events.groupBy(F.col("event_type").alias("s"), hour.alias("h")).agg(F.sum("value").alias("y")).collect()}
     last = max(h for _, h in want) - datetime.timedelta(hours=4)
     assert got and all(want[k] == v for k, v in got.items()) and {k for k in want if k[1] < last} <= set(got)
+
+
+def test_kernel_ridge_in_blocks_and_whole(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(f"s{i:03}", i, rng.normal(size=12).tolist(), rng.normal(size=3).tolist()) for i in range(47)]
+    panel = spark.createDataFrame(rows, "series_id string, ord int, history array<double>, future array<double>")
+    grammar = G.build_grammar(baselines=True)
+    fitted = lambda: {r[0]: r[1] for r in L.apply_pipeline("LinearFill -> ZNormalization -> kernel_rbf -> STOP", grammar, T.start(panel, 12, 3)).df.select("series_id", "final_forecast").collect()}
+    whole = fitted()
+    monkeypatch.setattr(M, "MOST_DENSE", 10)
+    monkeypatch.setattr(M, "BLOCK", 13, raising=False)
+    blocked = fitted()
+    assert len(blocked) == 47 and all(blocked[k] == pytest.approx(whole[k], abs=1e-8) for k in whole)
