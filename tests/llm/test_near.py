@@ -401,6 +401,28 @@ def test_cloud_of_near_copies_costs_few_pairs_and_loses_none(spark, monkeypatch,
     assert counts["links"] <= 400 * simhash.TABLES * 11 * 5 and counts["pairs"] <= 400 * 10
 
 
+def test_links_of_a_cloud_are_gathered_before_its_components(spark, monkeypatch):
+    given, found = [], simhash.components
+
+    def counted(edges):
+        given.append(edges.count())
+        return found(edges)
+
+    monkeypatch.setattr(simhash, "components", counted)
+    docs = spark.createDataFrame(list(enumerate(cloud_of_copies(400))), "doc_id long, text string")
+    assert simhash.similar_texts(docs, "doc_id").count() == 400
+    assert len(given) == 2 and given[0] <= 400 * 4
+
+
+def test_gathered_links_connect_what_stars_do(spark):
+    rng = random.Random(51)
+    stars = list({(rng.randrange(900), rng.randrange(60) * 15 + 900 * (i % 3)) for i in range(1500)})
+    rows = [(a, b) for a, b in stars if a != b]
+    few = [(r["a"], r["b"], 0) for r in simhash._gathered(spark.createDataFrame(rows, "a long, b long")).collect()]
+    whole = linked_groups([(a, b, 0) for a, b in rows])
+    assert sorted(map(sorted, linked_groups(few))) == sorted(map(sorted, whole)) and len(few) < len(rows)
+
+
 def test_dense_links_keep_what_is_connected():
     rng = np.random.default_rng(5)
     prints = np.unique(np.concatenate([[sum(1 << int(b) for b in rng.choice(40, 2, replace=False)) for _ in range(500)], rng.integers(0, 1 << 40, 500)]).astype(np.uint64))

@@ -357,6 +357,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "text").mapInArrow(run, "a long, b long")
 
 
+def _gathered(stars: DataFrame, passes: int = 2) -> DataFrame:
+    """(a, b): links that connect what stars (a, its centre b) connect, one for each a and some among centres.
+
+    A text has a centre in each bucket of each table, and texts of a cloud have many of them in common. So each list of
+    centres is linked with its smallest, and what that says of the others is the same for many texts. A list is as long
+    as there are tables and buckets, however many texts a cloud has.
+    """
+    out, used = [], []
+    for _ in range(passes):
+        lists = cut(stars.groupBy("a").agg(F.collect_set("b").alias("centres")).withColumn("b", F.array_min("centres")))
+        out.append(lists.select("a", "b"))
+        stars = lists.select(F.explode("centres").alias("a"), "b").where("a <> b").distinct()
+        used.append(lists)
+    gathered = cut(reduce(DataFrame.union, [*out, stars]))
+    discard(*used)
+    return gathered
+
+
 def similar_sets(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     """The smallest index of the component of each of some sets, of those that are similar; all pairs are compared."""
     m, sizes = len(sets), np.array([len(x) for x in sets], np.float32)
@@ -414,11 +432,13 @@ def similar_texts(docs: DataFrame, own: str, text: str = "text", percent: int =
     lead = lambda name: leads.select("tag", F.col("fingerprint").alias(name), F.col("lead").alias(f"{name}_lead"))
     first = near_links(leads, TABLE_BITS, RADIUS, forest=False, dense=DENSE)
     links = first.join(lead("a"), ["tag", "a"]).join(lead("b"), ["tag", "b"]).select("a_lead", "b_lead", (F.col("times") == 0).alias("dense"))
-    crowded = first.where("times = 0").select("tag", F.explode(F.array("a", "b")).alias("fingerprint")).distinct().withColumn("crowded", F.lit(True))
+    stars = first.where("times = 0")
+    crowded = stars.select("tag", F.col("a").alias("fingerprint")).union(stars.select("tag", "b")).distinct().withColumn("crowded", F.lit(True))
     alike = prints.join(leads.where("n > 1"), ["tag", "fingerprint"]).where("node <> lead.node").join(crowded, ["tag", "fingerprint"], "left")
     alike = alike.select(F.struct("node", "size").alias("a_lead"), F.col("lead").alias("b_lead"), ((F.col("n") > DENSE) | F.col("crowded").isNotNull()).alias("dense"))
     linked = cut(links.where("a_lead.node <> b_lead.node").union(alike).distinct())
-    clouds = components(linked.where("dense").select(F.col("a_lead.node").alias("a"), F.col("b_lead.node").alias("b")))
+    gathered = _gathered(linked.where("dense").select(F.col("a_lead.node").alias("a"), F.col("b_lead.node").alias("b")))
+    clouds = components(gathered)
     fits = F.least("a_lead.size", "b_lead.size") * F.lit(100) >= F.greatest("a_lead.size", "b_lead.size") * F.lit(percent)
     cloud = lambda name: clouds.select(F.col("node").alias(name), F.col("root").alias(f"{name}_cloud"))
     pairs = linked.where("not dense").where(fits).select(F.col("b_lead.node").alias("a"), F.col("a_lead.node").alias("b")).distinct()
@@ -428,7 +448,7 @@ def similar_texts(docs: DataFrame, own: str, text: str = "text", percent: int =
     firsts = signed.groupBy("h1", "h2").agg(F.min("own").alias("own"))
     row = named.join(firsts, ["h1", "h2"]).select("h1", "h2", F.xxhash64("own").alias("row"), "node")
     texts = cut(rows.withColumn("row", F.xxhash64("own")).join(row, ["h1", "h2", "row"]).dropDuplicates(["h1", "h2", "row"]).select("node", "text"))
-    discard(prints, leads, first, linked)
+    discard(prints, leads, first, linked, gathered)
     in_clouds = clouds.select("node", F.col("root").alias("cloud")).join(nodes.select("node", "size"), "node")
     found = [cut(_verified(tried, texts, percent)), cut(_cloud_links(in_clouds, texts, percent))]
     discard(clouds, tried)
