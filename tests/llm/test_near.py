@@ -414,6 +414,27 @@ def test_links_of_a_cloud_are_gathered_before_its_components(spark, monkeypatch)
     assert len(given) == 2 and given[0] <= 400 * 4
 
 
+@pytest.mark.parametrize("group", [1000, 40, 7])
+def test_groups_of_a_cloud_lose_no_link_and_repeat_few(spark, monkeypatch, group):
+    rng = random.Random(61)
+    bases = [["".join(rng.choices("abcdefghij", k=6)) for _ in range(60)] for _ in range(12)]
+    texts = [*cloud_of_copies(150), "", " ", "\n", "one", "One ", "one two", *("x " * n for n in range(4, 9))]
+    for i in range(130):
+        copy = bases[i % 12][:]
+        for p in rng.sample(range(60), i % 4):
+            copy[p] = rng.choice("ab")
+        texts.append(" ".join(copy))
+    texts += [" ".join(bases[0][: 60 - k] + bases[1][:k]) for k in range(0, 61, 3)]
+    monkeypatch.setattr(simhash, "GROUP", group)
+    rows = [(i // 1000, i, len(simhash.shingle_set(t.encode())), t) for i, t in enumerate(texts)]
+    made = spark.createDataFrame(rows, "cloud long, node long, size long, text string").cache()
+    links = [(r["a"], r["b"]) for r in simhash._cloud_links(made.drop("text"), made.select("node", "text"), 80).collect()]
+    want = brute_similar(texts, list(range(len(texts))))
+    groups = [set(g) for g in linked_groups([(a, b, 0) for a, b in links])]
+    assert sorted(map(sorted, groups)) == sorted(sorted(i for i, w in enumerate(want) if w == x) for x in set(want) if want.count(x) > 1)
+    assert len(links) <= 2 * len(texts)
+
+
 def test_gathered_links_connect_what_stars_do(spark):
     rng = random.Random(51)
     stars = list({(rng.randrange(900), rng.randrange(60) * 15 + 900 * (i % 3)) for i in range(1500)})

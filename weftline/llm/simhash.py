@@ -39,6 +39,8 @@ CHUNK = 1 << 20
 SALTS = 64
 #: Links of a fingerprint in a bucket beyond which it is of a cloud; texts and shingles of a group of a cloud.
 DENSE, GROUP, GROUP_SHINGLES = 16, 1000, 1_000_000
+#: Shingles of a group that the order of a cloud's prefixes knows as frequent.
+MOST_FREQUENT = 1 << 16
 
 _WIDE = TABLES * TABLE_BITS // 64
 _MASKS, _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, _WIDE), U) * U(2) + U(1)
@@ -375,8 +377,8 @@ def _gathered(stars: DataFrame, passes: int = 2) -> DataFrame:
     return gathered
 
 
-def similar_sets(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
-    """The smallest index of the component of each of some sets, of those that are similar; all pairs are compared."""
+def _near(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which two of some sets are similar, as a matrix; all pairs are compared."""
     m, sizes = len(sets), np.array([len(x) for x in sets], np.float32)
     both = np.zeros((m, m), np.float32)  # whole numbers under 2 ** 24
     all_, owner = np.concatenate([np.zeros(0, U), *sets]), np.repeat(np.arange(m), sizes.astype(np.int64))
@@ -394,25 +396,114 @@ def similar_sets(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
         has = np.zeros((m, wide), np.float32)
         has[owner[a:z], column[a:z] - i * wide] = 1
         both += has @ has.T
-    near = both * 100 >= percent * (sizes[:, None] + sizes[None, :] - both)
-    return _smallest(m, *np.nonzero(np.triu(near, 1)))
+    return both * 100 >= percent * (sizes[:, None] + sizes[None, :] - both)
 
 
-def _cloud_links(clouds: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that connect what is similar among clouds' texts. A cloud is dealt into groups, each two of which meet in a task."""
-    n = clouds.groupBy("cloud").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(GROUP), F.sum("size") / F.lit(GROUP_SHINGLES))).cast("int").alias("groups"))
-    own = F.pmod(F.xxhash64("node"), F.col("groups")).cast("int")
-    others = F.when(F.col("groups") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("groups") - 1), lambda g: g != F.col("own")))
-    dealt = clouds.join(n, "cloud").withColumn("own", own).select("cloud", "node", "own", F.explode(others).alias("other"))
-    dealt = dealt.select("cloud", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+def similar_sets(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """The smallest index of the component of each of some sets, of those that are similar."""
+    return _smallest(len(sets), *np.nonzero(np.triu(_near(sets, percent), 1)))
+
+
+def _sets(rows: pa.Table) -> list[np.ndarray]:
+    return [shingle_set(x) for x in as_bytes(rows.column("text"))]
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows (cloud, node, size, ...) with a group of their cloud, own, and how many it has, groups."""
+    n = rows.groupBy("cloud").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(GROUP), F.sum("size") / F.lit(GROUP_SHINGLES))).cast("int").alias("groups"))
+    return rows.join(n, "cloud").withColumn("groups", F.greatest("groups", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int"))
+
+
+def _in_groups(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): what is similar in each group of rows (cloud, own, node, text), as stars from the text that most others are similar to."""
+
+    def run(group: pa.Table) -> pa.Table:
+        nodes, near = group.column("node").to_numpy(), _near(_sets(group), percent)
+        first = _smallest(len(nodes), *np.nonzero(np.triu(near, 1)))
+        order = np.lexsort((near.sum(0), first))
+        lead = np.zeros(len(nodes), np.int64)
+        lead[first[order]] = order  # the last of each that is written
+        linked = np.flatnonzero(lead[first] != np.arange(len(nodes)))
+        return pa.table({"a": nodes[lead[first[linked]]], "b": nodes[linked]})
+
+    return rows.select("cloud", "own", "node", "text").groupBy("cloud", "own").applyInArrow(run, "a long, b long")
+
 
-    def run(rows: pa.Table) -> pa.Table:
-        nodes = rows.column("node").to_numpy()
-        first = similar_sets([shingle_set(x) for x in as_bytes(rows.column("text"))], percent)
-        linked = np.flatnonzero(first != np.arange(len(nodes)))
-        return pa.table({"a": nodes[first[linked]], "b": nodes[linked]})
+def _frequent(group: pa.Table) -> pa.Table:
+    """(cloud, frequent): shingles that two or more texts of a group have, the most frequent last."""
+    made, n = np.unique(np.concatenate([np.zeros(0, U), *_sets(group)]), return_counts=True)
+    order = np.argsort(n, kind="stable")[-MOST_FREQUENT:]
+    return pa.table({"cloud": group.column("cloud").slice(0, 1), "frequent": pa.array([made[order[n[order] > 1]].view(np.int64)], pa.list_(pa.int64()))})
 
-    return dealt.join(texts, "node").groupBy("cloud", "i", "j").applyInArrow(run, "a long, b long")
+
+def _prefixes(percent: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """(cloud, node, class, token): the first shingles of each text, by one order for all of its cloud, of which similar texts have one in common.
+
+    Of a set of n, percent of n at least are in any similar set, so that the first of these is among n less that, plus
+    one. The order has what is frequent last; it decides how many shingles are met by others, not what is found.
+    """
+
+    def run(group: pa.Table, order: pa.Table) -> pa.Table:
+        frequent = order.column("frequent").combine_chunks().flatten().to_numpy().view(U)
+        by_hash = np.argsort(frequent)
+        tokens = []
+        for made in _sets(group):
+            rank = np.full(len(made), -1)
+            if len(frequent):
+                at = np.minimum(np.searchsorted(frequent[by_hash], made), len(frequent) - 1)
+                rank = np.where(frequent[by_hash][at] == made, by_hash[at], -1)
+            most = len(made) - -(-percent * len(made) // 100) + 1
+            tokens.append(made[np.lexsort((made, rank))[:most]] if len(made) else np.zeros(1, U))  # empty sets are similar
+        each = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
+        return pa.table({**{c: group.column(c).take(pa.array(each)) for c in ("cloud", "node", "class")}, "token": np.concatenate(tokens).view(np.int64)})
+
+    return run
+
+
+def _cloud_links(clouds: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that connect what is similar among texts of clouds (cloud, node, size).
+
+    A cloud is dealt into groups whose texts are all compared, and then one text of each class found with each other.
+    What is left are pairs of texts of different classes. Two such can only be similar if their prefixes have a shingle
+    in common; texts for which that holds meet, all of them with all that aren't of the largest class.
+    """
+    rows = cut(_dealt(clouds).join(texts, "node").select("cloud", "node", "size", "groups", "own", "text"))
+    links = cut(_in_groups(rows, percent))
+    many = rows.where("groups > 1")
+    if not many.limit(1).count():
+        return links
+    leads = _dealt(links.select(F.col("a").alias("node")).distinct().join(many.drop("own", "groups"), "node"))
+    between = cut(_in_groups(leads, percent))
+    known = links.union(between)
+    roots = components(known)
+    classed = cut(many.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root"))
+    order = many.where("own = 0").groupBy("cloud").applyInArrow(_frequent, "cloud long, frequent array<long>")
+    order = many.select("cloud", "own").distinct().join(order, "cloud", "left").withColumn("frequent", F.coalesce("frequent", F.array().cast("array<long>")))
+    first = classed.select("cloud", "own", "node", "class", "text").groupBy("cloud", "own").cogroup(order.groupBy("cloud", "own"))
+    prefixes = cut(first.applyInArrow(_prefixes(percent), "cloud long, node long, class long, token long"))
+    met = prefixes.groupBy("cloud", "token").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most")
+    left = cut(prefixes.join(met, ["cloud", "token"], "left_semi").select("node").distinct().join(classed.select("cloud", "node", "size", "class"), "node"))
+    largest = left.groupBy("cloud", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("cloud").agg(F.max(F.struct("n", "class")).alias("top")).select("cloud", F.col("top.class").alias("top"))
+    sides = left.join(largest, "cloud").withColumn("side", (F.col("class") == F.col("top")).cast("int"))
+    count = lambda side: F.ceil(F.greatest(F.sum((F.col("side") == side).cast("int")) / F.lit(GROUP), F.sum(F.when(F.col("side") == side, F.col("size"))) / F.lit(GROUP_SHINGLES))).cast("int")
+    sides = sides.join(sides.groupBy("cloud").agg(count(0).alias("rest"), count(1).alias("tops")), "cloud")
+    own = F.when(F.col("side") == 0, F.pmod(F.xxhash64("node"), F.col("rest"))).otherwise(F.col("rest") + F.pmod(F.xxhash64("node"), F.col("tops"))).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("rest") - 1 + F.when(F.col("side") == 0, F.col("tops")).otherwise(0)), lambda g: g != F.col("group"))
+    blocks = sides.withColumn("group", own).select("cloud", "node", "class", "group", F.explode(others).alias("other"))
+    blocks = blocks.select("cloud", "node", "class", F.least("group", "other").alias("i"), F.greatest("group", "other").alias("j"))
+
+    def run(group: pa.Table) -> pa.Table:
+        own = group.column("class").to_numpy()
+        first = similar_sets(_sets(group), percent)
+        least = own.copy()
+        np.minimum.at(least, first, own)
+        both = np.unique(np.stack([least[first], own]), axis=1)
+        return pa.table({c: both[i][both[0] != both[1]] for i, c in enumerate(("a", "b"))})
+
+    crossing = cut(blocks.join(texts, "node").groupBy("cloud", "i", "j").applyInArrow(run, "a long, b long").distinct())
+    out = cut(known.union(crossing))
+    discard(rows, links, between, roots, classed, prefixes, left, crossing)
+    return out
 
 
 def similar_texts(docs: DataFrame, own: str, text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -450,7 +541,7 @@ def similar_texts(docs: DataFrame, own: str, text: str = "text", percent: int =
     texts = cut(rows.withColumn("row", F.xxhash64("own")).join(row, ["h1", "h2", "row"]).dropDuplicates(["h1", "h2", "row"]).select("node", "text"))
     discard(prints, leads, first, linked, gathered)
     in_clouds = clouds.select("node", F.col("root").alias("cloud")).join(nodes.select("node", "size"), "node")
-    found = [cut(_verified(tried, texts, percent)), cut(_cloud_links(in_clouds, texts, percent))]
+    found = [cut(_verified(tried, texts, percent)), _cloud_links(in_clouds, texts, percent)]
     discard(clouds, tried)
     roots = components(reduce(DataFrame.union, found))
     classes = nodes.select("h1", "h2", "node").join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
