@@ -471,6 +471,7 @@ def _cloud_links(clouds: DataFrame, texts: DataFrame, percent: int) -> DataFrame
     links = cut(_in_groups(rows, percent))
     many = rows.where("groups > 1")
     if not many.limit(1).count():
+        discard(rows)
         return links
     leads = _dealt(links.select(F.col("a").alias("node")).distinct().join(many.drop("own", "groups"), "node"))
     between = cut(_in_groups(leads, percent))
