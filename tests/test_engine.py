@@ -311,3 +311,28 @@ def test_kernel_ridge_in_blocks_and_whole(spark, monkeypatch):
     monkeypatch.setattr(M, "BLOCK", 13, raising=False)
     blocked = fitted()
     assert len(blocked) == 47 and all(blocked[k] == pytest.approx(whole[k], abs=1e-8) for k in whole)
+
+
+def test_kernel_ridge_of_many_series_shuffles_little_and_is_the_dense_solve(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    grammar = G.build_grammar(baselines=True)
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+
+    def fitted(histories):
+        rows = [(f"s{i:03}", i, h, np.random.default_rng(i).normal(size=3).tolist()) for i, h in enumerate(histories)]
+        panel = spark.createDataFrame(rows, "series_id string, ord int, history array<double>, future array<double>").cache()
+        found = lambda: {r[0]: r[1] for r in L.apply_pipeline("LinearFill -> ZNormalization -> kernel_rbf -> STOP", grammar, T.start(panel, 12, 3)).df.select("series_id", "final_forecast").collect()}
+        before = shuffled()
+        whole = found()
+        between = shuffled()
+        with monkeypatch.context() as m:
+            m.setattr(M, "MOST_DENSE", 60)
+            m.setattr(M, "BLOCK", 40)
+            small = found()
+        assert set(small) == set(whole) and all(small[k] == pytest.approx(whole[k], abs=1e-7) for k in whole)
+        return (shuffled() - between) - (between - before)
+
+    n, few = 600, rng.normal(size=(50, 12)).tolist()
+    matrix = 8 * n * n / 2
+    assert fitted(rng.normal(size=(n, 12)).tolist()) < 16 * matrix  # blocks that were moved wrote each about 3 times in 15 steps
+    assert fitted([few[i % 50] for i in range(n)]) < matrix  # copies of 50 series
